@@ -84,7 +84,7 @@ def category_breakdown(primary_with_category: DataFrame, pass_threshold: float =
                        ) -> DataFrame:
     """Mean score, pass rate and count over GROUPING SETS ((run), (run, category),
     (run, field), (run, category, field)); ``level`` names the set."""
-    gid = F.grouping_id("category", "field")
+    gid = F.grouping_id()  # bits: run (always grouped), category, field
     return (primary_with_category
             .groupingSets([["run"], ["run", "category"], ["run", "field"],
                            ["run", "category", "field"]], "run", "category", "field")
