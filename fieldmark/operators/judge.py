@@ -33,7 +33,7 @@ from pyspark.sql.utils import AnalysisException
 
 from fieldmark.functions.scorers import judge_precheck, result
 from fieldmark.functions.text import list_text
-from fieldmark.operators.joins import DEFAULT_BROADCAST_ROWS, has_at_most
+from fieldmark.operators.joins import DEFAULT_BROADCAST_ROWS
 from fieldmark.operators.materialize import materialize
 from fieldmark.schemas import JUDGE_VERDICT, VERDICT_VALUES
 from fieldmark.session import scratch_path
@@ -118,15 +118,22 @@ class Judge:
     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS
 
     # -- pieces -------------------------------------------------------------
-    def pairs(self, df: DataFrame, expected: str, actual: str) -> DataFrame:
-        """Rows that need a verdict, with text forms and key (not deduplicated)."""
+    def pair_rows(self, df: DataFrame, expected: str, actual: str) -> DataFrame:
+        """(expected, actual) text of every row that needs a verdict (not deduplicated)."""
         dtype = df.schema[expected].dataType
         e_text, a_text = list_text(F.col(expected), dtype), list_text(F.col(actual), dtype)
         return (df.where(judge_precheck(expected, actual, dtype).isNull())
-                .select(F.lit(self.model).alias("judge"),
-                        cache_key(F.lit(self.rubric), e_text, a_text).alias("key"),
-                        F.lit(self.rubric_id).alias("rubric_id"),
-                        e_text.alias("expected"), a_text.alias("actual")))
+                .select(e_text.alias("expected"), a_text.alias("actual")))
+
+    def keyed(self, pairs: DataFrame) -> DataFrame:
+        """Text pairs -> (judge, key, rubric_id, expected, actual)."""
+        return pairs.select(F.lit(self.model).alias("judge"),
+                            cache_key(F.lit(self.rubric), F.col("expected"), F.col("actual")).alias("key"),
+                            F.lit(self.rubric_id).alias("rubric_id"), "expected", "actual")
+
+    def pairs(self, df: DataFrame, expected: str, actual: str) -> DataFrame:
+        """Rows that need a verdict, with text forms and key (not deduplicated)."""
+        return self.keyed(self.pair_rows(df, expected, actual))
 
     def distinct_pairs(self, df: DataFrame, expected: str, actual: str) -> DataFrame:
         return self.pairs(df, expected, actual).dropDuplicates(["judge", "key"])
@@ -140,36 +147,41 @@ class Judge:
         calls = pairs.mapInPandas(_caller(self.call, {self.rubric_id: self.rubric}), CALL_SCHEMA)
         return parse_verdicts(calls)
 
-    def resolve(self, pairs: DataFrame) -> DataFrame:
-        """Verdicts for distinct ``pairs``: cache hits plus freshly judged misses,
-        read back from the cache table after the misses were appended to it."""
+    def resolve(self, pairs: DataFrame, stable: bool = False) -> DataFrame:
+        """Verdicts for distinct keyed ``pairs``: cache hits plus freshly judged
+        misses, read back from the cache table after the misses were appended.
+
+        ``pairs`` is scanned twice (misses, then the lookup); unless it comes
+        from a written table (``stable=True``) it is materialised first."""
         spark = pairs.sparkSession
         path = self.cache_path or scratch_path(spark, "judge_verdicts")
-        pairs = materialize(pairs)
+        if not stable:
+            pairs = materialize(pairs, "judge_pairs")
         cached = read_cache(spark, path)
         misses = pairs if cached is None else pairs.join(
             cached.select("judge", "key"), ["judge", "key"], "left_anti")
-        fresh = self.call_pairs(misses).drop("rep")
-        fresh.write.mode("append").parquet(path)
+        self.call_pairs(misses).drop("rep").write.mode("append").parquet(path)
         return read_cache(spark, path).join(pairs.select("judge", "key"), ["judge", "key"], "left_semi")
 
     # -- scorer protocol ----------------------------------------------------
-    def apply(self, df: DataFrame, expected: str, actual: str, out: str) -> DataFrame:
+    def attach(self, df: DataFrame, expected: str, actual: str, out: str, pairs: DataFrame,
+               n_pairs: int) -> DataFrame:
+        """Add the result column given the distinct text pairs of ``df`` (from a
+        written table) and their count, which decides the join strategy."""
         dtype = df.schema[expected].dataType
         pre = judge_precheck(expected, actual, dtype)
         e_text, a_text = list_text(F.col(expected), dtype), list_text(F.col(actual), dtype)
-        verdicts = materialize(self.resolve(self.distinct_pairs(df, expected, actual)))
-        verdicts = verdicts.select(F.col("key").alias("_jkey"), F.col("verdict").alias("_verdict"),
-                                   F.col("reasoning").alias("_reasoning"),
-                                   F.col("judge_error").alias(f"{out}_judge_error")).drop("judge")
+        verdicts = self.resolve(self.keyed(pairs), stable=True).select(
+            F.col("key").alias("_jkey"), F.col("verdict").alias("_verdict"),
+            F.col("reasoning").alias("_reasoning"), F.col("judge_error").alias(f"{out}_judge_error"))
         # Rows settled by the rules carry a per-row key that never matches a
         # sha256 hex, so they spread evenly instead of piling onto a null key.
+        scalar = [F.col(c) for c in df.columns
+                  if not isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType))]
         row_key = F.when(pre.isNull(), cache_key(F.lit(self.rubric), e_text, a_text)).otherwise(
-            F.concat(F.lit("#"), F.xxhash64(*[F.col(c) for c in df.columns
-                                             if not isinstance(df.schema[c].dataType,
-                                                               (T.ArrayType, T.MapType, T.StructType))]).cast("string")))
+            F.concat(F.lit("#"), F.xxhash64(*scalar).cast("string")))
         keyed = df.withColumn("_jkey", row_key).withColumn("_pre", pre)
-        if has_at_most(verdicts, self.max_broadcast_rows):
+        if n_pairs <= self.max_broadcast_rows:
             joined = keyed.join(F.broadcast(verdicts), "_jkey", "left")
         else:
             joined = keyed.join(verdicts, "_jkey", "left")
@@ -179,6 +191,10 @@ class Judge:
         return (joined.withColumn(out, F.coalesce(F.col("_pre"), judged))
                 .drop("_jkey", "_pre", "_verdict", "_reasoning"))
 
+    def apply(self, df: DataFrame, expected: str, actual: str, out: str) -> DataFrame:
+        pairs = materialize(self.pair_rows(df, expected, actual).distinct(), "judge_pairs")
+        return self.attach(df, expected, actual, out, pairs, pairs.count())
+
 
 def read_cache(spark, path: str) -> DataFrame | None:
     try:

@@ -22,7 +22,7 @@ from fieldmark.functions.scorers import (
     list_overlap,
     similarity_of,
 )
-from fieldmark.operators.joins import DEFAULT_BROADCAST_ROWS, has_at_most
+from fieldmark.operators.joins import DEFAULT_BROADCAST_ROWS
 from fieldmark.operators.materialize import materialize
 from fieldmark.schemas import EXAMPLE_PASS
 
@@ -57,24 +57,44 @@ class FuzzyMatch:
     dedupe: bool = True
     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS
 
-    def apply(self, df, expected, actual, out):
+    @property
+    def batched(self) -> bool:
+        """Scored over distinct pairs (a job of its own) rather than inline."""
+        return self.dedupe and self.metric != "levenshtein"
+
+    def inline(self, df, expected, actual, out):
+        e, a = F.col(expected), F.col(actual)
+        return df.withColumn(out, fuzzy_result(e, a, similarity_of(e, a, self.metric),
+                                               self.threshold))
+
+    def pair_rows(self, df, expected, actual):
+        """Lower-cased (expected, actual) of rows where both are present."""
+        e, a = F.col(expected), F.col(actual)
+        return (df.where(e.isNotNull() & a.isNotNull())
+                .select(F.lower(e.cast("string")).alias("expected"),
+                        F.lower(a.cast("string")).alias("actual")))
+
+    def attach(self, df, expected, actual, out, pairs, n_pairs):
+        """Join the similarity of each distinct pair back (broadcast); with more
+        distinct pairs than the bound, score inline instead (no shuffle)."""
+        if n_pairs > self.max_broadcast_rows:
+            return self.inline(df, expected, actual, out)
         e, a = F.col(expected), F.col(actual)
-        if not self.dedupe or self.metric == "levenshtein":
-            return df.withColumn(out, fuzzy_result(e, a, similarity_of(e, a, self.metric),
-                                                   self.threshold))
-        fa, fb = F.lower(e.cast("string")), F.lower(a.cast("string"))
-        pairs = (df.where(e.isNotNull() & a.isNotNull())
-                 .select(fa.alias("_fa"), fb.alias("_fb")).distinct())
-        pairs = pairs.withColumn("_ratio", SIMILARITY[self.metric](F.col("_fa"), F.col("_fb")))
-        scored = materialize(pairs)
-        if not has_at_most(scored, self.max_broadcast_rows):
-            return df.withColumn(out, fuzzy_result(e, a, similarity_of(e, a, self.metric),
-                                                   self.threshold))
-        joined = (df.withColumn("_fa", fa).withColumn("_fb", fb)
+        scored = pairs.select(F.col("expected").alias("_fa"), F.col("actual").alias("_fb"),
+                              SIMILARITY[self.metric](F.col("expected"), F.col("actual"))
+                              .alias("_ratio"))
+        joined = (df.withColumn("_fa", F.lower(e.cast("string")))
+                  .withColumn("_fb", F.lower(a.cast("string")))
                   .join(F.broadcast(scored), ["_fa", "_fb"], "left"))
         return (joined.withColumn(out, fuzzy_result(e, a, F.col("_ratio"), self.threshold))
                 .drop("_fa", "_fb", "_ratio"))
 
+    def apply(self, df, expected, actual, out):
+        if not self.batched:
+            return self.inline(df, expected, actual, out)
+        pairs = materialize(self.pair_rows(df, expected, actual).distinct(), "fuzzy_pairs")
+        return self.attach(df, expected, actual, out, pairs, pairs.count())
+
 
 @dataclass(frozen=True)
 class ListOverlap:
@@ -105,11 +125,37 @@ def result_columns(specs: list[FieldSpec]) -> list[str]:
     return names
 
 
+def _batched(scorer) -> bool:
+    return hasattr(scorer, "attach") and getattr(scorer, "batched", True)
+
+
 def score_fields(paired: DataFrame, specs: list[FieldSpec]) -> DataFrame:
-    """Add one ``STRUCT<score, passed, reason>`` column per spec."""
+    """Add one ``STRUCT<score, passed, reason>`` column per spec.
+
+    Scorers that work on distinct pairs share one pass over ``paired``: the
+    pairs of all of them are extracted and deduplicated together (partial
+    aggregation before the shuffle, so a pair repeated in a third of all rows
+    is one row per map task by then), written once, and counted per scorer
+    in one small aggregate that decides each join strategy."""
+    names = result_columns(specs)
+    batch = [(n, s) for n, s in zip(names, specs) if _batched(s.scorer)]
+    pairs = counts = None
+    if batch:
+        parts = [s.scorer.pair_rows(paired, f"e_{s.field}", f"a_{s.field}")
+                 .select(F.lit(n).alias("slot"), "expected", "actual") for n, s in batch]
+        union = parts[0]
+        for p in parts[1:]:
+            union = union.unionByName(p)
+        pairs = materialize(union.distinct(), "pairs")
+        counts = {r["slot"]: r["count"] for r in pairs.groupBy("slot").count().collect()}
     out = paired
-    for s, name in zip(specs, result_columns(specs)):
-        out = s.scorer.apply(out, f"e_{s.field}", f"a_{s.field}", name)
+    for n, s in zip(names, specs):
+        e, a = f"e_{s.field}", f"a_{s.field}"
+        if _batched(s.scorer):
+            slot_pairs = pairs.where(F.col("slot") == n).drop("slot")
+            out = s.scorer.attach(out, e, a, n, slot_pairs, counts.get(n, 0))
+        else:
+            out = s.scorer.apply(out, e, a, n)
     return out
 
 

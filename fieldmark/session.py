@@ -31,6 +31,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.ansi.enabled", "true")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for k, v in ENGINE_CONF.items():
         builder = builder.config(k, v)
