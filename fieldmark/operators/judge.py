@@ -71,13 +71,13 @@ def parse_verdicts(calls: DataFrame) -> DataFrame:
     a score outside {0, 1, 2} yields a null verdict and an error, not a failure."""
     parsed = F.from_json(F.col("raw_verdict"), JUDGE_VERDICT)
     out = calls.withColumn("_v", parsed)
-    ok = F.col("_v.score").isin(*VERDICT_VALUES)
+    ok = F.coalesce(F.col("_v.score").isin(*VERDICT_VALUES), F.lit(False))
     return out.select(
         "judge", "key", *([c for c in ("rep",) if c in calls.columns]),
         F.when(ok, F.col("_v.score")).alias("verdict"),
         F.when(ok, F.col("_v.reasoning")).alias("reasoning"),
-        F.when(~ok | F.col("_v").isNull(), F.concat(F.lit("invalid verdict: "),
-                                                    F.coalesce(F.col("raw_verdict"), F.lit("null"))))
+        F.when(~ok, F.concat(F.lit("invalid verdict: "),
+                             F.coalesce(F.col("raw_verdict"), F.lit("null"))))
         .alias("judge_error"),
     )
 
@@ -176,10 +176,10 @@ class Judge:
             F.col("reasoning").alias("_reasoning"), F.col("judge_error").alias(f"{out}_judge_error"))
         # Rows settled by the rules carry a per-row key that never matches a
         # sha256 hex, so they spread evenly instead of piling onto a null key.
-        scalar = [F.col(c) for c in df.columns
-                  if not isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType))]
+        hashable = [F.col(c) for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]
+        spread = F.xxhash64(*hashable).cast("string") if hashable else F.lit("")
         row_key = F.when(pre.isNull(), cache_key(F.lit(self.rubric), e_text, a_text)).otherwise(
-            F.concat(F.lit("#"), F.xxhash64(*scalar).cast("string")))
+            F.concat(F.lit("#"), spread))
         keyed = df.withColumn("_jkey", row_key).withColumn("_pre", pre)
         if n_pairs <= self.max_broadcast_rows:
             joined = keyed.join(F.broadcast(verdicts), "_jkey", "left")

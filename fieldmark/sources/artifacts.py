@@ -107,8 +107,9 @@ def read_experiment(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 def pick_runs(runs: DataFrame, time_col: str = "created_at") -> tuple[str, str]:
     """Default comparison pair: (oldest, newest) run; needs at least two runs.
     One aggregate row reaches the driver."""
-    row = runs.agg(F.count("*").alias("n"), F.min_by("run", time_col).alias("oldest"),
-                   F.max_by("run", time_col).alias("newest")).first()
+    order = F.struct(F.col(time_col), F.col("run"))  # runs written together tie on time
+    row = runs.agg(F.count("*").alias("n"), F.min_by("run", order).alias("oldest"),
+                   F.max_by("run", order).alias("newest")).first()
     if row["n"] < 2:
         raise ValueError("need at least 2 runs to compare")
     return row["oldest"], row["newest"]
