@@ -24,6 +24,7 @@ from fieldmark.operators import report as rp  # noqa: E402
 from fieldmark.operators.judge import token_overlap_judge  # noqa: E402
 from fieldmark.operators.materialize import materialize  # noqa: E402
 from fieldmark.plans.evaluate import default_specs, evaluate  # noqa: E402
+from fieldmark.operators.reshape import primary_scores  # noqa: E402
 from fieldmark.plans.registry import QUERIES  # noqa: E402
 from fieldmark.session import local_session  # noqa: E402
 from fieldmark.sources.fixtures import fixture  # noqa: E402
@@ -59,8 +60,7 @@ def main() -> None:
           .write.mode("overwrite").format("noop").save())
     timed("failures", lambda: rp.failures(ev.scored).write.mode("overwrite").format("noop").save())
     timed("category_breakdown", lambda: agg.category_breakdown(
-        ev.primary.join(ev.examples.select("run", "example_id", "category"),
-                        ["run", "example_id"])).collect())
+        primary_scores(ev.scored, ev.firsts, keys=("run", "example_id", "category"))).collect())
     timed("gates", lambda: gt.gates(gt.run_measures(ev.examples, ev.long, ev.primary)).collect())
     timed("compare", lambda: cmp.compare_runs(ev.primary, summary, "baseline", "candidate")
           .collect())

@@ -165,26 +165,48 @@ class Judge:
 
     # -- scorer protocol ----------------------------------------------------
     def attach(self, df: DataFrame, expected: str, actual: str, out: str, pairs: DataFrame,
-               n_pairs: int) -> DataFrame:
+               stats) -> DataFrame:
         """Add the result column given the distinct text pairs of ``df`` (from a
-        written table) and their count, which decides the join strategy."""
+        written table, with ``n_rows`` per pair when known) and their counts.
+
+        Few pairs: one broadcast hash join, no shuffle of ``df``.  Many pairs: a
+        shuffle join in which no key can be hot: pairs standing for more than
+        1/(2P) of the rows (P = shuffle partitions; so at most 2P of them, a
+        proven bound) are joined through a broadcast first, and those rows, like
+        rows the null/empty rules settled, carry a per-row spread key into
+        the shuffle join with the remaining verdicts."""
+        spark = df.sparkSession
         dtype = df.schema[expected].dataType
         pre = judge_precheck(expected, actual, dtype)
         e_text, a_text = list_text(F.col(expected), dtype), list_text(F.col(actual), dtype)
         verdicts = self.resolve(self.keyed(pairs), stable=True).select(
             F.col("key").alias("_jkey"), F.col("verdict").alias("_verdict"),
             F.col("reasoning").alias("_reasoning"), F.col("judge_error").alias(f"{out}_judge_error"))
-        # Rows settled by the rules carry a per-row key that never matches a
-        # sha256 hex, so they spread evenly instead of piling onto a null key.
         hashable = [F.col(c) for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]
-        spread = F.xxhash64(*hashable).cast("string") if hashable else F.lit("")
-        row_key = F.when(pre.isNull(), cache_key(F.lit(self.rubric), e_text, a_text)).otherwise(
-            F.concat(F.lit("#"), spread))
-        keyed = df.withColumn("_jkey", row_key).withColumn("_pre", pre)
-        if n_pairs <= self.max_broadcast_rows:
+        spread = F.concat(F.lit("#"), F.xxhash64(*hashable).cast("string") if hashable else F.lit(""))
+        key = cache_key(F.lit(self.rubric), e_text, a_text)
+        keyed = df.withColumn("_pre", pre).withColumn(
+            "_jkey", F.when(F.col("_pre").isNull(), key).otherwise(spread))
+        if stats.pairs <= self.max_broadcast_rows:
             joined = keyed.join(F.broadcast(verdicts), "_jkey", "left")
         else:
-            joined = keyed.join(verdicts, "_jkey", "left")
+            parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            hot_min = max(2, stats.rows // (2 * parts)) if stats.rows else None
+            if hot_min is not None and "n_rows" in pairs.columns:
+                hot_keys = self.keyed(pairs.where(F.col("n_rows") >= hot_min)).select(
+                    F.col("key").alias("_jkey"))
+                hot = verdicts.join(hot_keys, "_jkey", "left_semi")
+                cold = verdicts.join(hot_keys, "_jkey", "left_anti")
+                first = keyed.join(F.broadcast(hot.select(
+                    "_jkey", *[F.col(c).alias(c + "_h") for c in hot.columns if c != "_jkey"])),
+                    "_jkey", "left")
+                is_hot = F.col("_verdict_h").isNotNull() | F.col(f"{out}_judge_error_h").isNotNull()
+                second = first.withColumn("_jkey", F.when(is_hot, spread).otherwise(F.col("_jkey")))
+                joined = second.join(cold, "_jkey", "left")
+                for c in ("_verdict", "_reasoning", f"{out}_judge_error"):
+                    joined = joined.withColumn(c, F.coalesce(F.col(c + "_h"), F.col(c))).drop(c + "_h")
+            else:
+                joined = keyed.join(verdicts, "_jkey", "left")
         score = verdict_score(F.col("_verdict"))
         judged = result(score, F.coalesce(score >= F.lit(self.threshold), F.lit(False)),
                         F.col("_reasoning"))
@@ -192,8 +214,12 @@ class Judge:
                 .drop("_jkey", "_pre", "_verdict", "_reasoning"))
 
     def apply(self, df: DataFrame, expected: str, actual: str, out: str) -> DataFrame:
-        pairs = materialize(self.pair_rows(df, expected, actual).distinct(), "judge_pairs")
-        return self.attach(df, expected, actual, out, pairs, pairs.count())
+        from fieldmark.operators.score import PairStats
+
+        pairs = materialize(self.pair_rows(df, expected, actual).groupBy("expected", "actual")
+                            .agg(F.count("*").alias("n_rows")), "judge_pairs")
+        n = pairs.agg(F.count("*").alias("p"), F.sum("n_rows").alias("r")).first()
+        return self.attach(df, expected, actual, out, pairs, PairStats(n["p"], n["r"] or 0))
 
 
 def read_cache(spark, path: str) -> DataFrame | None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldmark.operators import reshape as rs
 from fieldmark.operators.reshape import first_wins, pivot_fields
 from fieldmark.schemas import FIELDS
 
@@ -36,6 +37,20 @@ def example_table_wide(scored: DataFrame, firsts: dict[str, str], fields: list[s
         "overall_score", "passed")
 
 
+def example_table_nested(examples: DataFrame, fields: list[str] = FIELDS,
+                         field_results_col: str = "field_results") -> DataFrame:
+    """Same table from per-example rows holding the nested field results (the
+    artifact layout): first-wins inside each row, then a map lookup per field.
+    The pivot happens within the row, so nothing is shuffled."""
+    firsts = rs.first_wins_nested(F.col(field_results_col))
+    scores = F.map_from_arrays(F.transform(firsts, lambda x: x["field"]),
+                               F.transform(firsts, lambda x: x["result"]["score"]))
+    return examples.select(
+        "run", "example_id", F.coalesce(F.col("category"), F.lit("")).alias("category"),
+        *[F.coalesce(F.element_at(scores, F.lit(f)), F.lit(0.0)).alias(f) for f in fields],
+        "overall_score", "passed")
+
+
 def failures(scored: DataFrame, field_results_col: str = "field_results") -> DataFrame:
     """Every failed field result (all entries, no first-wins) of every failed
     example: example, field, scorer, score, reason (``''`` when none)."""

@@ -74,10 +74,10 @@ class FuzzyMatch:
                 .select(F.lower(e.cast("string")).alias("expected"),
                         F.lower(a.cast("string")).alias("actual")))
 
-    def attach(self, df, expected, actual, out, pairs, n_pairs):
+    def attach(self, df, expected, actual, out, pairs, stats):
         """Join the similarity of each distinct pair back (broadcast); with more
         distinct pairs than the bound, score inline instead (no shuffle)."""
-        if n_pairs > self.max_broadcast_rows:
+        if stats.pairs > self.max_broadcast_rows:
             return self.inline(df, expected, actual, out)
         e, a = F.col(expected), F.col(actual)
         scored = pairs.select(F.col("expected").alias("_fa"), F.col("actual").alias("_fb"),
@@ -93,7 +93,7 @@ class FuzzyMatch:
         if not self.batched:
             return self.inline(df, expected, actual, out)
         pairs = materialize(self.pair_rows(df, expected, actual).distinct(), "fuzzy_pairs")
-        return self.attach(df, expected, actual, out, pairs, pairs.count())
+        return self.attach(df, expected, actual, out, pairs, PairStats(pairs.count(), 0))
 
 
 @dataclass(frozen=True)
@@ -125,6 +125,14 @@ def result_columns(specs: list[FieldSpec]) -> list[str]:
     return names
 
 
+@dataclass(frozen=True)
+class PairStats:
+    """Distinct pairs of a batch scorer and the rows they stand for."""
+
+    pairs: int
+    rows: int
+
+
 def _batched(scorer) -> bool:
     return hasattr(scorer, "attach") and getattr(scorer, "batched", True)
 
@@ -146,14 +154,16 @@ def score_fields(paired: DataFrame, specs: list[FieldSpec]) -> DataFrame:
         union = parts[0]
         for p in parts[1:]:
             union = union.unionByName(p)
-        pairs = materialize(union.distinct(), "pairs")
-        counts = {r["slot"]: r["count"] for r in pairs.groupBy("slot").count().collect()}
+        pairs = materialize(union.groupBy("slot", "expected", "actual")
+                            .agg(F.count("*").alias("n_rows")), "pairs")
+        counts = {r["slot"]: PairStats(r["pairs"], r["rows"]) for r in pairs.groupBy("slot").agg(
+            F.count("*").alias("pairs"), F.sum("n_rows").alias("rows")).collect()}
     out = paired
     for n, s in zip(names, specs):
         e, a = f"e_{s.field}", f"a_{s.field}"
         if _batched(s.scorer):
             slot_pairs = pairs.where(F.col("slot") == n).drop("slot")
-            out = s.scorer.attach(out, e, a, n, slot_pairs, counts.get(n, 0))
+            out = s.scorer.attach(out, e, a, n, slot_pairs, counts.get(n, PairStats(0, 0)))
         else:
             out = s.scorer.apply(out, e, a, n)
     return out

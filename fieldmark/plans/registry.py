@@ -262,9 +262,18 @@ def q_field_distribution(spark, sf_dir):
 
 
 def q_example_table(spark, sf_dir):
+    """Per-example table from the nested per-example results (artifact layout),
+    with the category looked up from the golden set by example id."""
     ev, golden = _evaluation(spark, sf_dir)
-    examples = attach_category(ev.examples.drop("category"), golden)
-    return _round_doubles(rp.example_table(ev.long, examples))
+    examples = attach_category(ev.scored.select("run", "example_id", "field_results",
+                                                "overall_score", "passed"), golden)
+    return _round_doubles(rp.example_table_nested(examples))
+
+
+def q_example_table_long(spark, sf_dir):
+    """Same table pivoted from the long field-results table (groupBy + pivot)."""
+    ev, _ = _evaluation(spark, sf_dir)
+    return _round_doubles(rp.example_table(ev.long, ev.examples))
 
 
 def q_scores_long(spark, sf_dir):
@@ -285,8 +294,7 @@ def q_category_counts(spark, sf_dir):
 
 def q_category_breakdown(spark, sf_dir):
     ev, _ = _evaluation(spark, sf_dir)
-    prim = ev.primary.join(ev.examples.select("run", "example_id", "category"),
-                           ["run", "example_id"])
+    prim = rs.primary_scores(ev.scored, ev.firsts, keys=("run", "example_id", "category"))
     return _round_doubles(agg.category_breakdown(prim))
 
 
@@ -400,6 +408,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "field_stats": q_field_stats,
     "field_distribution": q_field_distribution,
     "example_table": q_example_table,
+    "example_table_long": q_example_table_long,
     "scores_long": q_scores_long,
     "failures": q_failures,
     "category_counts": q_category_counts,

@@ -377,6 +377,8 @@ SELECT run, example_id, coalesce(category, '') AS category,
        {r6('overall_score')} AS overall_score, passed
 FROM scored"""
 
+Q["example_table_long"] = Q["example_table"]
+
 Q["scores_long"] = _with_scored() + f"""
 SELECT run, example_id, field, {r6('coalesce(score, 0.0)')} AS score FROM long"""
 

@@ -86,3 +86,20 @@ def test_repeated_judgements_variance(spark):
         assert r["passed"] == (r["variance"] < 0.2)
     one = judge_variance(repeat_judgements(j, pairs.limit(1), 1)).collect()[0]
     assert one["variance"] == 0.0
+
+
+def test_shuffle_path_with_hot_key_matches_broadcast_path(spark):
+    """Force the non-broadcast join: one pair holds most rows (hot), others are
+    cold, some rows are settled by the rules; results must not depend on the path."""
+    rows = ([("Data Engineer", "data engineer")] * 400 + [(f"role {i}", f"role {i % 7}") for i in range(60)]
+            + [(None, "x")] * 30 + [(None, None)] * 30)
+    df = spark.createDataFrame(rows, "e string, a string").withColumn("id", F.monotonically_increasing_id())
+    df = df.cache()
+    small = Judge(rubric_id="title", rubric="R", model="m", call=token_overlap_judge)
+    forced = Judge(rubric_id="title", rubric="R", model="m", call=token_overlap_judge,
+                   max_broadcast_rows=0)
+    a = {r["id"]: r["out"] for r in small.apply(df, "e", "a", "out").collect()}
+    plan_df = forced.apply(df, "e", "a", "out")
+    b = {r["id"]: r["out"] for r in plan_df.collect()}
+    assert a == b and len(a) == len(rows)
+    assert sum(1 for v in b.values() if v["score"] == 1.0) >= 400
