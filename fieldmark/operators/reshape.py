@@ -56,3 +56,21 @@ def melt_means(compare_rows: DataFrame) -> DataFrame:
     fields_only = compare_rows.where(F.col("field") != "overall")
     melted = fields_only.unpivot(["field"], ["baseline_mean", "candidate_mean"], "model", "mean_score")
     return melted.withColumn("model", F.regexp_replace("model", "_mean", ""))
+
+
+def field_order(field: Column | str, fields: list[str] = FIELDS) -> Column:
+    """Display position of a field (1-based; fields outside the list sort last)."""
+    f = F.col(field) if isinstance(field, str) else field
+    pos = F.array_position(F.array(*[F.lit(x) for x in fields]), f)
+    return F.when(pos > 0, pos).otherwise(F.lit(len(fields) + 1))
+
+
+def in_display_order(df: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
+    """Rows ordered as reports show them: by run, then field order, then
+    example id (a sort for presentation only; nothing inside the engine
+    depends on row order)."""
+    keys = [c for c in ("run",) if c in df.columns]
+    if "field" in df.columns:
+        keys.append(field_order("field", fields))
+    keys += [c for c in ("example_id",) if c in df.columns]
+    return df.orderBy(*keys)

@@ -354,6 +354,22 @@ def q_artifact_roundtrip(spark, sf_dir):
     return _round_doubles(stats.unionByName(overall))
 
 
+# -- S1 ----------------------------------------------------------------------------
+def q_golden_jsonl_roundtrip(spark, sf_dir):
+    """Golden set written as JSON Lines, scanned back with validation; per
+    category: examples, expected skills in all, examples with a location."""
+    from fieldmark.sources.golden import read_golden, write_golden
+
+    golden, _ = _fixture(spark, sf_dir)
+    path = scratch_path(spark, "golden_jsonl")
+    write_golden(golden, path)
+    back = read_golden(spark, path, on_error="raise", domains=FIXTURE_DOMAINS)
+    return back.groupBy("category").agg(
+        F.count("*").alias("n"),
+        F.sum(F.size("expected.skills")).cast("bigint").alias("n_skills"),
+        F.count("expected.location").alias("n_location"))
+
+
 # -- M1-M4 ---------------------------------------------------------------------------
 def q_predict_stub(spark, sf_dir):
     from fieldmark.operators.predict import documents_as_golden, predict, stub_extractor
@@ -419,6 +435,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hallucinations": q_hallucinations,
     "validate_golden": q_validate_golden,
     "artifact_roundtrip": q_artifact_roundtrip,
+    "golden_jsonl_roundtrip": q_golden_jsonl_roundtrip,
     "predict_stub": q_predict_stub,
     "label_eval": q_label_eval,
 }

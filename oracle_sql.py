@@ -494,6 +494,10 @@ UNION ALL
 SELECT run, 'overall', CAST(count(*) AS BIGINT), {r6('avg(overall_score)')},
        {r6('avg(CAST(passed AS DOUBLE))')} FROM scored GROUP BY run"""
 
+Q["golden_jsonl_roundtrip"] = _ctes() + """
+SELECT category, CAST(count(*) AS BIGINT) AS n, CAST(sum(len(e_skills)) AS BIGINT) AS n_skills,
+       CAST(count(e_location) AS BIGINT) AS n_location FROM fx_golden GROUP BY category"""
+
 _PROMPT = "('Title: ' || concat_ws(' ', source, lang) || chr(10) || chr(10) || 'Description:' || chr(10) || text)"
 _SKILL_LIST = "[" + ", ".join(lit(s) for s in STUB_SKILLS) + "]"
 Q["predict_stub"] = f"""

@@ -155,3 +155,30 @@ def test_validate_raise_and_split(spark, sf_small):
         validate(bad, domains=FIXTURE_DOMAINS)
     good, rejected = validate(bad, on_error="split", domains=FIXTURE_DOMAINS)
     assert good.count() + rejected.count() == g.count() and rejected.count() > 0
+
+
+def test_read_golden_jsonl(spark):
+    import json
+
+    from fieldmark.sources.golden import read_golden
+
+    def write_lines(path, lines):
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+
+    good = {"id": "ex_1", "category": "c", "input": {"raw_title": "t", "raw_description": "d"},
+            "expected": {"title": "T", "seniority": "senior"}}
+    d = scratch_path(spark, "golden_src")
+    write_lines(d, ["", json.dumps(good) + "  ", "", "   ", json.dumps(dict(good, id="ex_3"))])
+    rows = read_golden(spark, d).orderBy("line_order").collect()
+    assert [r["id"] for r in rows] == ["ex_1", "ex_3"] and rows[0]["expected"]["skills"] == []
+    d2 = scratch_path(spark, "golden_src")
+    write_lines(d2, [json.dumps(good),
+                     json.dumps(dict(good, id="ex_2", expected={"title": "T", "skills": None})),
+                     json.dumps(dict(good, id="ex_4", expected={"seniority": "boss"})),
+                     json.dumps(dict(good, id="ex_5"))])
+    with pytest.raises(ValueError):
+        read_golden(spark, d2)
+    ok, bad = read_golden(spark, d2, on_error="split")
+    assert ok.count() == 2
+    assert sorted(tuple(r["violations"]) for r in bad.collect()) == [
+        ("seniority not in domain",), ("skills is null",)]
