@@ -30,12 +30,17 @@ def result(score: Column, passed: Column, reason: Column | None = None) -> Colum
     )
 
 
-def exact_match(expected: Column | str, actual: Column | str) -> Column:
-    """Case-insensitive, whitespace-trimmed equality of ``str()`` forms."""
+def exact_match(expected: Column | str, actual: Column | str,
+                matched: Column | None = None) -> Column:
+    """Case-insensitive, whitespace-trimmed equality of ``str()`` forms.
+
+    ``matched`` may carry the normalised comparison computed once in a
+    preceding projection (it is used by both score and passed)."""
     e, a = as_col(expected), as_col(actual)
     both_null = e.isNull() & a.isNull()
     one_null = e.isNull() | a.isNull()
-    matched = norm(e) == norm(a)
+    if matched is None:
+        matched = norm(e) == norm(a)
     score = F.when(both_null, 1.0).when(one_null, 0.0).when(matched, 1.0).otherwise(0.0)
     passed = F.when(both_null, True).when(one_null, False).otherwise(matched)
     reason = F.when(~both_null & one_null, mismatch_reason(e, a))

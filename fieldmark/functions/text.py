@@ -15,7 +15,12 @@ PY_WHITESPACE_CLASS = (
     "[\\x09\\x0a\\x0b\\x0c\\x0d\\x1c\\x1d\\x1e\\x1f\\x20\\x85\\xa0\\u1680"
     "\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 )
-_STRIP_RE = f"^{PY_WHITESPACE_CLASS}+|{PY_WHITESPACE_CLASS}+$"
+# The same 29 characters as a plain string, for Spark's set-based trim.
+PY_WHITESPACE = (
+    "\x09\x0a\x0b\x0c\x0d\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def as_col(c: Column | str) -> Column:
@@ -23,8 +28,9 @@ def as_col(c: Column | str) -> Column:
 
 
 def py_strip(c: Column | str) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(as_col(c), _STRIP_RE, "")
+    """Python ``str.strip()``: remove leading/trailing Unicode whitespace
+    (``trim`` with a character set: no regex)."""
+    return F.trim(as_col(c), F.lit(PY_WHITESPACE))
 
 
 def norm(c: Column | str) -> Column:

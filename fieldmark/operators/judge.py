@@ -118,12 +118,16 @@ class Judge:
     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS
 
     # -- pieces -------------------------------------------------------------
+    def pair_columns(self, df: DataFrame, expected: str, actual: str):
+        """(condition, expected text, actual text) of rows that need a verdict."""
+        dtype = df.schema[expected].dataType
+        return (judge_precheck(expected, actual, dtype).isNull(),
+                list_text(F.col(expected), dtype), list_text(F.col(actual), dtype))
+
     def pair_rows(self, df: DataFrame, expected: str, actual: str) -> DataFrame:
         """(expected, actual) text of every row that needs a verdict (not deduplicated)."""
-        dtype = df.schema[expected].dataType
-        e_text, a_text = list_text(F.col(expected), dtype), list_text(F.col(actual), dtype)
-        return (df.where(judge_precheck(expected, actual, dtype).isNull())
-                .select(e_text.alias("expected"), a_text.alias("actual")))
+        cond, e_text, a_text = self.pair_columns(df, expected, actual)
+        return df.where(cond).select(e_text.alias("expected"), a_text.alias("actual"))
 
     def keyed(self, pairs: DataFrame) -> DataFrame:
         """Text pairs -> (judge, key, rubric_id, expected, actual)."""

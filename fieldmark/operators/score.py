@@ -22,6 +22,7 @@ from fieldmark.functions.scorers import (
     list_overlap,
     similarity_of,
 )
+from fieldmark.functions.text import norm
 from fieldmark.operators.joins import DEFAULT_BROADCAST_ROWS
 from fieldmark.operators.materialize import materialize
 from fieldmark.schemas import EXAMPLE_PASS
@@ -38,7 +39,11 @@ class ExactMatch:
     name: str = "exact_match"
 
     def apply(self, df, expected, actual, out):
-        return df.withColumn(out, exact_match(expected, actual))
+        # the comparison is its own column so score and passed share it (Spark
+        # does not inline a non-trivial expression that is used twice)
+        m = f"_{out}_matched"
+        return (df.withColumn(m, norm(expected) == norm(actual))
+                .withColumn(out, exact_match(expected, actual, F.col(m))).drop(m))
 
 
 @dataclass(frozen=True)
@@ -67,12 +72,15 @@ class FuzzyMatch:
         return df.withColumn(out, fuzzy_result(e, a, similarity_of(e, a, self.metric),
                                                self.threshold))
 
-    def pair_rows(self, df, expected, actual):
-        """Lower-cased (expected, actual) of rows where both are present."""
+    def pair_columns(self, df, expected, actual):
+        """(condition, expected, actual): lower-cased values where both are present."""
         e, a = F.col(expected), F.col(actual)
-        return (df.where(e.isNotNull() & a.isNotNull())
-                .select(F.lower(e.cast("string")).alias("expected"),
-                        F.lower(a.cast("string")).alias("actual")))
+        return (e.isNotNull() & a.isNotNull(), F.lower(e.cast("string")),
+                F.lower(a.cast("string")))
+
+    def pair_rows(self, df, expected, actual):
+        cond, fe, fa = self.pair_columns(df, expected, actual)
+        return df.where(cond).select(fe.alias("expected"), fa.alias("actual"))
 
     def attach(self, df, expected, actual, out, pairs, stats):
         """Join the similarity of each distinct pair back (broadcast); with more
@@ -149,12 +157,14 @@ def score_fields(paired: DataFrame, specs: list[FieldSpec]) -> DataFrame:
     batch = [(n, s) for n, s in zip(names, specs) if _batched(s.scorer)]
     pairs = counts = None
     if batch:
-        parts = [s.scorer.pair_rows(paired, f"e_{s.field}", f"a_{s.field}")
-                 .select(F.lit(n).alias("slot"), "expected", "actual") for n, s in batch]
-        union = parts[0]
-        for p in parts[1:]:
-            union = union.unionByName(p)
-        pairs = materialize(union.groupBy("slot", "expected", "actual")
+        entries = []
+        for n, s in batch:
+            cond, e_text, a_text = s.scorer.pair_columns(paired, f"e_{s.field}", f"a_{s.field}")
+            entries.append(F.when(cond, F.struct(F.lit(n).alias("slot"), e_text.alias("expected"),
+                                                 a_text.alias("actual"))))
+        # one scan: each row contributes the pairs of every batch scorer it needs
+        rows = paired.select(F.inline(F.filter(F.array(*entries), lambda x: x.isNotNull())))
+        pairs = materialize(rows.groupBy("slot", "expected", "actual")
                             .agg(F.count("*").alias("n_rows")), "pairs")
         counts = {r["slot"]: PairStats(r["pairs"], r["rows"]) for r in pairs.groupBy("slot").agg(
             F.count("*").alias("pairs"), F.sum("n_rows").alias("rows")).collect()}

@@ -110,7 +110,8 @@ def evaluate(golden: DataFrame, predictions: DataFrame, specs: list[FieldSpec],
     if persist and frame_scorers:
         paired = materialize(paired, "paired")
     scored = add_overall(score_fields(paired, specs), specs, pass_threshold, weights)
-    scored = scored.withColumn("field_results", field_results_array(specs))
     if persist:
         scored = materialize(scored, "scored")
-    return Evaluation(scored, specs)
+    # the nested per-example list is a projection of the result columns:
+    # computed on read rather than stored twice
+    return Evaluation(scored.withColumn("field_results", field_results_array(specs)), specs)
