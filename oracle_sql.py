@@ -109,8 +109,8 @@ SELECT p.run, p.example_id, g.k, g.category,
 FROM fx_pred p JOIN fx_golden g ON p.example_id = g.id
 """
 
-LCS_DP = """
-SELECT a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda z: 0::BIGINT) AS r FROM lpairs
+LCS_DP_TEMPLATE = """
+SELECT a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda z: 0::BIGINT) AS r FROM {src}
 UNION ALL
 SELECT a, b, i + 1,
   list_reduce(list_transform(range(1, length(b) + 1),
@@ -118,8 +118,9 @@ SELECT a, b, i + 1,
     lambda c, x: list_append(c, CASE WHEN x[2] = 1 THEN r[x[1]] + 1
                                 ELSE greatest(r[x[1] + 1], c[len(c)]) END),
     [0::BIGINT])
-FROM dp WHERE i < length(a)
+FROM {dp} WHERE i < length(a)
 """
+LCS_DP = LCS_DP_TEMPLATE.format(src="lpairs", dp="dp")
 
 
 def _ctes(extra: str = "") -> str:
@@ -280,6 +281,40 @@ Q["score_levenshtein"] = _ctes() + f"""
 SELECT run, example_id, {_result_select('location', fuzzy_cols(LEV_RATIO))} FROM paired"""
 
 
+def _toks(x: str) -> str:
+    return (f"list_sort(list_distinct(list_filter(regexp_split_to_array({x}, '{WS}+'), "
+            f"lambda t: t <> '')))")
+
+
+_TS_CTES = (
+    "tpairs AS (SELECT DISTINCT lower(e_location) AS a, lower(a_location) AS b FROM paired "
+    "WHERE e_location IS NOT NULL AND a_location IS NOT NULL), "
+    f"tok AS (SELECT a, b, {_toks('a')} AS ta, {_toks('b')} AS tb FROM tpairs), "
+    "parts AS (SELECT a, b, ta, tb, "
+    "list_filter(ta, lambda t: list_contains(tb, t)) AS sect, "
+    "array_to_string(list_filter(ta, lambda t: NOT list_contains(tb, t)), ' ') AS ab, "
+    "array_to_string(list_filter(tb, lambda t: NOT list_contains(ta, t)), ' ') AS ba FROM tok), "
+    "rpairs AS (SELECT DISTINCT ab AS a, ba AS b FROM parts), "
+    f"rdp AS ({LCS_DP_TEMPLATE.format(src='rpairs', dp='rdp')}), "
+    "rlcs AS (SELECT a, b, r[len(r)] AS lcs FROM rdp WHERE i = length(a)), "
+    "m AS (SELECT p.a, p.b, len(ta) AS nta, len(tb) AS ntb, len(sect) AS nsect, "
+    "CAST(length(array_to_string(sect, ' ')) AS DOUBLE) AS sl, "
+    "CAST(CASE WHEN len(sect) > 0 THEN 1 ELSE 0 END AS DOUBLE) AS hs, "
+    "CAST(length(ab) AS DOUBLE) AS abl, CAST(length(ba) AS DOUBLE) AS bal, "
+    "CAST(r.lcs AS DOUBLE) AS lcs FROM parts p JOIN rlcs r ON r.a = p.ab AND r.b = p.ba), "
+    "ts AS (SELECT a, b, CASE WHEN nta = 0 OR ntb = 0 THEN 0.0 "
+    "WHEN nsect > 0 AND (nta = nsect OR ntb = nsect) THEN 1.0 "
+    "WHEN nsect = 0 THEN (CASE WHEN (sl + hs + abl) + (sl + hs + bal) = 0 THEN 1.0 "
+    "ELSE 1.0 - (abl + bal - 2 * lcs) / ((sl + hs + abl) + (sl + hs + bal)) END) "
+    "ELSE greatest(1.0 - (abl + bal - 2 * lcs) / ((sl + hs + abl) + (sl + hs + bal)), "
+    "1.0 - (hs + abl) / (sl + (sl + hs + abl)), 1.0 - (hs + bal) / (sl + (sl + hs + bal))) END "
+    "AS ratio FROM m)")
+TS_RATIO = "CAST(ts.ratio AS DOUBLE)"
+Q["score_token_set"] = _ctes(_TS_CTES) + f"""
+SELECT run, example_id, {_result_select('location', fuzzy_cols(TS_RATIO))} FROM paired
+LEFT JOIN ts ON ts.a = lower(e_location) AND ts.b = lower(a_location)"""
+
+
 def _overlap(measure: str) -> str:
     le = "list_distinct(list_transform(e_skills, lambda x: lower(x)))"
     la = "list_distinct(list_transform(a_skills, lambda x: lower(x)))"
