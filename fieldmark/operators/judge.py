@@ -151,21 +151,42 @@ class Judge:
         calls = pairs.mapInPandas(_caller(self.call, {self.rubric_id: self.rubric}), CALL_SCHEMA)
         return parse_verdicts(calls)
 
-    def resolve(self, pairs: DataFrame, stable: bool = False) -> DataFrame:
+    def resolve(self, pairs: DataFrame, stable: bool = False, n_pairs: int | None = None
+                ) -> DataFrame:
         """Verdicts for distinct keyed ``pairs``: cache hits plus freshly judged
         misses, read back from the cache table after the misses were appended.
 
-        ``pairs`` is scanned twice (misses, then the lookup); unless it comes
-        from a written table (``stable=True``) it is materialised first."""
+        The cache is partitioned by judge model (a run reads only its model's
+        partition).  With ``n_pairs`` at most the broadcast bound, the cache is
+        probed against a broadcast of the run's keys, so the cache, which grows
+        with every run, is streamed and never shuffled.  ``pairs`` is scanned
+        more than once; unless it comes from a written table (``stable=True``)
+        it is materialised first."""
         spark = pairs.sparkSession
         path = self.cache_path or scratch_path(spark, "judge_verdicts")
         if not stable:
             pairs = materialize(pairs, "judge_pairs")
-        cached = read_cache(spark, path)
-        misses = pairs if cached is None else pairs.join(
-            cached.select("judge", "key"), ["judge", "key"], "left_anti")
-        self.call_pairs(misses).drop("rep").write.mode("append").parquet(path)
-        return read_cache(spark, path).join(pairs.select("judge", "key"), ["judge", "key"], "left_semi")
+        small = n_pairs is not None and n_pairs <= self.max_broadcast_rows
+        keys = pairs.select("judge", "key")
+        keys_side = F.broadcast(keys) if small else keys
+
+        def cached_for_run():
+            cached = read_cache(spark, path)
+            if cached is None:
+                return None
+            return cached.where(F.col("judge") == self.model).join(
+                keys_side, ["judge", "key"], "left_semi")
+
+        hits = cached_for_run()
+        if hits is None:
+            misses = pairs
+        else:
+            hit_keys = hits.select("judge", "key")
+            misses = pairs.join(F.broadcast(hit_keys) if small else hit_keys,
+                                ["judge", "key"], "left_anti")
+        (self.call_pairs(misses).drop("rep")
+         .write.mode("append").partitionBy("judge").parquet(path))
+        return cached_for_run()
 
     # -- scorer protocol ----------------------------------------------------
     def attach(self, df: DataFrame, expected: str, actual: str, out: str, pairs: DataFrame,
@@ -183,7 +204,7 @@ class Judge:
         dtype = df.schema[expected].dataType
         pre = judge_precheck(expected, actual, dtype)
         e_text, a_text = list_text(F.col(expected), dtype), list_text(F.col(actual), dtype)
-        verdicts = self.resolve(self.keyed(pairs), stable=True).select(
+        verdicts = self.resolve(self.keyed(pairs), stable=True, n_pairs=stats.pairs).select(
             F.col("key").alias("_jkey"), F.col("verdict").alias("_verdict"),
             F.col("reasoning").alias("_reasoning"), F.col("judge_error").alias(f"{out}_judge_error"))
         hashable = [F.col(c) for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]
@@ -227,6 +248,7 @@ class Judge:
 
 
 def read_cache(spark, path: str) -> DataFrame | None:
+    """The verdict cache at ``path`` (partitioned by judge model), or None."""
     try:
         return spark.read.schema(VERDICTS_SCHEMA).parquet(path)
     except AnalysisException:
