@@ -26,6 +26,8 @@ from fieldmark.schemas import JOB_INFO
 
 ModelFn = Callable[[pd.DataFrame], pd.DataFrame]
 
+ANSWER = T.StructType(JOB_INFO.fields + [T.StructField("_corrupt", T.StringType())])
+
 CALL_OUT = T.StructType([
     T.StructField("example_id", T.StringType()),
     T.StructField("job_info_json", T.StringType()),
@@ -63,9 +65,13 @@ def _caller(fn: ModelFn):
     return run
 
 
-def predict(golden: DataFrame, fn: ModelFn, run: str, concurrency: int | None = None
-            ) -> DataFrame:
-    """Predictions (``PREDICTIONS`` layout) for every golden example."""
+def predict(golden: DataFrame, fn: ModelFn, run: str, concurrency: int | None = None,
+            persist: bool = True) -> DataFrame:
+    """Predictions (``PREDICTIONS`` layout) for every golden example, plus
+    ``answer_error`` (null, or why the model's answer is not a valid record).
+
+    ``persist`` writes the predictions to the shared folder before anything
+    uses them: recomputing them would call the model again."""
     req = golden.select(
         F.col("id").alias("example_id"),
         F.col("input")["raw_title"].alias("raw_title"),
@@ -74,13 +80,22 @@ def predict(golden: DataFrame, fn: ModelFn, run: str, concurrency: int | None =
     if concurrency:
         req = req.repartition(concurrency)
     out = req.mapInPandas(_caller(fn), CALL_OUT)
-    info = F.from_json("job_info_json", JOB_INFO)
-    return out.select(
+    parsed = F.from_json("job_info_json", ANSWER, {"columnNameOfCorruptRecord": "_corrupt"})
+    info = F.struct(*[parsed[f.name].alias(f.name) for f in JOB_INFO.fields])
+    bad = parsed.isNull() | parsed["_corrupt"].isNotNull()
+    preds = out.select(
         F.lit(run).alias("run"), "example_id",
-        info.withField("skills", F.coalesce(info["skills"], F.array().cast("array<string>")))
+        F.when(~bad, info.withField("skills", F.coalesce(info["skills"],
+                                                          F.array().cast("array<string>"))))
         .alias("job_info"),
         "latency_ms",
-        F.coalesce("total_tokens", F.lit(0)).cast("bigint").alias("total_tokens"))
+        F.coalesce("total_tokens", F.lit(0)).cast("bigint").alias("total_tokens"),
+        F.when(bad, F.lit("unparseable answer")).alias("answer_error"))
+    if persist:
+        from fieldmark.operators.materialize import materialize
+
+        preds = materialize(preds, "predictions")
+    return preds
 
 
 def documents_as_golden(docs: DataFrame) -> DataFrame:

@@ -39,6 +39,17 @@ def golden_checks(domains: dict[str, list[str]] = DEFAULT_DOMAINS,
     return checks
 
 
+def prediction_checks(domains: dict[str, list[str]] = DEFAULT_DOMAINS) -> list[Column]:
+    """Checks of the ``PREDICTIONS`` layout (a structured model answer)."""
+    checks = [_check(F.col(c).isNull(), f"missing {c}") for c in ("run", "example_id", "job_info")]
+    for f, values in domains.items():
+        v = F.col("job_info")[f]
+        checks.append(_check(v.isNotNull() & ~v.isin(*values), f"{f} not in domain"))
+    checks.append(_check(F.col("latency_ms") < 0, "negative latency"))
+    checks.append(_check(F.col("total_tokens") < 0, "negative token count"))
+    return checks
+
+
 def violations(df: DataFrame, checks: list[Column] | None = None,
                domains: dict[str, list[str]] = DEFAULT_DOMAINS) -> DataFrame:
     """Add ``violations``: messages of every failed check (empty when valid)."""

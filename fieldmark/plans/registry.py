@@ -41,7 +41,8 @@ DIGITS = 6
 
 
 def r6(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, DIGITS)
+    """Round to 6 digits; ``+ 0.0`` turns a negative zero into 0.0."""
+    return F.round(F.col(c) if isinstance(c, str) else c, DIGITS) + F.lit(0.0)
 
 
 def _round_doubles(df: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def repr_list(x: str) -> str:
 
 
 def r6(x: str) -> str:
-    return f"round(CAST({x} AS DOUBLE), 6)"
+    return f"(round(CAST({x} AS DOUBLE), 6) + 0.0)"
 
 
 D = "CAST({} AS DOUBLE)"

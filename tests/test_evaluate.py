@@ -182,3 +182,32 @@ def test_read_golden_jsonl(spark):
     assert ok.count() == 2
     assert sorted(tuple(r["violations"]) for r in bad.collect()) == [
         ("seniority not in domain",), ("skills is null",)]
+
+
+def test_predict_flags_bad_answers_and_validates(spark):
+    import json as _json
+
+    import pandas as pd
+
+    from fieldmark.operators.predict import predict
+    from fieldmark.operators.validate import prediction_checks
+
+    inp = {"raw_title": "t", "raw_description": "d"}
+    g, _ = _tiny(spark, [(f"e{i}", "c", inp, ("T", None, None, None, []), None) for i in range(3)],
+                 [("r", "e0", ("T", None, None, None, []), 1.0, 1)])
+
+    def model(batch: pd.DataFrame) -> pd.DataFrame:
+        answers = {"e0": _json.dumps({"title": "T", "seniority": "senior"}),
+                   "e1": "not json at all",
+                   "e2": _json.dumps({"title": "T", "seniority": "boss"})}
+        return pd.DataFrame({"job_info": [answers[i] for i in batch["example_id"]],
+                             "total_tokens": [7] * len(batch)})
+
+    preds = predict(g, model, run="r")
+    rows = {r["example_id"]: r for r in preds.collect()}
+    assert rows["e0"]["answer_error"] is None and rows["e0"]["job_info"]["skills"] == []
+    assert rows["e1"]["answer_error"] == "unparseable answer" and rows["e1"]["job_info"] is None
+    assert rows["e0"]["latency_ms"] >= 0 and rows["e0"]["total_tokens"] == 7
+    good, bad = validate(preds, on_error="split", checks=prediction_checks())
+    assert {r["example_id"]: list(r["violations"]) for r in bad.collect()} == {
+        "e1": ["missing job_info"], "e2": ["seniority not in domain"]}
