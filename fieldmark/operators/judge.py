@@ -174,8 +174,13 @@ class Judge:
             cached = read_cache(spark, path)
             if cached is None:
                 return None
-            return cached.where(F.col("judge") == self.model).join(
+            mine = cached.where(F.col("judge") == self.model).join(
                 keys_side, ["judge", "key"], "left_semi")
+            # A re-run append or two runs writing at once can store a key twice;
+            # read one verdict per key, chosen deterministically, so the join
+            # back never multiplies rows.
+            one = F.min(F.struct("verdict", "reasoning", "judge_error")).alias("v")
+            return mine.groupBy("judge", "key").agg(one).select("judge", "key", "v.*")
 
         hits = cached_for_run()
         if hits is None:

@@ -103,3 +103,15 @@ def test_shuffle_path_with_hot_key_matches_broadcast_path(spark):
     b = {r["id"]: r["out"] for r in plan_df.collect()}
     assert a == b and len(a) == len(rows)
     assert sum(1 for v in b.values() if v["score"] == 1.0) >= 400
+
+
+def test_duplicate_cache_entries_do_not_multiply_rows(spark):
+    path = scratch_path(spark, "dup_cache")
+    j = _judge(token_overlap_judge, path)
+    df = spark.createDataFrame([("a b", "b c")] * 3, "e string, a string")
+    j.apply(df, "e", "a", "out").collect()
+    # simulate a re-run append of the same verdicts
+    spark.read.parquet(path).write.mode("append").partitionBy("judge").parquet(path)
+    assert read_cache(spark, path).count() == 2
+    out = j.apply(df, "e", "a", "out").collect()
+    assert len(out) == 3 and all(r["out"]["score"] == 0.5 for r in out)
