@@ -115,3 +115,23 @@ def evaluate(golden: DataFrame, predictions: DataFrame, specs: list[FieldSpec],
     # the nested per-example list is a projection of the result columns:
     # computed on read rather than stored twice
     return Evaluation(scored.withColumn("field_results", field_results_array(specs)), specs)
+
+
+def run_evaluation(spark, golden_path: str, model_fn, model: str, judge_fn, judge_model: str,
+                   out_root: str | None = None, save: bool = True, concurrency: int | None = None,
+                   cache_path: str | None = None, domains=None) -> Evaluation:
+    """One evaluation run end to end: scan and validate the golden set, ask
+    the model for every example (batch job, persisted), score every field,
+    and store the run under ``out_root`` unless ``save`` is off."""
+    from fieldmark.operators.predict import predict
+    from fieldmark.sources.artifacts import write_run
+    from fieldmark.sources.golden import read_golden
+
+    golden = (read_golden(spark, golden_path) if domains is None
+              else read_golden(spark, golden_path, domains=domains))
+    preds = predict(golden, model_fn, run=model, concurrency=concurrency)
+    ev = evaluate(golden, preds, default_specs(judge_model, judge_fn, cache_path=cache_path,
+                                               concurrency=concurrency))
+    if save and out_root:
+        write_run(ev, out_root, model=model, judge=judge_model)
+    return ev

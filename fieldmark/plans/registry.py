@@ -358,6 +358,19 @@ def q_artifact_roundtrip(spark, sf_dir):
     return _round_doubles(stats.unionByName(overall))
 
 
+def q_artifact_compare(spark, sf_dir):
+    """Both runs stored as artifacts, then compared from storage: default pair
+    picked by creation time (ties by name), two partitions read, first-wins
+    inside each example row."""
+    from fieldmark.plans.compare import compare_stored_runs
+    from fieldmark.sources.artifacts import write_run
+
+    ev, _ = _evaluation(spark, sf_dir)
+    root = scratch_path(spark, "artifacts")
+    write_run(ev, root)
+    return _round_doubles(compare_stored_runs(spark, root).rows)
+
+
 # -- S1 ----------------------------------------------------------------------------
 def q_golden_jsonl_roundtrip(spark, sf_dir):
     """Golden set written as JSON Lines, scanned back with validation; per
@@ -440,6 +453,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "validate_golden": q_validate_golden,
     "artifact_roundtrip": q_artifact_roundtrip,
     "golden_jsonl_roundtrip": q_golden_jsonl_roundtrip,
+    "artifact_compare": q_artifact_compare,
     "predict_stub": q_predict_stub,
     "label_eval": q_label_eval,
 }

@@ -462,6 +462,8 @@ SELECT field, {r6('baseline_mean')} AS baseline_mean, {r6('candidate_mean')} AS
        CASE WHEN delta_mean > 0 THEN 'up' ELSE 'down' END AS delta_sign
 FROM cmp"""
 
+Q["artifact_compare"] = Q["compare_runs"]
+
 Q["compare_melted"] = _COMPARE + f"""
 SELECT field, 'baseline' AS model, {r6('baseline_mean')} AS mean_score FROM cmp WHERE field <> 'overall'
 UNION ALL

@@ -211,3 +211,26 @@ def test_predict_flags_bad_answers_and_validates(spark):
     good, bad = validate(preds, on_error="split", checks=prediction_checks())
     assert {r["example_id"]: list(r["violations"]) for r in bad.collect()} == {
         "e1": ["missing job_info"], "e2": ["seniority not in domain"]}
+
+
+def test_run_evaluation_end_to_end_and_compare_stored(spark, sf_small):
+    from fieldmark.operators.predict import stub_extractor
+    from fieldmark.plans.compare import compare_stored_runs
+    from fieldmark.plans.evaluate import run_evaluation
+    from fieldmark.sources.fixtures import FIXTURE_DOMAINS
+    from fieldmark.sources.golden import write_golden
+
+    g, _ = fixture(spark, sf_small)
+    gpath = scratch_path(spark, "golden_e2e")
+    write_golden(g, gpath)
+    root = scratch_path(spark, "runs_e2e")
+    for model in ("stub-a", "stub-b"):
+        ev = run_evaluation(spark, gpath, stub_extractor, model, token_overlap_judge, "stub-judge",
+                            out_root=root, domains=FIXTURE_DOMAINS)
+        assert ev.summary().first()["n_examples"] == g.count()
+    c = compare_stored_runs(spark, root)
+    assert {c.baseline, c.candidate} == {"stub-a", "stub-b"}
+    rows = {r["field"]: r for r in c.rows.collect()}
+    assert set(rows) == {"title", "seniority", "work_mode", "location", "skills", "overall"}
+    assert all(abs(r["delta_mean"]) < 1e-12 for r in rows.values())  # same stub, same scores
+    assert c.melted.count() == 10
