@@ -98,3 +98,20 @@ def hallucinations(scored: DataFrame, fields: tuple[str, ...] = ("location", "sk
     return (scored.where(F.col("category") == category)
             .select("run", "example_id", F.explode(hits).alias("h"))
             .select("run", "example_id", "h.field", "h.strict"))
+
+
+def status_flags(examples: DataFrame, primary: DataFrame,
+                 run_pass_rate: float = RUN_GATE_PASS_RATE,
+                 field_mean: float = RUN_GATE_FIELD_MEAN) -> DataFrame:
+    """Green/red flags of a run report: the run is green when its pass rate is
+    at least 0.7 (field ``'*'``), a field when its first-wins mean is at least
+    0.5.  One row per (run, field) with the value the flag was decided on."""
+    runs = examples.groupBy("run").agg(F.avg(F.col("passed").cast("double")).alias("value")) \
+        .select("run", F.lit("*").alias("field"), "value",
+                F.when(F.col("value") >= F.lit(run_pass_rate), "green").otherwise("red")
+                .alias("status"))
+    fields = primary.groupBy("run", "field").agg(F.avg("score").alias("value")) \
+        .select("run", "field", "value",
+                F.when(F.col("value") >= F.lit(field_mean), "green").otherwise("red")
+                .alias("status"))
+    return runs.unionByName(fields)

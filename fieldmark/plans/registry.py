@@ -291,6 +291,17 @@ def q_failures(spark, sf_dir):
     return _round_doubles(rp.failures(ev.scored))
 
 
+def q_failure_counts(spark, sf_dir):
+    """Failed field results of failed examples, counted per run and field."""
+    ev, _ = _evaluation(spark, sf_dir)
+    return rp.failures(ev.scored).groupBy("run", "field").agg(F.count("*").alias("n_failures"))
+
+
+def q_status_flags(spark, sf_dir):
+    ev, _ = _evaluation(spark, sf_dir)
+    return _round_doubles(gt.status_flags(ev.examples, ev.primary))
+
+
 def q_category_counts(spark, sf_dir):
     golden, _ = _fixture(spark, sf_dir)
     return agg.category_counts(golden)
@@ -444,6 +455,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "example_table_long": q_example_table_long,
     "scores_long": q_scores_long,
     "failures": q_failures,
+    "failure_counts": q_failure_counts,
+    "status_flags": q_status_flags,
     "category_counts": q_category_counts,
     "category_breakdown": q_category_breakdown,
     "compare_runs": q_compare_runs,

@@ -423,6 +423,19 @@ SELECT long.run, long.example_id AS example, field, scorer, {r6('score')} AS sco
 FROM long JOIN scored s ON long.run = s.run AND long.example_id = s.example_id
 WHERE NOT s.passed AND NOT long.fpassed"""
 
+Q["failure_counts"] = _with_scored() + """
+SELECT long.run, field, CAST(count(*) AS BIGINT) AS n_failures
+FROM long JOIN scored s ON long.run = s.run AND long.example_id = s.example_id
+WHERE NOT s.passed AND NOT long.fpassed GROUP BY long.run, field"""
+
+Q["status_flags"] = _with_scored() + f"""
+SELECT run, '*' AS field, {r6('avg(CAST(passed AS DOUBLE))')} AS value,
+       CASE WHEN avg(CAST(passed AS DOUBLE)) >= 0.7 THEN 'green' ELSE 'red' END AS status
+FROM scored GROUP BY run
+UNION ALL
+SELECT run, field, {r6('avg(score)')}, CASE WHEN avg(score) >= 0.5 THEN 'green' ELSE 'red' END
+FROM long GROUP BY run, field"""
+
 Q["category_counts"] = _ctes() + """
 SELECT category, CAST(count(*) AS BIGINT) AS n FROM fx_golden GROUP BY category"""
 

@@ -234,3 +234,29 @@ def test_run_evaluation_end_to_end_and_compare_stored(spark, sf_small):
     assert set(rows) == {"title", "seniority", "work_mode", "location", "skills", "overall"}
     assert all(abs(r["delta_mean"]) < 1e-12 for r in rows.values())  # same stub, same scores
     assert c.melted.count() == 10
+
+
+def test_complete_fields_and_display_order(spark, sf_small):
+    from fieldmark.operators.aggregate import complete_fields, field_stats
+    from fieldmark.operators.reshape import in_display_order
+
+    g, p = fixture(spark, sf_small)
+    specs = [FieldSpec("seniority"), FieldSpec("work_mode")]
+    ev = evaluate(g, p, specs, persist=False)
+    stats = field_stats(ev.primary)
+    full = complete_fields(stats, ["title", "seniority", "work_mode", "location", "skills"],
+                           ev.examples)
+    rows = in_display_order(full).collect()
+    assert [r["field"] for r in rows[:5]] == ["title", "seniority", "work_mode", "location", "skills"]
+    missing = [r for r in rows if r["field"] in ("title", "location", "skills")]
+    assert missing and all(r["mean_score"] == 0.0 and r["pass_rate"] == 0.0 and r["n"] == 0
+                           for r in missing)
+
+
+def test_predict_concurrency_partitions(spark, sf_small):
+    from fieldmark.operators.predict import predict, stub_extractor
+
+    g, _ = fixture(spark, sf_small)
+    preds = predict(g, stub_extractor, run="s", concurrency=3, persist=False)
+    assert preds.rdd.getNumPartitions() == 3
+    assert preds.count() == g.count() and preds.where("answer_error IS NOT NULL").count() == 0
