@@ -154,48 +154,17 @@ class Judge:
     def resolve(self, pairs: DataFrame, stable: bool = False, n_pairs: int | None = None
                 ) -> DataFrame:
         """Verdicts for distinct keyed ``pairs``: cache hits plus freshly judged
-        misses, read back from the cache table after the misses were appended.
-
-        The cache is partitioned by judge model (a run reads only its model's
-        partition).  With ``n_pairs`` at most the broadcast bound, the cache is
-        probed against a broadcast of the run's keys, so the cache, which grows
-        with every run, is streamed and never shuffled.  ``pairs`` is scanned
-        more than once; unless it comes from a written table (``stable=True``)
-        it is materialised first."""
-        spark = pairs.sparkSession
-        path = self.cache_path or scratch_path(spark, "judge_verdicts")
+        misses, read back from the cache table after the misses were appended
+        (see ``resolve_verdicts``).  Unless ``pairs`` comes from a written table
+        (``stable=True``) it is materialised first: it is scanned more than once."""
         if not stable:
             pairs = materialize(pairs, "judge_pairs")
-        small = n_pairs is not None and n_pairs <= self.max_broadcast_rows
-        keys = pairs.select("judge", "key")
-        keys_side = F.broadcast(keys) if small else keys
-
-        def cached_for_run():
-            cached = read_cache(spark, path)
-            if cached is None:
-                return None
-            mine = cached.where(F.col("judge") == self.model).join(
-                keys_side, ["judge", "key"], "left_semi")
-            # A re-run append or two runs writing at once can store a key twice;
-            # read one verdict per key, chosen deterministically, so the join
-            # back never multiplies rows.
-            one = F.min(F.struct("verdict", "reasoning", "judge_error")).alias("v")
-            return mine.groupBy("judge", "key").agg(one).select("judge", "key", "v.*")
-
-        hits = cached_for_run()
-        if hits is None:
-            misses = pairs
-        else:
-            hit_keys = hits.select("judge", "key")
-            misses = pairs.join(F.broadcast(hit_keys) if small else hit_keys,
-                                ["judge", "key"], "left_anti")
-        (self.call_pairs(misses).drop("rep")
-         .write.mode("append").partitionBy("judge").parquet(path))
-        return cached_for_run()
+        path = self.cache_path or scratch_path(pairs.sparkSession, "judge_verdicts")
+        return resolve_verdicts([self], pairs, path, n_pairs)
 
     # -- scorer protocol ----------------------------------------------------
     def attach(self, df: DataFrame, expected: str, actual: str, out: str, pairs: DataFrame,
-               stats) -> DataFrame:
+               stats, verdicts: DataFrame | None = None) -> DataFrame:
         """Add the result column given the distinct text pairs of ``df`` (from a
         written table, with ``n_rows`` per pair when known) and their counts.
 
@@ -209,7 +178,9 @@ class Judge:
         dtype = df.schema[expected].dataType
         pre = judge_precheck(expected, actual, dtype)
         e_text, a_text = list_text(F.col(expected), dtype), list_text(F.col(actual), dtype)
-        verdicts = self.resolve(self.keyed(pairs), stable=True, n_pairs=stats.pairs).select(
+        if verdicts is None:
+            verdicts = self.resolve(self.keyed(pairs), stable=True, n_pairs=stats.pairs)
+        verdicts = verdicts.select(
             F.col("key").alias("_jkey"), F.col("verdict").alias("_verdict"),
             F.col("reasoning").alias("_reasoning"), F.col("judge_error").alias(f"{out}_judge_error"))
         hashable = [F.col(c) for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]
@@ -252,6 +223,56 @@ class Judge:
         return self.attach(df, expected, actual, out, pairs, PairStats(n["p"], n["r"] or 0))
 
 
+def call_group(judge: Judge) -> tuple:
+    """Judges with equal group keys share one cache probe, one call job and one
+    append (the callable gets each row's rubric)."""
+    return (judge.model, id(judge.call), judge.cache_path, judge.concurrency,
+            judge.max_broadcast_rows)
+
+
+def resolve_verdicts(judges: list[Judge], keyed: DataFrame, path: str,
+                     n_pairs: int | None = None) -> DataFrame:
+    """Verdicts of every keyed pair (judge, key, rubric_id, expected, actual)
+    of ``judges`` (one call group): look up the cache (the judge model's
+    partition only), judge the misses in one ``mapInPandas`` job, append them
+    to the cache *before use*, and read back one verdict per key.
+
+    With ``n_pairs`` at most the broadcast bound the cache is probed against a
+    broadcast of the run's keys, so the cache, which grows with every run, is
+    streamed and never shuffled."""
+    spark = keyed.sparkSession
+    lead = judges[0]
+    small = n_pairs is not None and n_pairs <= lead.max_broadcast_rows
+    keys = keyed.select("judge", "key")
+    keys_side = F.broadcast(keys) if small else keys
+
+    def cached_for_run():
+        cached = read_cache(spark, path)
+        if cached is None:
+            return None
+        mine = cached.where(F.col("judge") == lead.model).join(
+            keys_side, ["judge", "key"], "left_semi")
+        # A re-run append or two runs writing at once can store a key twice;
+        # read one verdict per key, chosen deterministically, so the join back
+        # never multiplies rows.
+        one = F.min(F.struct("verdict", "reasoning", "judge_error")).alias("v")
+        return mine.groupBy("judge", "key").agg(one).select("judge", "key", "v.*")
+
+    hits = cached_for_run()
+    if hits is None:
+        misses = keyed
+    else:
+        hit_keys = hits.select("judge", "key")
+        misses = keyed.join(F.broadcast(hit_keys) if small else hit_keys,
+                            ["judge", "key"], "left_anti")
+    if lead.concurrency:
+        misses = misses.repartition(lead.concurrency)
+    rubrics = {j.rubric_id: j.rubric for j in judges}
+    calls = misses.mapInPandas(_caller(lead.call, rubrics), CALL_SCHEMA)
+    parse_verdicts(calls).drop("rep").write.mode("append").partitionBy("judge").parquet(path)
+    return cached_for_run()
+
+
 def read_cache(spark, path: str) -> DataFrame | None:
     """The verdict cache at ``path`` (partitioned by judge model), or None."""
     try:

@@ -141,6 +141,34 @@ class PairStats:
     rows: int
 
 
+def _judge_verdicts(batch, pairs: DataFrame, counts: dict) -> dict[str, DataFrame]:
+    """Verdicts per judged slot; judges of one call group (same model,
+    callable and cache) are resolved together: one cache probe, one call job."""
+    from fieldmark.operators.judge import Judge, call_group, resolve_verdicts
+    from fieldmark.session import scratch_path
+
+    groups: dict[tuple, list] = {}
+    for n, s in batch:
+        if isinstance(s.scorer, Judge):
+            groups.setdefault(call_group(s.scorer), []).append((n, s.scorer))
+    out = {}
+    for members in groups.values():
+        keyed = None
+        for n, j in members:
+            part = j.keyed(pairs.where(F.col("slot") == n)).withColumn("_slot", F.lit(n))
+            keyed = part if keyed is None else keyed.unionByName(part)
+        judges = [j for _, j in members]
+        path = judges[0].cache_path or scratch_path(pairs.sparkSession, "judge_verdicts")
+        n_pairs = sum(counts.get(n, PairStats(0, 0)).pairs for n, _ in members)
+        resolved = resolve_verdicts(judges, keyed.drop("_slot"), path, n_pairs)
+        for n, j in members:
+            mine = j.keyed(pairs.where(F.col("slot") == n)).select("judge", "key")
+            small = counts.get(n, PairStats(0, 0)).pairs <= j.max_broadcast_rows
+            out[n] = resolved.join(F.broadcast(mine) if small else mine, ["judge", "key"],
+                                   "left_semi")
+    return out
+
+
 def _batched(scorer) -> bool:
     return hasattr(scorer, "attach") and getattr(scorer, "batched", True)
 
@@ -168,12 +196,14 @@ def score_fields(paired: DataFrame, specs: list[FieldSpec]) -> DataFrame:
                             .agg(F.count("*").alias("n_rows")), "pairs")
         counts = {r["slot"]: PairStats(r["pairs"], r["rows"]) for r in pairs.groupBy("slot").agg(
             F.count("*").alias("pairs"), F.sum("n_rows").alias("rows")).collect()}
+    verdicts = _judge_verdicts(batch, pairs, counts) if batch else {}
     out = paired
     for n, s in zip(names, specs):
         e, a = f"e_{s.field}", f"a_{s.field}"
         if _batched(s.scorer):
             slot_pairs = pairs.where(F.col("slot") == n).drop("slot")
-            out = s.scorer.attach(out, e, a, n, slot_pairs, counts.get(n, PairStats(0, 0)))
+            extra = {"verdicts": verdicts[n]} if n in verdicts else {}
+            out = s.scorer.attach(out, e, a, n, slot_pairs, counts.get(n, PairStats(0, 0)), **extra)
         else:
             out = s.scorer.apply(out, e, a, n)
     return out
