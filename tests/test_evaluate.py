@@ -260,3 +260,38 @@ def test_predict_concurrency_partitions(spark, sf_small):
     preds = predict(g, stub_extractor, run="s", concurrency=3, persist=False)
     assert preds.rdd.getNumPartitions() == 3
     assert preds.count() == g.count() and preds.where("answer_error IS NOT NULL").count() == 0
+
+
+def test_legacy_single_document_artifacts(spark):
+    import json
+    import os
+    import time as _time
+
+    from fieldmark.sources.artifacts import flatten_examples, read_experiment
+
+    root = scratch_path(spark, "legacy").replace("file:", "", 1)
+    os.makedirs(root)
+
+    def doc(model, scores):
+        ex = [{"example_id": f"ex_{i}", "overall_score": s, "passed": s >= 0.7,
+               "field_results": [{"field": "title", "scorer": "llm_judge",
+                                  "result": {"score": s, "passed": s >= 0.5, "reason": None}},
+                                 {"field": "title", "scorer": "exact_match",
+                                  "result": {"score": 0.0, "passed": False, "reason": None}}]}
+              for i, s in enumerate(scores)]
+        return {"model": model, "examples": ex, "mean_score": sum(scores) / len(scores),
+                "pass_rate": sum(s >= 0.7 for s in scores) / len(scores)}
+
+    for name, scores in (("m-old_20260101_000000", [1.0, 0.5]), ("m-new_20260102_000000", [1.0, 1.0])):
+        with open(f"{root}/{name}.json", "w") as fh:
+            json.dump(doc(name.split("_")[0], scores), fh, indent=2)
+        _time.sleep(1.1)  # distinct modification times
+    runs, examples = read_experiment(spark, root)
+    assert {r["run"] for r in runs.collect()} == {"m-old_20260101_000000", "m-new_20260102_000000"}
+    assert examples.count() == 4 and examples.where("total_tokens = 0 AND latency_ms = 0.0").count() == 4
+    oldest, newest = pick_runs(runs, time_col="mtime")
+    assert (oldest, newest) == ("m-old_20260101_000000", "m-new_20260102_000000")
+    long = flatten_examples(examples)
+    assert long.count() == 8
+    fw = rs.first_wins(long).where("run = 'm-old_20260101_000000'").orderBy("example_id").collect()
+    assert [r["scorer"] for r in fw] == ["llm_judge", "llm_judge"] and [r["score"] for r in fw] == [1.0, 0.5]
