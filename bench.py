@@ -15,7 +15,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
 
 from fieldmark.operators import aggregate as agg  # noqa: E402
 from fieldmark.operators import compare as cmp  # noqa: E402

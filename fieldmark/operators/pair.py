@@ -39,27 +39,22 @@ def flatten_predictions(predictions: DataFrame) -> DataFrame:
     )
 
 
-def pair(golden: DataFrame, predictions: DataFrame, missing: str = "drop",
+def pair(golden: DataFrame, predictions: DataFrame, missing: str = "error",
          runs: list[str] | None = None) -> DataFrame:
     """Join each golden example with its prediction of each run (equi-join on
     ``example_id``; ids are unique per side, so no key is hot).
 
-    ``missing``: ``'drop'`` keeps matched pairs only; ``'error'`` raises when a
-    run lacks a prediction for some golden example (one aggregate job);
-    ``'null'`` keeps every golden example of each run in ``runs`` with null
-    predictions (one left join per named run: no cross product of runs and
-    examples is ever formed)."""
+    ``missing``: ``'error'`` (default) raises when a run lacks a prediction for
+    some golden example or has duplicate ids (see ``check_pairs``);
+    ``'drop'`` keeps matched pairs only; ``'null'`` keeps every golden
+    example of each run in ``runs`` with null predictions (one left join per
+    named run: no cross product of runs and examples is ever formed)."""
     g = flatten_golden(golden)
     p = flatten_predictions(predictions)
     if missing in ("drop", "error"):
         out = p.join(g, "example_id")
         if missing == "error":
-            n_golden = g.count()
-            short = (out.groupBy("run").count().where(F.col("count") != n_golden)
-                     .limit(1).collect())
-            if short:
-                raise ValueError(
-                    f"run {short[0]['run']!r} has {short[0]['count']} predictions for {n_golden} examples")
+            check_pairs(out, g)
         return out
     if missing == "null":
         if not runs:
@@ -73,6 +68,24 @@ def pair(golden: DataFrame, predictions: DataFrame, missing: str = "drop",
     raise ValueError(f"missing must be 'drop', 'error' or 'null', not {missing!r}")
 
 
+def check_pairs(paired: DataFrame, golden: DataFrame) -> None:
+    """Raise unless every run pairs each golden example exactly once.
+
+    One aggregate per run (rows and distinct ids) against the golden count;
+    run it on a written paired table to avoid recomputing the join."""
+    n_golden = golden.count()
+    n_ids = golden.select("example_id" if "example_id" in golden.columns else "id").distinct().count()
+    if n_ids != n_golden:
+        raise ValueError(f"golden set has duplicate ids ({n_golden} rows, {n_ids} ids)")
+    bad = (paired.groupBy("run").agg(F.count("*").alias("n"),
+                                     F.count_distinct("example_id").alias("ids"))
+           .where((F.col("n") != n_golden) | (F.col("ids") != n_golden)).limit(1).collect())
+    if bad:
+        r = bad[0]
+        raise ValueError(f"run {r['run']!r}: {r['n']} pairs for {r['ids']} ids; "
+                         f"expected each of {n_golden} examples once")
+
+
 def duplicate_ids(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys occurring more than once (a pairing join would multiply their rows)."""
     return df.groupBy(*keys).count().where(F.col("count") > 1)

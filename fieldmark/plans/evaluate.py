@@ -11,12 +11,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from fieldmark.operators.aggregate import field_stats, run_summary
 from fieldmark.operators.judge import Judge, VerdictFn
 from fieldmark.operators.materialize import materialize
-from fieldmark.operators.pair import pair
+from fieldmark.operators.pair import check_pairs, flatten_golden, pair
 from fieldmark.operators.reshape import primary_scores
 from fieldmark.operators.score import (
     ExactMatch,
@@ -99,16 +98,20 @@ class Evaluation:
 
 
 def evaluate(golden: DataFrame, predictions: DataFrame, specs: list[FieldSpec],
-             missing: str = "drop", pass_threshold: float = EXAMPLE_PASS,
+             missing: str = "error", pass_threshold: float = EXAMPLE_PASS,
              weights: dict[str, float] | None = None, persist: bool = True) -> Evaluation:
     """Pair, score every field, add overall score and pass flag.
 
-    ``persist`` writes paired and scored rows to the shared folder (see the
-    module note); turn it off for a single cheap report."""
-    paired = pair(golden, predictions, missing=missing)
+    ``missing='error'`` (default) stops when a run lacks a prediction or has
+    duplicate ids, checked on the written paired rows; ``'drop'`` / ``'null'``
+    as in ``pair``.  ``persist`` writes paired and scored rows to the shared
+    folder (see the module note); turn it off for a single cheap report."""
+    paired = pair(golden, predictions, missing="drop" if missing == "error" else missing)
     frame_scorers = any(isinstance(s.scorer, (Judge, FuzzyMatch)) for s in specs)
     if persist and frame_scorers:
         paired = materialize(paired, "paired")
+    if missing == "error":
+        check_pairs(paired, flatten_golden(golden))
     scored = add_overall(score_fields(paired, specs), specs, pass_threshold, weights)
     if persist:
         scored = materialize(scored, "scored")

@@ -29,7 +29,7 @@ from fieldmark.operators.judge import (
     token_overlap_judge,
 )
 from fieldmark.operators.pair import attach_category, pair
-from fieldmark.operators.score import ExactMatch, FieldSpec, FuzzyMatch, ListOverlap, to_long
+from fieldmark.operators.score import ExactMatch, FieldSpec, FuzzyMatch
 from fieldmark.plans.evaluate import SKILLS_RUBRIC, TITLE_RUBRIC, Evaluation, default_specs, evaluate
 from fieldmark.schemas import SPARSE_CATEGORY
 from fieldmark.session import ensure_checkpoint_dir, scratch_path

@@ -38,7 +38,7 @@ def evaluate_stream(predictions: DataFrame, golden: DataFrame, specs: list[Field
     writes the per-example rows (artifact layout) under ``sink/examples``."""
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        ev = evaluate(golden, batch, specs)
+        ev = evaluate(golden, batch, specs, missing="drop")  # a batch holds some examples
         (ev.scored.select("run", "example_id", "category", "field_results", "overall_score",
                           "passed", "latency_ms", "total_tokens")
          .write.mode("overwrite").parquet(f"{sink}/examples/batch_id={batch_id}"))

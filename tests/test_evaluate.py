@@ -295,3 +295,18 @@ def test_legacy_single_document_artifacts(spark):
     assert long.count() == 8
     fw = rs.first_wins(long).where("run = 'm-old_20260101_000000'").orderBy("example_id").collect()
     assert [r["scorer"] for r in fw] == ["llm_judge", "llm_judge"] and [r["score"] for r in fw] == [1.0, 0.5]
+
+
+def test_evaluate_rejects_duplicate_or_missing_predictions(spark):
+    inp = {"raw_title": "t", "raw_description": "d"}
+    gold = [("e1", "c", inp, ("T", None, None, None, []), None),
+            ("e2", "c", inp, ("T", None, None, None, []), None)]
+    pred = ("r", "e1", ("T", None, None, None, []), 1.0, 1)
+    specs = [FieldSpec("title")]
+    g, p = _tiny(spark, gold, [pred, pred])          # e1 twice, e2 missing: counts agree
+    with pytest.raises(ValueError):
+        evaluate(g, p, specs)
+    g, p = _tiny(spark, gold, [pred])
+    with pytest.raises(ValueError):
+        evaluate(g, p, specs)
+    assert evaluate(g, p, specs, missing="drop").scored.count() == 1
