@@ -87,6 +87,7 @@ def main() -> None:
         "queries": times,
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "rows": {"examples": n_golden, "predictions": n_preds},
+        "predictions_per_sec": round(n_preds / total, 1) if total else None,
         "warmup": warm_dir if warm else None,
     }))
     spark.stop()
