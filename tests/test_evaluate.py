@@ -327,3 +327,11 @@ def test_large_scale_paths_give_same_results(spark, sf_small):
     a = {(r["run"], r["example_id"]): r for r in evaluate(g, p, specs).scored.select(cols).collect()}
     b = {(r["run"], r["example_id"]): r for r in evaluate(g, p, big).scored.select(cols).collect()}
     assert a == b and len(a) == 2 * g.count()
+
+
+def test_duplicate_golden_ids_rejected(spark):
+    inp = {"raw_title": "t", "raw_description": "d"}
+    gold = [("e1", "c", inp, ("T", None, None, None, []), None)] * 2
+    g, p = _tiny(spark, gold, [("r", "e1", ("T", None, None, None, []), 1.0, 1)])
+    with pytest.raises(ValueError):
+        evaluate(g, p, [FieldSpec("title")])
