@@ -233,32 +233,30 @@ def call_group(judge: Judge) -> tuple:
 def resolve_verdicts(judges: list[Judge], keyed: DataFrame, path: str,
                      n_pairs: int | None = None) -> DataFrame:
     """Verdicts of every keyed pair (judge, key, rubric_id, expected, actual)
-    of ``judges`` (one call group): look up the cache (the judge model's
-    partition only), judge the misses in one ``mapInPandas`` job, append them
-    to the cache *before use*, and read back one verdict per key.
-
-    With ``n_pairs`` at most the broadcast bound the cache is probed against a
-    broadcast of the run's keys, so the cache, which grows with every run, is
-    streamed and never shuffled."""
+    of ``judges`` (one call group).
+
+    The cache, which grows with every run, is scanned once per call: its
+    judge-model partition is probed for the run's keys (against a broadcast of
+    them when ``n_pairs`` is at most the broadcast bound, so the cache is
+    streamed, never shuffled), one verdict per key is kept and written as the
+    run's hits.  The misses are judged in one ``mapInPandas`` job whose output
+    is written before anything uses it, then appended to the cache.  The
+    result is hits plus fresh verdicts, both read from written tables."""
     spark = keyed.sparkSession
     lead = judges[0]
     small = n_pairs is not None and n_pairs <= lead.max_broadcast_rows
-    keys = keyed.select("judge", "key")
-    keys_side = F.broadcast(keys) if small else keys
-
-    def cached_for_run():
-        cached = read_cache(spark, path)
-        if cached is None:
-            return None
+    cols = ["judge", "key", "verdict", "reasoning", "judge_error"]
+    cached = read_cache(spark, path)
+    hits = None
+    if cached is not None:
+        keys = keyed.select("judge", "key")
         mine = cached.where(F.col("judge") == lead.model).join(
-            keys_side, ["judge", "key"], "left_semi")
+            F.broadcast(keys) if small else keys, ["judge", "key"], "left_semi")
         # A re-run append or two runs writing at once can store a key twice;
-        # read one verdict per key, chosen deterministically, so the join back
-        # never multiplies rows.
+        # keep one verdict per key, chosen deterministically.
         one = F.min(F.struct("verdict", "reasoning", "judge_error")).alias("v")
-        return mine.groupBy("judge", "key").agg(one).select("judge", "key", "v.*")
-
-    hits = cached_for_run()
+        hits = materialize(mine.groupBy("judge", "key").agg(one).select("judge", "key", "v.*"),
+                           "verdict_hits")
     if hits is None:
         misses = keyed
     else:
@@ -269,8 +267,9 @@ def resolve_verdicts(judges: list[Judge], keyed: DataFrame, path: str,
         misses = misses.repartition(lead.concurrency)
     rubrics = {j.rubric_id: j.rubric for j in judges}
     calls = misses.mapInPandas(_caller(lead.call, rubrics), CALL_SCHEMA)
-    parse_verdicts(calls).drop("rep").write.mode("append").partitionBy("judge").parquet(path)
-    return cached_for_run()
+    fresh = materialize(parse_verdicts(calls).select(*cols), "verdict_fresh")
+    fresh.write.mode("append").partitionBy("judge").parquet(path)
+    return fresh if hits is None else hits.select(*cols).unionByName(fresh)
 
 
 def read_cache(spark, path: str) -> DataFrame | None:
