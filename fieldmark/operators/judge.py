@@ -15,8 +15,9 @@ A pair that the null/empty rules do not settle is judged once per
    a bound, else by a shuffle join (AQE splits hot keys).
 
 The callable gets a pandas DataFrame with columns ``rubric_id, rubric,
-expected, actual`` (and ``rep`` for repeated judgements) and returns one JSON
-string per row, e.g. ``{"score": 2, "reasoning": "..."}``.
+expected, actual, prompt`` (``prompt`` is the user message ``Expected: <e>\nActual: <a>``;
+``rep`` numbers repeated judgements) and returns one JSON string per row,
+e.g. ``{"score": 2, "reasoning": "..."}``.
 """
 
 from __future__ import annotations
@@ -92,6 +93,8 @@ def _caller(fn: VerdictFn, rubrics: dict[str, str]):
                 "rubric": b["rubric_id"].map(rubrics),
                 "expected": b["expected"],
                 "actual": b["actual"],
+                # the user message of the judge call; the rubric is the system message
+                "prompt": "Expected: " + b["expected"] + "\nActual: " + b["actual"],
                 "rep": b["rep"] if "rep" in b else 0,
             })
             raw = pd.Series(fn(req), index=b.index).astype(object)

@@ -115,3 +115,12 @@ def test_duplicate_cache_entries_do_not_multiply_rows(spark):
     assert read_cache(spark, path).count() == 2
     out = j.apply(df, "e", "a", "out").collect()
     assert len(out) == 3 and all(r["out"]["score"] == 0.5 for r in out)
+
+
+def test_judge_request_carries_rubric_and_prompt(spark):
+    def fn(req):
+        ok = [(r == "R" and p == f"Expected: {e}\nActual: {a}")
+              for r, p, e, a in zip(req["rubric"], req["prompt"], req["expected"], req["actual"])]
+        return pd.Series([json.dumps({"score": 2 if k else 0, "reasoning": "r"}) for k in ok])
+    (r,) = _score(spark, _judge(fn), [("Senior Data Engineer", "Data Engineer – Senior")])
+    assert r["score"] == 1.0
