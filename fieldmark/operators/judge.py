@@ -17,7 +17,8 @@ A pair that the null/empty rules do not settle is judged once per
 The callable gets a pandas DataFrame with columns ``rubric_id, rubric,
 expected, actual, prompt`` (``prompt`` is the user message ``Expected: <e>\nActual: <a>``;
 ``rep`` numbers repeated judgements) and returns one JSON string per row,
-e.g. ``{"score": 2, "reasoning": "..."}``.
+e.g. ``{"score": 2, "reasoning": "..."}``, or a DataFrame with that text as
+``verdict`` and the call's ``total_tokens`` (stored as ``judge_tokens``).
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ CALL_SCHEMA = T.StructType([
     T.StructField("key", T.StringType()),
     T.StructField("rep", T.IntegerType()),
     T.StructField("raw_verdict", T.StringType()),
+    T.StructField("judge_tokens", T.LongType()),
 ])
 
 VERDICTS_SCHEMA = T.StructType([
@@ -54,7 +56,9 @@ VERDICTS_SCHEMA = T.StructType([
     T.StructField("verdict", T.IntegerType()),
     T.StructField("reasoning", T.StringType()),
     T.StructField("judge_error", T.StringType()),
+    T.StructField("judge_tokens", T.LongType()),
 ])
+VERDICT_COLS = [f.name for f in VERDICTS_SCHEMA.fields]
 
 
 def cache_key(rubric: Column, expected_text: Column, actual_text: Column) -> Column:
@@ -75,6 +79,7 @@ def parse_verdicts(calls: DataFrame) -> DataFrame:
     ok = F.coalesce(F.col("_v.score").isin(*VERDICT_VALUES), F.lit(False))
     return out.select(
         "judge", "key", *([c for c in ("rep",) if c in calls.columns]),
+        F.col("judge_tokens").cast("bigint").alias("judge_tokens"),
         F.when(ok, F.col("_v.score")).alias("verdict"),
         F.when(ok, F.col("_v.reasoning")).alias("reasoning"),
         F.when(~ok, F.concat(F.lit("invalid verdict: "),
@@ -97,11 +102,19 @@ def _caller(fn: VerdictFn, rubrics: dict[str, str]):
                 "prompt": "Expected: " + b["expected"] + "\nActual: " + b["actual"],
                 "rep": b["rep"] if "rep" in b else 0,
             })
-            raw = pd.Series(fn(req), index=b.index).astype(object)
+            answer = fn(req)
+            if isinstance(answer, pd.DataFrame):  # verdict text plus token usage
+                raw = pd.Series(answer["verdict"].values, index=b.index).astype(object)
+                tokens = (pd.Series(answer["total_tokens"].values, index=b.index)
+                          if "total_tokens" in answer else pd.Series(None, index=b.index))
+            else:
+                raw = pd.Series(answer, index=b.index).astype(object)
+                tokens = pd.Series(None, index=b.index)
             yield pd.DataFrame({
                 "judge": b["judge"], "key": b["key"],
                 "rep": (b["rep"] if "rep" in b else pd.Series(0, index=b.index)).astype("int32"),
                 "raw_verdict": raw.where(raw.notna(), None),
+                "judge_tokens": tokens.astype("Int64"),
             })
     return run
 
@@ -248,7 +261,7 @@ def resolve_verdicts(judges: list[Judge], keyed: DataFrame, path: str,
     spark = keyed.sparkSession
     lead = judges[0]
     small = n_pairs is not None and n_pairs <= lead.max_broadcast_rows
-    cols = ["judge", "key", "verdict", "reasoning", "judge_error"]
+    cols = VERDICT_COLS
     cached = read_cache(spark, path)
     hits = None
     if cached is not None:
@@ -257,7 +270,7 @@ def resolve_verdicts(judges: list[Judge], keyed: DataFrame, path: str,
             F.broadcast(keys) if small else keys, ["judge", "key"], "left_semi")
         # A re-run append or two runs writing at once can store a key twice;
         # keep one verdict per key, chosen deterministically.
-        one = F.min(F.struct("verdict", "reasoning", "judge_error")).alias("v")
+        one = F.min(F.struct(*cols[2:])).alias("v")
         hits = materialize(mine.groupBy("judge", "key").agg(one).select("judge", "key", "v.*"),
                            "verdict_hits")
     if hits is None:
@@ -349,6 +362,14 @@ def judge_variance(repeated: DataFrame, threshold: float = 0.2) -> DataFrame:
             .withColumn("passed", F.col("variance") < F.lit(threshold)))
 
 
+def judge_usage(spark, path: str) -> DataFrame:
+    """Verdicts stored per judge model and the tokens the judge reported for
+    them (judge tokens are kept apart from extraction tokens)."""
+    cache = read_cache(spark, path)
+    return cache.groupBy("judge").agg(F.count("*").alias("verdicts"),
+                                      F.sum("judge_tokens").cast("bigint").alias("judge_tokens"))
+
+
 def cache_consistency(verdicts_seen: DataFrame) -> DataFrame:
     """Per key, how many different (verdict, reasoning) results were seen; a
     consistent cache shows exactly one."""

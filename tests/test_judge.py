@@ -124,3 +124,16 @@ def test_judge_request_carries_rubric_and_prompt(spark):
         return pd.Series([json.dumps({"score": 2 if k else 0, "reasoning": "r"}) for k in ok])
     (r,) = _score(spark, _judge(fn), [("Senior Data Engineer", "Data Engineer – Senior")])
     assert r["score"] == 1.0
+
+
+def test_judge_tokens_recorded_apart(spark):
+    from fieldmark.operators.judge import judge_usage
+
+    def fn(req):
+        return pd.DataFrame({"verdict": [json.dumps({"score": 1, "reasoning": "r"})] * len(req),
+                             "total_tokens": [40] * len(req)})
+    path = scratch_path(spark, "tok_cache")
+    df = spark.createDataFrame([("a", "b"), ("c", "d"), ("a", "b")], "e string, a string")
+    _judge(fn, path).apply(df, "e", "a", "out").collect()
+    (u,) = judge_usage(spark, path).collect()
+    assert u["verdicts"] == 2 and u["judge_tokens"] == 80
