@@ -137,3 +137,10 @@ def test_judge_tokens_recorded_apart(spark):
     _judge(fn, path).apply(df, "e", "a", "out").collect()
     (u,) = judge_usage(spark, path).collect()
     assert u["verdicts"] == 2 and u["judge_tokens"] == 80
+
+
+def test_meta_eval_identical_high_unrelated_low(spark):
+    j = _judge(token_overlap_judge)
+    same, unrelated = _score(spark, j, [("Senior Data Engineer", "Senior Data Engineer"),
+                                        ("Senior Data Engineer", "Junior Graphic Designer")])
+    assert same["score"] == 1.0 and unrelated["score"] <= 0.5
