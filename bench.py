@@ -54,7 +54,7 @@ def pipeline(spark, sf_dir: str, times: dict[str, float]) -> tuple[float, int, i
     timed("failures", lambda: rp.failures(ev.scored).write.mode("overwrite").format("noop").save())
     timed("category_breakdown", lambda: agg.category_breakdown(
         primary_scores(ev.scored, ev.firsts, keys=("run", "example_id", "category"))).collect())
-    timed("gates", lambda: gt.gates(gt.run_measures(ev.examples, ev.long, ev.primary)).collect())
+    timed("gates", lambda: gt.gates(gt.run_measures(ev.scored)).collect())
     timed("compare", lambda: cmp.compare_runs(ev.primary, summary, "baseline", "candidate")
           .collect())
     total = time.perf_counter() - t0

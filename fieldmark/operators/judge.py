@@ -170,9 +170,9 @@ class Judge:
     def resolve(self, pairs: DataFrame, stable: bool = False, n_pairs: int | None = None
                 ) -> DataFrame:
         """Verdicts for distinct keyed ``pairs``: cache hits plus freshly judged
-        misses, read back from the cache table after the misses were appended
-        (see ``resolve_verdicts``).  Unless ``pairs`` comes from a written table
-        (``stable=True``) it is materialised first: it is scanned more than once."""
+        misses (see ``resolve_verdicts``).  Unless ``pairs`` comes from a
+        written table (``stable=True``) it is materialised first: it is
+        scanned more than once."""
         if not stable:
             pairs = materialize(pairs, "judge_pairs")
         path = self.cache_path or scratch_path(pairs.sparkSession, "judge_verdicts")

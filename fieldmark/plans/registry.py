@@ -330,7 +330,7 @@ def q_compare_melted(spark, sf_dir):
 # -- A12, A13, A18, A19, P6 -----------------------------------------------------------
 def q_gates(spark, sf_dir):
     ev, _ = _evaluation(spark, sf_dir)
-    measures = gt.run_measures(ev.examples, ev.long, ev.primary)
+    measures = gt.run_measures(ev.scored)
     return _round_doubles(gt.gates(measures))
 
 
