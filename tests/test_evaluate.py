@@ -335,3 +335,22 @@ def test_duplicate_golden_ids_rejected(spark):
     g, p = _tiny(spark, gold, [("r", "e1", ("T", None, None, None, []), 1.0, 1)])
     with pytest.raises(ValueError):
         evaluate(g, p, [FieldSpec("title")])
+
+
+def test_report_helpers(spark, sf_small):
+    from fieldmark.operators.aggregate import field_means_all_entries, score_distribution
+    from fieldmark.operators.compare import compare_runs, display_names
+    from fieldmark.operators.gates import failing_fields
+
+    g, p = fixture(spark, sf_small)
+    ev = evaluate(g, p, default_specs("stub", token_overlap_judge))
+    shown = display_names(compare_runs(ev.primary, ev.summary(), "baseline", "candidate"))
+    assert {"Field", "Baseline mean", "Δ mean", "Δ PR"} <= set(shown.columns)
+    means = {(r["run"], r["field"]): r["mean_score"] for r in field_means_all_entries(ev.long).collect()}
+    low = {(r["run"], r["field"]) for r in failing_fields(ev.long, threshold=0.9).collect()}
+    assert low == {k for k, v in means.items() if v < 0.9}
+    exact = {(r["run"], r["field"]): r for r in score_distribution(ev.primary).collect()}
+    approx = {(r["run"], r["field"]): r for r in score_distribution(ev.primary, exact=False).collect()}
+    for k, r in exact.items():
+        assert approx[k]["min_score"] == r["min_score"] and approx[k]["max_score"] == r["max_score"]
+        assert r["min_score"] <= r["q25"] <= r["median"] <= r["q75"] <= r["max_score"]
