@@ -54,7 +54,10 @@ def ship_package(spark: SparkSession) -> None:
     cluster that installs the package on its executors needs none of this."""
     import zipfile
 
-    app = spark.sparkContext.applicationId
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # Spark Connect: no SparkContext on the client
+        app = f"connect-{spark.session_id}" if hasattr(spark, "session_id") else "connect"
     if app in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
@@ -66,7 +69,10 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(base, f)
                     zf.write(full, os.path.relpath(full, root))
-    spark.sparkContext.addPyFile(target)
+    try:
+        spark.sparkContext.addPyFile(target)
+    except Exception:  # Spark Connect ships Python files as session artifacts
+        spark.addArtifacts(target, pyfile=True)
     _SHIPPED.add(app)
 
 
@@ -75,12 +81,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     Raises when none is configured: a machine-local folder is not safe on a
     cluster, so the library never invents one by itself."""
-    sc = spark.sparkContext
-    d = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: only the session conf is visible
+        sc = None
+    d = sc.getCheckpointDir() if sc is not None else None
     if d:
         return d.rstrip("/")
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
+        if sc is None:
+            return d.rstrip("/")
         sc.setCheckpointDir(d)
         return sc.getCheckpointDir().rstrip("/")
     raise RuntimeError(
@@ -95,8 +106,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return checkpoint_dir(spark)
     except RuntimeError:
         d = tempfile.mkdtemp(prefix="fieldmark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # a static conf on some deployments; the context still takes it
+            pass
+        try:
+            spark.sparkContext.setCheckpointDir(d)
+        except Exception:
+            pass
         return checkpoint_dir(spark)
 
 
