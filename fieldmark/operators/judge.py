@@ -35,7 +35,7 @@ from pyspark.sql.utils import AnalysisException
 
 from fieldmark.functions.scorers import judge_precheck, result
 from fieldmark.functions.text import list_text
-from fieldmark.operators.joins import DEFAULT_BROADCAST_ROWS
+from fieldmark.operators.joins import DEFAULT_BROADCAST_CHARS, DEFAULT_BROADCAST_ROWS
 from fieldmark.operators.materialize import materialize
 from fieldmark.schemas import JUDGE_VERDICT, VERDICT_VALUES
 from fieldmark.session import scratch_path
@@ -132,6 +132,7 @@ class Judge:
     cache_path: str | None = None
     concurrency: int | None = None
     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS
+    max_broadcast_chars: int = DEFAULT_BROADCAST_CHARS
 
     # -- pieces -------------------------------------------------------------
     def pair_columns(self, df: DataFrame, expected: str, actual: str):
@@ -204,7 +205,7 @@ class Judge:
         key = cache_key(F.lit(self.rubric), e_text, a_text)
         keyed = df.withColumn("_pre", pre).withColumn(
             "_jkey", F.when(F.col("_pre").isNull(), key).otherwise(spread))
-        if stats.pairs <= self.max_broadcast_rows:
+        if stats.pairs <= self.max_broadcast_rows and self._fits(verdicts, out):
             joined = keyed.join(F.broadcast(verdicts), "_jkey", "left")
         else:
             parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -230,6 +231,14 @@ class Judge:
         return (joined.withColumn(out, F.coalesce(F.col("_pre"), judged))
                 .drop("_jkey", "_pre", "_verdict", "_reasoning"))
 
+    def _fits(self, verdicts: DataFrame, out: str) -> bool:
+        """Characters a broadcast of the verdicts would carry (keys, reasons,
+        errors: free text from the judge), measured on the written verdicts."""
+        text = (F.lit(64) + F.coalesce(F.length("_reasoning"), F.lit(0))
+                + F.coalesce(F.length(f"{out}_judge_error"), F.lit(0)))
+        chars = verdicts.agg(F.sum(text).alias("c")).first()["c"] or 0
+        return chars <= self.max_broadcast_chars
+
     def apply(self, df: DataFrame, expected: str, actual: str, out: str) -> DataFrame:
         from fieldmark.operators.score import PairStats
 
@@ -243,7 +252,7 @@ def call_group(judge: Judge) -> tuple:
     """Judges with equal group keys share one cache probe, one call job and one
     append (the callable gets each row's rubric)."""
     return (judge.model, id(judge.call), judge.cache_path, judge.concurrency,
-            judge.max_broadcast_rows)
+            judge.max_broadcast_rows, judge.max_broadcast_chars)
 
 
 def resolve_verdicts(judges: list[Judge], keyed: DataFrame, path: str,

@@ -23,7 +23,7 @@ from fieldmark.functions.scorers import (
     similarity_of,
 )
 from fieldmark.functions.text import norm
-from fieldmark.operators.joins import DEFAULT_BROADCAST_ROWS
+from fieldmark.operators.joins import DEFAULT_BROADCAST_CHARS, DEFAULT_BROADCAST_ROWS
 from fieldmark.operators.materialize import materialize
 from fieldmark.schemas import EXAMPLE_PASS
 
@@ -61,6 +61,7 @@ class FuzzyMatch:
     metric: str = "indel"
     dedupe: bool = True
     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS
+    max_broadcast_chars: int = DEFAULT_BROADCAST_CHARS
 
     @property
     def batched(self) -> bool:
@@ -83,9 +84,10 @@ class FuzzyMatch:
         return df.where(cond).select(fe.alias("expected"), fa.alias("actual"))
 
     def attach(self, df, expected, actual, out, pairs, stats):
-        """Join the similarity of each distinct pair back (broadcast); with more
-        distinct pairs than the bound, score inline instead (no shuffle)."""
-        if stats.pairs > self.max_broadcast_rows:
+        """Join the similarity of each distinct pair back (broadcast); when the
+        distinct pairs exceed the row or character bound, score inline instead
+        (no shuffle)."""
+        if stats.pairs > self.max_broadcast_rows or stats.chars > self.max_broadcast_chars:
             return self.inline(df, expected, actual, out)
         e, a = F.col(expected), F.col(actual)
         scored = pairs.select(F.col("expected").alias("_fa"), F.col("actual").alias("_fb"),
@@ -101,7 +103,9 @@ class FuzzyMatch:
         if not self.batched:
             return self.inline(df, expected, actual, out)
         pairs = materialize(self.pair_rows(df, expected, actual).distinct(), "fuzzy_pairs")
-        return self.attach(df, expected, actual, out, pairs, PairStats(pairs.count(), 0))
+        n = pairs.agg(F.count("*").alias("p"),
+                      F.sum(F.length("expected") + F.length("actual")).alias("c")).first()
+        return self.attach(df, expected, actual, out, pairs, PairStats(n["p"], 0, n["c"] or 0))
 
 
 @dataclass(frozen=True)
@@ -135,10 +139,12 @@ def result_columns(specs: list[FieldSpec]) -> list[str]:
 
 @dataclass(frozen=True)
 class PairStats:
-    """Distinct pairs of a batch scorer and the rows they stand for."""
+    """Distinct pairs of a batch scorer, the rows they stand for, and the
+    characters of their texts (what a broadcast of them would carry)."""
 
     pairs: int
     rows: int
+    chars: int = 0
 
 
 def _judge_verdicts(batch, pairs: DataFrame, counts: dict) -> dict[str, DataFrame]:
@@ -165,7 +171,7 @@ def _judge_verdicts(batch, pairs: DataFrame, counts: dict) -> dict[str, DataFram
             mine = j.keyed(pairs.where(F.col("slot") == n)).select("judge", "key")
             small = counts.get(n, PairStats(0, 0)).pairs <= j.max_broadcast_rows
             out[n] = resolved.join(F.broadcast(mine) if small else mine, ["judge", "key"],
-                                   "left_semi")
+                                   "left_semi")  # keys: 64 characters each, bounded by rows
     return out
 
 
@@ -194,8 +200,10 @@ def score_fields(paired: DataFrame, specs: list[FieldSpec]) -> DataFrame:
         rows = paired.select(F.inline(F.filter(F.array(*entries), lambda x: x.isNotNull())))
         pairs = materialize(rows.groupBy("slot", "expected", "actual")
                             .agg(F.count("*").alias("n_rows")), "pairs")
-        counts = {r["slot"]: PairStats(r["pairs"], r["rows"]) for r in pairs.groupBy("slot").agg(
-            F.count("*").alias("pairs"), F.sum("n_rows").alias("rows")).collect()}
+        counts = {r["slot"]: PairStats(r["pairs"], r["rows"], r["chars"] or 0)
+                  for r in pairs.groupBy("slot").agg(
+                      F.count("*").alias("pairs"), F.sum("n_rows").alias("rows"),
+                      F.sum(F.length("expected") + F.length("actual")).alias("chars")).collect()}
     verdicts = _judge_verdicts(batch, pairs, counts) if batch else {}
     out = paired
     for n, s in zip(names, specs):
