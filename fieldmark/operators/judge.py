@@ -181,7 +181,8 @@ class Judge:
 
     # -- scorer protocol ----------------------------------------------------
     def attach(self, df: DataFrame, expected: str, actual: str, out: str, pairs: DataFrame,
-               stats, verdicts: DataFrame | None = None) -> DataFrame:
+               stats, verdicts: DataFrame | None = None,
+               verdicts_fit: bool | None = None) -> DataFrame:
         """Add the result column given the distinct text pairs of ``df`` (from a
         written table, with ``n_rows`` per pair when known) and their counts.
 
@@ -205,7 +206,8 @@ class Judge:
         key = cache_key(F.lit(self.rubric), e_text, a_text)
         keyed = df.withColumn("_pre", pre).withColumn(
             "_jkey", F.when(F.col("_pre").isNull(), key).otherwise(spread))
-        if stats.pairs <= self.max_broadcast_rows and self._fits(verdicts, out):
+        fits = verdicts_fit if verdicts_fit is not None else self._fits(verdicts, out)
+        if stats.pairs <= self.max_broadcast_rows and fits:
             joined = keyed.join(F.broadcast(verdicts), "_jkey", "left")
         else:
             parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -234,10 +236,9 @@ class Judge:
     def _fits(self, verdicts: DataFrame, out: str) -> bool:
         """Characters a broadcast of the verdicts would carry (keys, reasons,
         errors: free text from the judge), measured on the written verdicts."""
-        text = (F.lit(64) + F.coalesce(F.length("_reasoning"), F.lit(0))
-                + F.coalesce(F.length(f"{out}_judge_error"), F.lit(0)))
-        chars = verdicts.agg(F.sum(text).alias("c")).first()["c"] or 0
-        return chars <= self.max_broadcast_chars
+        return verdict_chars(verdicts.select(F.col("_reasoning").alias("reasoning"),
+                                             F.col(f"{out}_judge_error").alias("judge_error"))
+                             ) <= self.max_broadcast_chars
 
     def apply(self, df: DataFrame, expected: str, actual: str, out: str) -> DataFrame:
         from fieldmark.operators.score import PairStats
@@ -248,6 +249,14 @@ class Judge:
         return self.attach(df, expected, actual, out, pairs, PairStats(n["p"], n["r"] or 0))
 
 
+def verdict_chars(verdicts: DataFrame) -> int:
+    """Characters a broadcast of verdicts carries: 64 per key plus the free
+    text of reasons and errors."""
+    text = (F.lit(64) + F.coalesce(F.length("reasoning"), F.lit(0))
+            + F.coalesce(F.length("judge_error"), F.lit(0)))
+    return verdicts.agg(F.sum(text).alias("c")).first()["c"] or 0
+
+
 def call_group(judge: Judge) -> tuple:
     """Judges with equal group keys share one cache probe, one call job and one
     append (the callable gets each row's rubric)."""

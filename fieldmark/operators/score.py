@@ -147,10 +147,12 @@ class PairStats:
     chars: int = 0
 
 
-def _judge_verdicts(batch, pairs: DataFrame, counts: dict) -> dict[str, DataFrame]:
-    """Verdicts per judged slot; judges of one call group (same model,
-    callable and cache) are resolved together: one cache probe, one call job."""
-    from fieldmark.operators.judge import Judge, call_group, resolve_verdicts
+def _judge_verdicts(batch, pairs: DataFrame, counts: dict) -> dict[str, tuple]:
+    """(verdicts, fits a broadcast) per judged slot; judges of one call group
+    (same model, callable and cache) are resolved together: one cache probe,
+    one call job, and one size measurement of the group's verdicts (an upper
+    bound for every slot's share)."""
+    from fieldmark.operators.judge import Judge, call_group, resolve_verdicts, verdict_chars
     from fieldmark.session import scratch_path
 
     groups: dict[tuple, list] = {}
@@ -167,11 +169,13 @@ def _judge_verdicts(batch, pairs: DataFrame, counts: dict) -> dict[str, DataFram
         path = judges[0].cache_path or scratch_path(pairs.sparkSession, "judge_verdicts")
         n_pairs = sum(counts.get(n, PairStats(0, 0)).pairs for n, _ in members)
         resolved = resolve_verdicts(judges, keyed.drop("_slot"), path, n_pairs)
+        fit = verdict_chars(resolved) <= judges[0].max_broadcast_chars
         for n, j in members:
             mine = j.keyed(pairs.where(F.col("slot") == n)).select("judge", "key")
             small = counts.get(n, PairStats(0, 0)).pairs <= j.max_broadcast_rows
-            out[n] = resolved.join(F.broadcast(mine) if small else mine, ["judge", "key"],
-                                   "left_semi")  # keys: 64 characters each, bounded by rows
+            out[n] = (resolved.join(F.broadcast(mine) if small else mine, ["judge", "key"],
+                                    "left_semi"),  # keys: 64 characters each, bounded by rows
+                      fit)
     return out
 
 
@@ -210,7 +214,8 @@ def score_fields(paired: DataFrame, specs: list[FieldSpec]) -> DataFrame:
         e, a = f"e_{s.field}", f"a_{s.field}"
         if _batched(s.scorer):
             slot_pairs = pairs.where(F.col("slot") == n).drop("slot")
-            extra = {"verdicts": verdicts[n]} if n in verdicts else {}
+            extra = ({"verdicts": verdicts[n][0], "verdicts_fit": verdicts[n][1]}
+                     if n in verdicts else {})
             out = s.scorer.attach(out, e, a, n, slot_pairs, counts.get(n, PairStats(0, 0)), **extra)
         else:
             out = s.scorer.apply(out, e, a, n)
