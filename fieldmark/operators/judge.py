@@ -303,7 +303,10 @@ def resolve_verdicts(judges: list[Judge], keyed: DataFrame, path: str,
     calls = misses.mapInPandas(_caller(lead.call, rubrics), CALL_SCHEMA)
     fresh = materialize(parse_verdicts(calls).select(*cols), "verdict_fresh")
     fresh.write.mode("append").partitionBy("judge").parquet(path)
-    return fresh if hits is None else hits.select(*cols).unionByName(fresh)
+    fresh = fresh.withColumn("fresh", F.lit(True))  # judged by this call (tokens spent now)
+    if hits is None:
+        return fresh
+    return hits.select(*cols).withColumn("fresh", F.lit(False)).unionByName(fresh)
 
 
 def read_cache(spark, path: str) -> DataFrame | None:

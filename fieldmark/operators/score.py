@@ -147,7 +147,7 @@ class PairStats:
     chars: int = 0
 
 
-def _judge_verdicts(batch, pairs: DataFrame, counts: dict) -> dict[str, tuple]:
+def _judge_verdicts(batch, pairs: DataFrame, counts: dict) -> tuple[dict[str, tuple], DataFrame | None]:
     """(verdicts, fits a broadcast) per judged slot; judges of one call group
     (same model, callable and cache) are resolved together: one cache probe,
     one call job, and one size measurement of the group's verdicts (an upper
@@ -160,6 +160,7 @@ def _judge_verdicts(batch, pairs: DataFrame, counts: dict) -> dict[str, tuple]:
         if isinstance(s.scorer, Judge):
             groups.setdefault(call_group(s.scorer), []).append((n, s.scorer))
     out = {}
+    calls = None
     for members in groups.values():
         keyed = None
         for n, j in members:
@@ -170,13 +171,15 @@ def _judge_verdicts(batch, pairs: DataFrame, counts: dict) -> dict[str, tuple]:
         n_pairs = sum(counts.get(n, PairStats(0, 0)).pairs for n, _ in members)
         resolved = resolve_verdicts(judges, keyed.drop("_slot"), path, n_pairs)
         fit = verdict_chars(resolved) <= judges[0].max_broadcast_chars
+        spent = resolved.where(F.col("fresh")).select("judge", "key", "judge_tokens")
+        calls = spent if calls is None else calls.unionByName(spent)
         for n, j in members:
             mine = j.keyed(pairs.where(F.col("slot") == n)).select("judge", "key")
             small = counts.get(n, PairStats(0, 0)).pairs <= j.max_broadcast_rows
             out[n] = (resolved.join(F.broadcast(mine) if small else mine, ["judge", "key"],
                                     "left_semi"),  # keys: 64 characters each, bounded by rows
                       fit)
-    return out
+    return out, calls
 
 
 def _batched(scorer) -> bool:
@@ -184,7 +187,15 @@ def _batched(scorer) -> bool:
 
 
 def score_fields(paired: DataFrame, specs: list[FieldSpec]) -> DataFrame:
-    """Add one ``STRUCT<score, passed, reason>`` column per spec.
+    """Add one ``STRUCT<score, passed, reason>`` column per spec (see
+    ``score_fields_with_calls``)."""
+    return score_fields_with_calls(paired, specs)[0]
+
+
+def score_fields_with_calls(paired: DataFrame, specs: list[FieldSpec]
+                            ) -> tuple[DataFrame, DataFrame | None]:
+    """Add one ``STRUCT<score, passed, reason>`` column per spec; also returns
+    the verdicts judged by this call (judge, key, judge_tokens), or None.
 
     Scorers that work on distinct pairs share one pass over ``paired``: the
     pairs of all of them are extracted and deduplicated together (partial
@@ -208,7 +219,7 @@ def score_fields(paired: DataFrame, specs: list[FieldSpec]) -> DataFrame:
                   for r in pairs.groupBy("slot").agg(
                       F.count("*").alias("pairs"), F.sum("n_rows").alias("rows"),
                       F.sum(F.length("expected") + F.length("actual")).alias("chars")).collect()}
-    verdicts = _judge_verdicts(batch, pairs, counts) if batch else {}
+    verdicts, calls = _judge_verdicts(batch, pairs, counts) if batch else ({}, None)
     out = paired
     for n, s in zip(names, specs):
         e, a = f"e_{s.field}", f"a_{s.field}"
@@ -219,7 +230,7 @@ def score_fields(paired: DataFrame, specs: list[FieldSpec]) -> DataFrame:
             out = s.scorer.attach(out, e, a, n, slot_pairs, counts.get(n, PairStats(0, 0)), **extra)
         else:
             out = s.scorer.apply(out, e, a, n)
-    return out
+    return out, calls
 
 
 def first_wins_columns(specs: list[FieldSpec]) -> dict[str, str]:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fieldmark.operators.aggregate import field_stats, run_summary
 from fieldmark.operators.judge import Judge, VerdictFn
@@ -24,7 +25,7 @@ from fieldmark.operators.score import (
     add_overall,
     field_results_array,
     first_wins_columns,
-    score_fields,
+    score_fields_with_calls,
     to_long,
 )
 from fieldmark.schemas import EXAMPLE_PASS, FUZZY_PASS, JUDGE_PASS
@@ -69,6 +70,7 @@ class Evaluation:
 
     scored: DataFrame
     specs: list[FieldSpec]
+    judge_calls: DataFrame | None = None   # verdicts judged by this evaluation
 
     @property
     def firsts(self) -> dict[str, str]:
@@ -96,6 +98,14 @@ class Evaluation:
     def field_stats(self) -> DataFrame:
         return field_stats(self.primary)
 
+    def judge_spend(self) -> DataFrame | None:
+        """Judge calls this evaluation made and the tokens they reported, per
+        judge model (cache hits cost nothing); None without judged fields."""
+        if self.judge_calls is None:
+            return None
+        return self.judge_calls.groupBy("judge").agg(
+            F.count("*").alias("calls"), F.sum("judge_tokens").cast("bigint").alias("judge_tokens"))
+
 
 def evaluate(golden: DataFrame, predictions: DataFrame, specs: list[FieldSpec],
              missing: str = "error", pass_threshold: float = EXAMPLE_PASS,
@@ -112,12 +122,14 @@ def evaluate(golden: DataFrame, predictions: DataFrame, specs: list[FieldSpec],
         paired = materialize(paired, "paired")
     if missing == "error":
         check_pairs(paired, flatten_golden(golden))
-    scored = add_overall(score_fields(paired, specs), specs, pass_threshold, weights)
+    scored, calls = score_fields_with_calls(paired, specs)
+    scored = add_overall(scored, specs, pass_threshold, weights)
     if persist:
         scored = materialize(scored, "scored")
     # the nested per-example list is a projection of the result columns:
     # computed on read rather than stored twice
-    return Evaluation(scored.withColumn("field_results", field_results_array(specs)), specs)
+    return Evaluation(scored.withColumn("field_results", field_results_array(specs)), specs,
+                      calls)
 
 
 def run_evaluation(spark, golden_path: str, model_fn, model: str, judge_fn, judge_model: str,

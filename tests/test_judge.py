@@ -144,3 +144,20 @@ def test_meta_eval_identical_high_unrelated_low(spark):
     same, unrelated = _score(spark, j, [("Senior Data Engineer", "Senior Data Engineer"),
                                         ("Senior Data Engineer", "Junior Graphic Designer")])
     assert same["score"] == 1.0 and unrelated["score"] <= 0.5
+
+
+def test_judge_spend_counts_only_fresh_calls(spark, sf_small):
+    from fieldmark.plans.evaluate import default_specs, evaluate
+    from fieldmark.sources.fixtures import fixture
+
+    def fn(req):
+        out = token_overlap_judge(req)
+        return pd.DataFrame({"verdict": out.values, "total_tokens": [10] * len(req)})
+    g, p = fixture(spark, sf_small)
+    path = scratch_path(spark, "spend_cache")
+    first = evaluate(g, p, default_specs("m", fn, cache_path=path))
+    (s1,) = first.judge_spend().collect()
+    assert s1["calls"] == read_cache(spark, path).count() and s1["judge_tokens"] == 10 * s1["calls"]
+    second = evaluate(g, p, default_specs("m", fn, cache_path=path))
+    assert second.judge_spend().count() == 0          # every verdict came from the cache
+    assert sorted(first.summary().collect()) == sorted(second.summary().collect())
