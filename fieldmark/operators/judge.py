@@ -5,14 +5,17 @@ A pair that the null/empty rules do not settle is judged once per
 
 1. distinct pairs (partial aggregation before the shuffle: a pair repeated in a
    third of all rows is one row per map task by the time it is shuffled);
-2. ``left_anti`` against the cache table: only misses are judged;
-3. misses go to the user's batch callable through ``mapInPandas``
-   (``concurrency`` partitions call at once), the raw verdict text is parsed
-   with ``from_json`` and checked against the 0/1/2 domain;
-4. new verdicts are appended to the cache table *before use*, so a lost task
-   downstream re-reads a verdict instead of paying for another call;
-5. verdicts are joined back to the rows, broadcast when their count is below
-   a bound, else by a shuffle join (AQE splits hot keys).
+2. one scan of the cache's partition for the judge model, probed with the
+   run's keys; the hits (one verdict per key) are written;
+3. misses go to the user's batch callable through ``mapInPandas`` (judges
+   of one model share the job; ``concurrency`` partitions call at once), the
+   raw verdict text is parsed with ``from_json`` and checked against the 0/1/2
+   domain;
+4. fresh verdicts are written *before use* and appended to the cache, so a
+   lost task downstream re-reads a verdict instead of paying for another call;
+5. verdicts are joined back to the rows, broadcast when their rows and
+   characters are within bounds, else by a shuffle join in which hot keys
+   are split off (see ``Judge.attach``).
 
 The callable gets a pandas DataFrame with columns ``rubric_id, rubric,
 expected, actual, prompt`` (``prompt`` is the user message ``Expected: <e>\nActual: <a>``;
