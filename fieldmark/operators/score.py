@@ -54,12 +54,19 @@ class FuzzyMatch:
     joins the scores back when the distinct pairs are few enough to
     broadcast; with many distinct pairs it scores inline, which needs no
     shuffle at all.  ``metric`` is ``indel`` (default), ``levenshtein`` or
-    ``token_set``."""
+    ``token_set``.
+
+    ``pass_only=True`` (indel only) is for checks that need the pass flag and
+    not the score: since LCS <= min(|a|, |b|), a pair whose bound
+    2*min/(|a|+|b|) is below the threshold fails without any LCS (score
+    null, reason ``ratio<=<bound>``); such pairs reach the UDF as nulls, which
+    it skips (``when`` does not keep a Python UDF from running)."""
 
     name: str = "fuzzy_match"
     threshold: float = 0.8
     metric: str = "indel"
     dedupe: bool = True
+    pass_only: bool = False
     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS
     max_broadcast_chars: int = DEFAULT_BROADCAST_CHARS
 
@@ -68,10 +75,34 @@ class FuzzyMatch:
         """Scored over distinct pairs (a job of its own) rather than inline."""
         return self.dedupe and self.metric != "levenshtein"
 
+    def _bound_ok(self, fa, fb):
+        la, lb = F.length(fa), F.length(fb)
+        return (la + lb == 0) | (F.lit(2.0) * F.least(la, lb) / (la + lb) >= F.lit(self.threshold))
+
+    def _ratio(self, fa, fb):
+        """Similarity of lower-cased values; with ``pass_only`` only where the
+        length bound leaves the outcome open."""
+        if not (self.pass_only and self.metric == "indel"):
+            return SIMILARITY[self.metric](fa, fb)
+        ok = self._bound_ok(fa, fb)
+        return SIMILARITY[self.metric](F.when(ok, fa), F.when(ok, fb))
+
+    def _result(self, e, a, ratio):
+        res = fuzzy_result(e, a, ratio, self.threshold)
+        if not (self.pass_only and self.metric == "indel"):
+            return res
+        fa, fb = F.lower(e.cast("string")), F.lower(a.cast("string"))
+        la, lb = F.length(fa), F.length(fb)
+        decided = e.isNotNull() & a.isNotNull() & ~self._bound_ok(fa, fb)
+        bound = F.lit(2.0) * F.least(la, lb) / (la + lb)
+        return F.when(decided, F.struct(
+            F.lit(None).cast("double").alias("score"), F.lit(False).alias("passed"),
+            F.concat(F.lit("ratio<="), F.format_number(bound, 2)).alias("reason"))).otherwise(res)
+
     def inline(self, df, expected, actual, out):
         e, a = F.col(expected), F.col(actual)
-        return df.withColumn(out, fuzzy_result(e, a, similarity_of(e, a, self.metric),
-                                               self.threshold))
+        fa, fb = F.lower(e.cast("string")), F.lower(a.cast("string"))
+        return df.withColumn(out, self._result(e, a, self._ratio(fa, fb)))
 
     def pair_columns(self, df, expected, actual):
         """(condition, expected, actual): lower-cased values where both are present."""
@@ -91,12 +122,11 @@ class FuzzyMatch:
             return self.inline(df, expected, actual, out)
         e, a = F.col(expected), F.col(actual)
         scored = pairs.select(F.col("expected").alias("_fa"), F.col("actual").alias("_fb"),
-                              SIMILARITY[self.metric](F.col("expected"), F.col("actual"))
-                              .alias("_ratio"))
+                              self._ratio(F.col("expected"), F.col("actual")).alias("_ratio"))
         joined = (df.withColumn("_fa", F.lower(e.cast("string")))
                   .withColumn("_fb", F.lower(a.cast("string")))
                   .join(F.broadcast(scored), ["_fa", "_fb"], "left"))
-        return (joined.withColumn(out, fuzzy_result(e, a, F.col("_ratio"), self.threshold))
+        return (joined.withColumn(out, self._result(e, a, F.col("_ratio")))
                 .drop("_fa", "_fb", "_ratio"))
 
     def apply(self, df, expected, actual, out):

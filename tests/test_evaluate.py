@@ -354,3 +354,25 @@ def test_report_helpers(spark, sf_small):
     for k, r in exact.items():
         assert approx[k]["min_score"] == r["min_score"] and approx[k]["max_score"] == r["max_score"]
         assert r["min_score"] <= r["q25"] <= r["median"] <= r["q75"] <= r["max_score"]
+
+
+def test_fuzzy_pass_only_length_bound(spark, sf_small):
+    """The length bound decides some failures without LCS; pass flags agree
+    with the full scorer everywhere, scores wherever they are computed."""
+    from pyspark.sql import functions as F
+
+    g, p = fixture(spark, sf_small)
+    paired = pair(g, p)
+    rows = paired.select("run", "example_id", "e_location", "a_location").union(
+        paired.select("run", "example_id", F.lit("Berlin, Germany"), F.lit("Berlin")))
+    full = {(r[0], r[1], r[2]): r[3] for r in FuzzyMatch().inline(rows, "e_location", "a_location", "x")
+            .select("run", "example_id", "e_location", "x").collect()}
+    for dedupe in (False, True):
+        scorer = FuzzyMatch(pass_only=True, dedupe=dedupe)
+        out = (scorer.apply(rows, "e_location", "a_location", "x") if dedupe
+               else scorer.inline(rows, "e_location", "a_location", "x"))
+        got = {(r[0], r[1], r[2]): r[3] for r in out.select("run", "example_id", "e_location", "x").collect()}
+        assert {k: v["passed"] for k, v in got.items()} == {k: v["passed"] for k, v in full.items()}
+        decided = [k for k, v in got.items() if v["score"] is None]
+        assert decided  # "Berlin, Germany" vs "Berlin": bound 12/21 < 0.8
+        assert all(got[k]["score"] == full[k]["score"] for k in got if k not in decided)
