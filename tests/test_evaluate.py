@@ -376,3 +376,14 @@ def test_fuzzy_pass_only_length_bound(spark, sf_small):
         decided = [k for k, v in got.items() if v["score"] is None]
         assert decided  # "Berlin, Germany" vs "Berlin": bound 12/21 < 0.8
         assert all(got[k]["score"] == full[k]["score"] for k in got if k not in decided)
+
+
+def test_weighted_overall(spark):
+    df = spark.createDataFrame([(1.0, 0.0, 0.5)], "title double, seniority double, location double")
+    specs = [FieldSpec("seniority"), FieldSpec("location"), FieldSpec("title")]
+    wide = df.select(*[F.struct(F.col(f).alias("score")).alias(f) for f in ("seniority", "location", "title")])
+    plain = add_overall(wide, specs).first()
+    weighted = add_overall(wide, specs, weights={"title": 2.0}).first()
+    assert plain["overall_score"] == 0.5 and not plain["passed"]
+    assert weighted["overall_score"] == (2 * 1.0 + 0.0 + 0.5) / 4 and not weighted["passed"]
+    assert add_overall(wide, specs, pass_threshold=0.6, weights={"title": 4.0}).first()["passed"]
