@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from fieldmark.operators.validate import DEFAULT_DOMAINS, golden_checks, validate
 from fieldmark.schemas import GOLDEN
 
+# Text fields of a golden record (name -> JSON path).
+STRING_PATHS = {
+    "id": "$.id", "category": "$.category", "notes": "$.notes",
+    "expected.title": "$.expected.title", "expected.seniority": "$.expected.seniority",
+    "expected.work_mode": "$.expected.work_mode", "expected.location": "$.expected.location",
+}
+
 
 def read_golden(spark: SparkSession, path: str, on_error: str | None = "raise",
                 domains: dict[str, list[str]] = DEFAULT_DOMAINS):
@@ -26,7 +33,16 @@ def read_golden(spark: SparkSession, path: str, on_error: str | None = "raise",
     rec = F.from_json("line", GOLDEN)
     raw_skills_null = (F.get_json_object("line", "$.expected.skills").isNull()
                        & F.col("line").rlike(r'"skills"\s*:\s*null'))
-    df = lines.select("line_order", rec.alias("r"), raw_skills_null.alias("_skills_null"))
+    # The typed read turns a JSON number into a string; the variant keeps the
+    # JSON type of each value, so text fields can be required to be text.
+    v = F.expr("parse_json(line)")
+    kinds = {name: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+             for name, path in STRING_PATHS.items()}
+    wrong = F.filter(F.array(*[F.when(k.isNotNull() & ~k.isin("STRING", "VOID"),
+                                      F.lit(f"{name} is not a string"))
+                               for name, k in kinds.items()]), lambda m: m.isNotNull())
+    df = lines.select("line_order", rec.alias("r"), raw_skills_null.alias("_skills_null"),
+                      wrong.alias("_type_errors"))
     expected = F.col("r.expected")
     df = df.select(
         "line_order", "r.id", "r.category", "r.input",
@@ -34,10 +50,16 @@ def read_golden(spark: SparkSession, path: str, on_error: str | None = "raise",
                expected.withField("skills", F.coalesce(expected["skills"],
                                                        F.array().cast("array<string>"))))
         .otherwise(expected).alias("expected"),
-        "r.notes")
+        "r.notes", "_type_errors")
     if on_error is None:
-        return df
-    return validate(df, on_error=on_error, checks=golden_checks(domains, strict_skills=True))
+        return df.drop("_type_errors")
+    checks = golden_checks(domains, strict_skills=True) + [
+        F.when(F.size("_type_errors") > 0, F.array_join("_type_errors", "; "))]
+    out = validate(df, on_error=on_error, checks=checks)
+    if on_error == "split":
+        good, bad = out
+        return good.drop("_type_errors"), bad.drop("_type_errors")
+    return out.drop("_type_errors")
 
 
 def write_golden(golden: DataFrame, path: str) -> None:

@@ -175,13 +175,14 @@ def test_read_golden_jsonl(spark):
     write_lines(d2, [json.dumps(good),
                      json.dumps(dict(good, id="ex_2", expected={"title": "T", "skills": None})),
                      json.dumps(dict(good, id="ex_4", expected={"seniority": "boss"})),
-                     json.dumps(dict(good, id="ex_5"))])
+                     json.dumps(dict(good, id="ex_5")),
+                     json.dumps(dict(good, id=6))])
     with pytest.raises(ValueError):
         read_golden(spark, d2)
     ok, bad = read_golden(spark, d2, on_error="split")
     assert ok.count() == 2
     assert sorted(tuple(r["violations"]) for r in bad.collect()) == [
-        ("seniority not in domain",), ("skills is null",)]
+        ("id is not a string",), ("seniority not in domain",), ("skills is null",)]
 
 
 def test_predict_flags_bad_answers_and_validates(spark):
