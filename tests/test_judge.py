@@ -160,4 +160,6 @@ def test_judge_spend_counts_only_fresh_calls(spark, sf_small):
     assert s1["calls"] == read_cache(spark, path).count() and s1["judge_tokens"] == 10 * s1["calls"]
     second = evaluate(g, p, default_specs("m", fn, cache_path=path))
     assert second.judge_spend().count() == 0          # every verdict came from the cache
-    assert sorted(first.summary().collect()) == sorted(second.summary().collect())
+    def rounded(ev):  # sums of doubles may differ in the last bit between runs
+        return sorted((r["run"], r["n_passed"], round(r["mean_score"], 9)) for r in ev.summary().collect())
+    assert rounded(first) == rounded(second)
