@@ -233,7 +233,7 @@ def train(labelled: DataFrame, max_docs: int = 400, deviations: float = 8.0) ->
 
     def counted(part: DataFrame) -> pd.DataFrame:
         return part.select("lang", "text").mapInPandas(count, "lang string, gram string, n long") \
-            .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+            .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pandas()
 
     counts = counted(sample.where("not calibrates"))
     missing = sorted(set(sizes) - set(counts["lang"]))

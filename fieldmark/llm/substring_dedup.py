@@ -110,7 +110,7 @@ def _marked_starts(docs: DataFrame, size: int, max_sent: int) -> DataFrame:
     hot = save(repeated_cells(docs, size), "cells")
     held = None
     if hot.count() <= max_sent:
-        cells = np.sort(hot.toPandas()["cell"].to_numpy(np.int64).view(np.uint64))
+        cells = np.sort(hot.toArrow()["cell"].to_numpy().view(np.uint64))
         held = docs.sparkSession.sparkContext.broadcast(cells)
         rows = docs.select("doc_id", "text")
     else:
