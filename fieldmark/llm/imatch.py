@@ -119,10 +119,13 @@ def with_edited(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked = after.join(sizes, "doc_id").select(
         F.col("next_id").alias("giver"), F.col("doc_id").alias("taker"),
         F.expr("n div 3").cast("int").alias("m"))
-    given = docs.join(asked, F.col("doc_id") == F.col("giver")).select(
+    # both joins read the same shuffle of the texts
+    named = docs.where("doc_id is not null")
+    given = named.join(asked, F.col("doc_id") == F.col("giver")).select(
         "taker", F.expr("substring(text, 1, m)").alias("piece")) \
         .groupBy("taker").agg(F.max("piece").alias("piece"))
-    both = docs.join(given, F.col("doc_id") == F.col("taker"), "left")
+    both = named.join(given, F.col("doc_id") == F.col("taker"), "left").drop("taker") \
+        .unionByName(docs.where("doc_id is null").withColumn("piece", F.lit("")))
     own = F.length("text")
     return both.select(
         "doc_id", "text", own.cast("long").alias("n_chars"),
