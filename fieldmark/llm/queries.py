@@ -141,8 +141,8 @@ GROUP BY conv_id""",
     "op9_jaccard_join": f"""
 WITH RECURSIVE words AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> w[i:i + 4])) END AS s FROM words),
-tokens AS (SELECT doc_id, unnest(list_transform(s, x -> hash(x))) AS token FROM sets),
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4])) END AS s FROM words),
+tokens AS (SELECT doc_id, unnest(list_transform(s, lambda x: hash(x))) AS token FROM sets),
 sizes AS (SELECT doc_id, len(s) AS n FROM sets),
 links AS (SELECT a, b FROM (
     SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM tokens x JOIN tokens y
@@ -161,7 +161,7 @@ WITH words AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM do
 windows AS (SELECT doc_id, i, hash(w[i:i + 19]) AS h
     FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words)),
 later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (
-    PARTITION BY h ORDER BY doc_id, i) AS at FROM windows) WHERE at > 1),
+    PARTITION BY h ORDER BY doc_id, i) AS place FROM windows) WHERE place > 1),
 gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, range(0, 20) r(k)),
 each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words),
 kept AS (SELECT e.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t
