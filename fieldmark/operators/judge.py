@@ -281,13 +281,19 @@ def resolve_verdicts(judges: list[Judge], keyed: DataFrame, path: str,
     result is hits plus fresh verdicts, both read from written tables."""
     spark = keyed.sparkSession
     lead = judges[0]
+    # one request per (judge, key): texts that hold the separator, or one rubric judged by
+    # two specs, give a key more than once
+    keyed = keyed.groupBy("judge", "key").agg(
+        F.min(F.struct("rubric_id", "expected", "actual")).alias("one")) \
+        .select("judge", "key", "one.*")
     small = n_pairs is not None and n_pairs <= lead.max_broadcast_rows
     cols = VERDICT_COLS
     cached = read_cache(spark, path)
     hits = None
     if cached is not None:
         keys = keyed.select("judge", "key")
-        mine = cached.where(F.col("judge") == lead.model).join(
+        mine = cached.where((F.col("judge") == lead.model) & F.col("judge_error").isNull()
+                            & F.col("verdict").isNotNull()).join(
             F.broadcast(keys) if small else keys, ["judge", "key"], "left_semi")
         # A re-run append or two runs writing at once can store a key twice;
         # keep one verdict per key, chosen deterministically.
@@ -305,7 +311,9 @@ def resolve_verdicts(judges: list[Judge], keyed: DataFrame, path: str,
     rubrics = {j.rubric_id: j.rubric for j in judges}
     calls = misses.mapInPandas(_caller(lead.call, rubrics), CALL_SCHEMA)
     fresh = materialize(parse_verdicts(calls).select(*cols), "verdict_fresh")
-    fresh.write.mode("append").partitionBy("judge").parquet(path)
+    # an invalid verdict is reported, never cached: the pair is asked again next time
+    fresh.where(F.col("judge_error").isNull() & F.col("verdict").isNotNull()) \
+        .write.mode("append").partitionBy("judge").parquet(path)
     fresh = fresh.withColumn("fresh", F.lit(True))  # judged by this call (tokens spent now)
     if hits is None:
         return fresh
@@ -313,11 +321,14 @@ def resolve_verdicts(judges: list[Judge], keyed: DataFrame, path: str,
 
 
 def read_cache(spark, path: str) -> DataFrame | None:
-    """The verdict cache at ``path`` (partitioned by judge model), or None."""
+    """The verdict cache at ``path`` (partitioned by judge model), or None if there is none
+    yet; any other problem with it raises."""
     try:
         return spark.read.schema(VERDICTS_SCHEMA).parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if (e.getCondition() or "") == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 # ---------------------------------------------------------------------------

@@ -98,13 +98,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
         "no checkpoint folder: set spark.checkpoint.dir to a folder shared by all executors")
 
 
+def local_master(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process (``local``, ``local[n]``)."""
+    try:
+        master = spark.sparkContext.master
+    except Exception:  # Spark Connect: the client does not see the master
+        return False
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Like :func:`checkpoint_dir`, but sets a scratch folder when none is set.
 
-    Only for local runs (tests, bench, smoke checks); a cluster names its own."""
+    Only for local masters (tests, bench, smoke checks); a cluster names its own folder,
+    and without one this raises."""
     try:
         return checkpoint_dir(spark)
     except RuntimeError:
+        if not local_master(spark):
+            raise
         d = tempfile.mkdtemp(prefix="fieldmark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         try:
             spark.conf.set("spark.checkpoint.dir", d)

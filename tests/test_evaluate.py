@@ -346,7 +346,7 @@ def test_report_helpers(spark, sf_small):
     g, p = fixture(spark, sf_small)
     ev = evaluate(g, p, default_specs("stub", token_overlap_judge))
     shown = display_names(compare_runs(ev.primary, ev.summary(), "baseline", "candidate"))
-    assert {"Field", "Baseline mean", "Δ mean", "Δ PR"} <= set(shown.columns)
+    assert {"Scored field", "Mean before", "Mean change", "Passed change"} <= set(shown.columns)
     means = {(r["run"], r["field"]): r["mean_score"] for r in field_means_all_entries(ev.long).collect()}
     low = {(r["run"], r["field"]) for r in failing_fields(ev.long, threshold=0.9).collect()}
     assert low == {k for k, v in means.items() if v < 0.9}

@@ -23,7 +23,7 @@ def _const(score, reasoning="r"):
 
 
 def _judge(fn, path=None, rubric_id="title"):
-    return Judge(rubric_id=rubric_id, rubric="R", model="m", call=fn, cache_path=path)
+    return Judge(rubric_id=rubric_id, rubric="R", model="m", call=fn, path=path)
 
 
 def _score(spark, judge, rows, schema="e string, a string"):
@@ -38,10 +38,10 @@ def test_verdict_mapping(spark):
 
 
 def test_null_and_empty_rules(spark):
-    rows = [(None, None), ("", ""), ("", None), ("Senior Data Engineer", None)]
+    rows = [(None, None), ("", ""), ("", None), ("Head of Accounting", None)]
     got = _score(spark, _judge(_const(2)), rows)
     assert [g["score"] for g in got] == [1.0, 1.0, 1.0, 0.0]
-    assert got[3]["reason"] == "expected='Senior Data Engineer', actual=None"
+    assert got[3]["reason"] == "expected='Head of Accounting', actual=None"
 
 
 def test_lists(spark):
@@ -77,9 +77,9 @@ def test_invalid_verdict_is_an_error_not_a_crash(spark):
 def test_repeated_judgements_variance(spark):
     j = _judge(noisy_token_overlap_judge)
     pairs = j.distinct_pairs(spark.createDataFrame(
-        [("Senior Data Engineer", "Data Engineer – Senior Level"),
-         ("Junior Software Engineer", "Backend Developer"),
-         ("Machine Learning Engineer", "Data Scientist")], "e string, a string"), "e", "a")
+        [("Head of Accounting", "Accounting Lead"),
+         ("Trainee Electrician", "Electrical Apprentice"),
+         ("Pastry Chef", "Hotel Receptionist")], "e string, a string"), "e", "a")
     v = judge_variance(repeat_judgements(j, pairs, 3)).collect()
     assert len(v) == 3 and all(r["n"] == 3 for r in v)
     for r in v:  # scores in {0, .5, 1}: the gate fails only when both 0 and 1 occur
@@ -122,7 +122,7 @@ def test_judge_request_carries_rubric_and_prompt(spark):
         ok = [(r == "R" and p == f"Expected: {e}\nActual: {a}")
               for r, p, e, a in zip(req["rubric"], req["prompt"], req["expected"], req["actual"])]
         return pd.Series([json.dumps({"score": 2 if k else 0, "reasoning": "r"}) for k in ok])
-    (r,) = _score(spark, _judge(fn), [("Senior Data Engineer", "Data Engineer – Senior")])
+    (r,) = _score(spark, _judge(fn), [("Head of Accounting", "Accounting Lead")])
     assert r["score"] == 1.0
 
 
@@ -141,8 +141,8 @@ def test_judge_tokens_recorded_apart(spark):
 
 def test_meta_eval_identical_high_unrelated_low(spark):
     j = _judge(token_overlap_judge)
-    same, unrelated = _score(spark, j, [("Senior Data Engineer", "Senior Data Engineer"),
-                                        ("Senior Data Engineer", "Junior Graphic Designer")])
+    same, unrelated = _score(spark, j, [("Pastry Chef", "Pastry Chef"),
+                                        ("Pastry Chef", "Night Porter")])
     assert same["score"] == 1.0 and unrelated["score"] <= 0.5
 
 
@@ -155,11 +155,38 @@ def test_judge_spend_counts_only_fresh_calls(spark, sf_small):
         return pd.DataFrame({"verdict": out.values, "total_tokens": [10] * len(req)})
     g, p = fixture(spark, sf_small)
     path = scratch_path(spark, "spend_cache")
-    first = evaluate(g, p, default_specs("m", fn, cache_path=path))
+    first = evaluate(g, p, default_specs("m", fn, path=path))
     (s1,) = first.judge_spend().collect()
     assert s1["calls"] == read_cache(spark, path).count() and s1["judge_tokens"] == 10 * s1["calls"]
-    second = evaluate(g, p, default_specs("m", fn, cache_path=path))
+    second = evaluate(g, p, default_specs("m", fn, path=path))
     assert second.judge_spend().count() == 0          # every verdict came from the cache
     def rounded(ev):  # sums of doubles may differ in the last bit between runs
         return sorted((r["run"], r["n_passed"], round(r["mean_score"], 9)) for r in ev.summary().collect())
     assert rounded(first) == rounded(second)
+
+
+def _answers(text):
+    def fn(req):
+        return pd.Series([text] * len(req))
+    return fn
+
+
+def test_invalid_verdict_is_not_cached(spark, tmp_path):
+    path = f"file://{tmp_path}/verdicts"
+    rows = [("Pastry Chef", "Baker")]
+    (bad,) = _score(spark, _judge(_answers("no verdict"), path=path), rows)
+    assert bad["score"] is None
+    (good,) = _score(spark, _judge(_const(2), path=path), rows)
+    assert good["score"] == 1.0
+
+
+def test_colliding_keys_do_not_multiply_rows(spark):
+    # the key joins the texts with "||", so these two pairs share one
+    got = _score(spark, _judge(_const(2)), [("a||b", "c"), ("a", "b||c")])
+    assert [g["score"] for g in got] == [1.0, 1.0]
+
+
+def test_missing_cache_is_none(spark, tmp_path):
+    from fieldmark.operators.judge import read_cache
+
+    assert read_cache(spark, f"file://{tmp_path}/none") is None
