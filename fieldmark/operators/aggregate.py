@@ -83,14 +83,19 @@ def category_counts(golden: DataFrame) -> DataFrame:
 def category_breakdown(primary_with_category: DataFrame, pass_threshold: float = FIELD_PASS
                        ) -> DataFrame:
     """Mean score, pass rate and count over GROUPING SETS ((run), (run, category),
-    (run, field), (run, category, field)); ``level`` names the set."""
+    (run, field), (run, category, field)); ``level`` names the set.
+
+    The scored rows are aggregated once, to sums and counts per (run, category, field);
+    the other sets roll up those few rows."""
+    cells = primary_with_category.groupBy("run", "category", "field").agg(
+        F.count("score").alias("n"), F.sum("score").alias("total"),
+        F.count_if(F.col("score") >= F.lit(pass_threshold)).alias("hits"))
     gid = F.grouping_id()  # bits: run (always grouped), category, field
-    return (primary_with_category
-            .groupingSets([["run"], ["run", "category"], ["run", "field"],
-                           ["run", "category", "field"]], "run", "category", "field")
-            .agg(F.count("score").alias("n"),
-                 F.avg("score").alias("mean_score"),
-                 F.avg((F.col("score") >= F.lit(pass_threshold)).cast("double")).alias("pass_rate"),
+    return (cells.groupingSets([["run"], ["run", "category"], ["run", "field"],
+                                ["run", "category", "field"]], "run", "category", "field")
+            .agg(F.sum("n").alias("n"),
+                 F.try_divide(F.sum("total"), F.sum("n")).alias("mean_score"),
+                 F.try_divide(F.sum("hits"), F.sum("n")).cast("double").alias("pass_rate"),
                  gid.alias("_gid"))
             .withColumn("level", F.when(F.col("_gid") == 3, "run")
                         .when(F.col("_gid") == 1, "run_category")

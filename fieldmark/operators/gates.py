@@ -10,6 +10,7 @@ when at least 95% of the examples are below B.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,13 +65,17 @@ def gates(measures: DataFrame, targets=DEFAULT_TARGETS) -> DataFrame:
     """Each target (configuration: a short list of tuples) checked against its
     measure for every run.  Targets are attached to the runs with ``inline``
     of a literal array, a per-row generator rather than a join; a target whose
-    measure is missing (e.g. a field never scored) fails with a null value."""
+    measure is missing (e.g. a field never scored) fails with a null value.
+    The few measures of a run become one map first, so they are read once."""
     lit_targets = F.array(*[
         F.struct(F.lit(g).alias("gate"), F.lit(f).alias("field"), F.lit(m).alias("measure"),
                  F.lit(o).alias("op"), F.lit(float(b)).alias("bound"))
         for g, f, m, o, b in targets])
-    expanded = measures.select("run").distinct().select("run", F.inline(lit_targets))
-    joined = expanded.join(measures, ["run", "field", "measure"], "left")
+    of_run = measures.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct(
+        F.concat_ws("/", "field", "measure"), "value"))).alias("_measures"))
+    joined = of_run.select("run", "_measures", F.inline(lit_targets)).select(
+        "run", "field", "measure", "gate", "op", "bound",
+        F.try_element_at("_measures", F.concat_ws("/", "field", "measure")).alias("value"))
     ok = (F.when(F.col("op") == ">=", F.col("value") >= F.col("bound"))
           .when(F.col("op") == ">", F.col("value") > F.col("bound"))
           .when(F.col("op") == "<", F.col("value") < F.col("bound"))
@@ -78,6 +83,28 @@ def gates(measures: DataFrame, targets=DEFAULT_TARGETS) -> DataFrame:
     return joined.withColumn("passed", F.coalesce(ok, F.lit(False)))
 
 
+def latency_p95(examples: DataFrame, percent: int = 95) -> DataFrame:
+    """(run, n, p95_latency_ms): the nearest-rank percentile as a value, exact.
+
+    Counts per whole millisecond find the millisecond that holds the rank; only
+    the distinct values inside it are then counted.  The windows run over
+    counts, never over rows."""
+    timed = examples.where("latency_ms IS NOT NULL").select(
+        "run", "latency_ms", F.floor("latency_ms").alias("ms"))
+    up_to = W.partitionBy("run").orderBy("ms")
+    whole = W.partitionBy("run")
+    bins = timed.groupBy("run", "ms").agg(F.count("*").alias("k")).select(
+        "run", "ms", "k", F.sum("k").over(up_to).alias("upto"), F.sum("k").over(whole).alias("n"))
+    rank = F.expr(f"(n * {int(percent)} + 99) div 100")
+    at = bins.withColumn("rank", rank).where("upto >= rank AND upto - k < rank") \
+        .select("run", "ms", "n", (F.col("rank") - (F.col("upto") - F.col("k"))).alias("left"))
+    values = timed.join(at, ["run", "ms"]) \
+        .groupBy("run", "n", "left", "latency_ms").agg(F.count("*").alias("k"))
+    seen = F.sum("k").over(W.partitionBy("run").orderBy("latency_ms"))
+    return values.withColumn("upto", seen).where(F.col("upto") >= F.col("left")) \
+        .groupBy("run", "n").agg(F.min("latency_ms").alias("p95_latency_ms"))
+
+
 def failing_fields(long: DataFrame, threshold: float = RUN_GATE_FIELD_MEAN) -> DataFrame:
     """Fields whose mean over all entries is below ``threshold`` (the offenders)."""
     return (long.groupBy("run", "field").agg(F.avg("score").alias("mean_score"))

@@ -27,7 +27,8 @@ def flatten_golden(golden: DataFrame) -> DataFrame:
 
 
 def flatten_predictions(predictions: DataFrame) -> DataFrame:
-    """``PREDICTIONS`` rows -> run, example_id, a_<field>, latency_ms, total_tokens.
+    """``PREDICTIONS`` rows -> run, example_id, a_<field>, latency_ms, total_tokens, and
+    ``answer_error`` where the predictions carry it.
 
     Missing latency counts as 0.0 and missing token usage as 0."""
     return predictions.select(
@@ -36,6 +37,7 @@ def flatten_predictions(predictions: DataFrame) -> DataFrame:
         *[_field("job_info", f).alias(f"a_{f}") for f in FIELDS],
         F.coalesce(F.col("latency_ms"), F.lit(0.0)).alias("latency_ms"),
         F.coalesce(F.col("total_tokens"), F.lit(0)).cast("bigint").alias("total_tokens"),
+        *[c for c in ("answer_error",) if c in predictions.columns],
     )
 
 
@@ -44,46 +46,68 @@ def pair(golden: DataFrame, predictions: DataFrame, missing: str = "error",
     """Join each golden example with its prediction of each run (equi-join on
     ``example_id``; ids are unique per side, so no key is hot).
 
-    ``missing``: ``'error'`` (default) raises when a run lacks a prediction for
-    some golden example or has duplicate ids (see ``check_pairs``);
-    ``'drop'`` keeps matched pairs only; ``'null'`` keeps every golden
-    example of each run in ``runs`` with null predictions (one left join per
-    named run: no cross product of runs and examples is ever formed)."""
-    g = flatten_golden(golden)
-    p = flatten_predictions(predictions)
-    if missing in ("drop", "error"):
-        out = p.join(g, "example_id")
-        if missing == "error":
-            check_pairs(out, g)
-        return out
+    ``missing``: ``'error'`` (default) writes the joined rows once and raises
+    unless every run predicts each golden example exactly once and nothing else
+    (see ``check_pairs``); ``'drop'`` keeps matched pairs only; ``'null'`` keeps
+    every golden example of each run with null predictions, latency 0.0 and no
+    tokens, in one join.  ``runs`` names the runs of ``'null'``; by default they
+    are those of ``predictions`` (one small row, so a run without any row has
+    to be named)."""
+    if missing == "drop":
+        return flatten_predictions(predictions).join(flatten_golden(golden), "example_id")
+    if missing == "error":
+        from fieldmark.operators.materialize import materialize
+
+        return matched(materialize(pair_all(golden, predictions), "pairing"), golden)
     if missing == "null":
-        if not runs:
-            raise ValueError("missing='null' needs the list of runs")
-        parts = [g.join(p.where(F.col("run") == r).drop("run"), "example_id", "left")
-                 .withColumn("run", F.lit(r)) for r in runs]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
+        if runs:
+            names = F.array(*[F.lit(r) for r in runs])
+        else:
+            names = predictions.agg(F.array_sort(F.collect_set("run")).alias("runs")).scalar()
+        frame = (flatten_golden(golden).withColumn("_runs", names)
+                 .withColumn("run", F.explode("_runs")).drop("_runs"))
+        out = frame.join(flatten_predictions(predictions), ["run", "example_id"], "left")
+        return (out.withColumn("latency_ms", F.coalesce("latency_ms", F.lit(0.0)))
+                .withColumn("total_tokens", F.coalesce("total_tokens", F.lit(0).cast("bigint"))))
     raise ValueError(f"missing must be 'drop', 'error' or 'null', not {missing!r}")
 
 
-def check_pairs(paired: DataFrame, golden: DataFrame) -> None:
-    """Raise unless every run pairs each golden example exactly once.
+def pair_all(golden: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Every prediction with its golden example; ``known`` is false where the
+    golden set lacks the id.  Write it before :func:`matched` scans it."""
+    g = flatten_golden(golden).withColumn("known", F.lit(True))
+    return (flatten_predictions(predictions).join(g, "example_id", "left")
+            .withColumn("known", F.coalesce("known", F.lit(False))))
 
-    One aggregation over (run, example_id) of the paired rows, then a tiny one
-    per run: a run is complete when it has as many ids as the golden set has
-    rows and no id twice.  Duplicate golden ids are caught too (a run can then
-    never reach the golden row count).  Run it on a written paired table so
-    the join is not recomputed."""
+
+def matched(joined: DataFrame, golden: DataFrame) -> DataFrame:
+    """The rows of ``pair_all``, after :func:`check_pairs`."""
+    check_pairs(joined, golden)
+    return joined.drop("known")
+
+
+def check_pairs(joined: DataFrame, golden: DataFrame) -> None:
+    """Raise unless every run pairs each golden example exactly once and has no
+    other id.  ``joined`` is the written table of :func:`pair_all`, which holds
+    every prediction: a run without any match is in it too.
+
+    One aggregation over (run, example_id), then a tiny one per run.  Duplicate
+    golden ids are caught too (a run can then never reach the golden row count).
+    Predictions without any row name no run, so there is nothing to miss."""
     n_golden = golden.count()
-    per_id = paired.groupBy("run", "example_id").agg(F.count("*").alias("k"))
-    bad = (per_id.groupBy("run").agg(F.count("*").alias("ids"), F.max("k").alias("most"))
-           .where((F.col("ids") != n_golden) | (F.col("most") > 1)).limit(1).collect())
-    if bad:
-        r = bad[0]
-        raise ValueError(f"run {r['run']!r}: {r['ids']} distinct examples paired (an id at most "
-                         f"{r['most']} times); expected each of {n_golden} golden rows once")
+    per_id = joined.groupBy("run", "example_id").agg(F.count("*").alias("k"),
+                                                     F.min("known").alias("known"))
+    per_run = per_id.groupBy("run").agg(
+        F.count_if("known").alias("ids"), F.count_if(~F.col("known")).alias("strangers"),
+        F.max("k").alias("most"))
+    bad = ((F.col("ids") != n_golden) | (F.col("strangers") > 0) | (F.col("most") > 1))
+    b = per_run.agg(F.min(F.when(bad, F.struct("run", "ids", "strangers", "most"))).alias("bad")
+                    ).first()["bad"]
+    if b:
+        raise ValueError(
+            f"run {b['run']!r}: {b['ids']} distinct examples paired (an id at most {b['most']} "
+            f"times), {b['strangers']} ids not in the golden set; expected each of {n_golden} "
+            "golden rows once")
 
 
 def duplicate_ids(df: DataFrame, keys: list[str]) -> DataFrame:

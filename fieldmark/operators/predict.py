@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldmark.operators.validate import DEFAULT_DOMAINS
 from fieldmark.schemas import JOB_INFO
 
 ModelFn = Callable[[pd.DataFrame], pd.DataFrame]
@@ -41,11 +42,6 @@ def prompt(raw_title: Column, raw_description: Column) -> Column:
     return F.concat(F.lit("Title: "), raw_title, F.lit("\n\nDescription:\n"), raw_description)
 
 
-def judge_prompt(expected: Column, actual: Column) -> Column:
-    """``Expected: <e>\\nActual: <a>``, the user message a judge receives."""
-    return F.concat(F.lit("Expected: "), expected, F.lit("\nActual: "), actual)
-
-
 def _caller(fn: ModelFn):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -66,9 +62,10 @@ def _caller(fn: ModelFn):
 
 
 def predict(golden: DataFrame, fn: ModelFn, run: str, concurrency: int | None = None,
-            persist: bool = True) -> DataFrame:
+            persist: bool = True, domains: dict[str, list[str]] = DEFAULT_DOMAINS) -> DataFrame:
     """Predictions (``PREDICTIONS`` layout) for every golden example, plus
-    ``answer_error`` (null, or why the model's answer is not a valid record).
+    ``answer_error``: null, or why the model's answer is not a valid record (not
+    parseable, or a value outside ``domains``).
 
     ``persist`` writes the predictions to the shared folder before anything
     uses them: recomputing them would call the model again."""
@@ -91,6 +88,7 @@ def predict(golden: DataFrame, fn: ModelFn, run: str, concurrency: int | None =
         "latency_ms",
         F.coalesce("total_tokens", F.lit(0)).cast("bigint").alias("total_tokens"),
         F.when(bad, F.lit("unparseable answer")).alias("answer_error"))
+    preds = flag_answers(preds, domains)
     if persist:
         from fieldmark.operators.materialize import materialize
 
@@ -98,6 +96,18 @@ def predict(golden: DataFrame, fn: ModelFn, run: str, concurrency: int | None =
     return preds
 
 
+def flag_answers(preds: DataFrame, domains: dict[str, list[str]] = DEFAULT_DOMAINS) -> DataFrame:
+    """``answer_error`` filled where a value lies outside its domain or the record is
+    missing; errors already there stay."""
+    known = F.col("answer_error") if "answer_error" in preds.columns else F.lit(None).cast("string")
+    found = F.filter(F.array(*[
+        F.when(~F.col("job_info")[f].isin(*values), F.lit(f"{f} not in domain"))
+        for f, values in domains.items()]), lambda m: m.isNotNull())
+    return preds.withColumn("answer_error", F.coalesce(
+        known, F.when(F.col("job_info").isNull(), F.lit("missing job_info")),
+        F.when(F.size(found) > 0, F.array_join(found, "; "))))
+
+
 def documents_as_golden(docs: DataFrame) -> DataFrame:
     """``documents`` rows as golden inputs: the source and language as title,
     the whole text as description (no expected record)."""

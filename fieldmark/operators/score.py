@@ -14,6 +14,7 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldmark.functions.scorers import (
     SIMILARITY,
@@ -50,10 +51,8 @@ class ExactMatch:
 class FuzzyMatch:
     """Similarity of lower-cased strings, passed at ``threshold``.
 
-    ``dedupe=True`` scores each distinct (expected, actual) pair once and
-    joins the scores back when the distinct pairs are few enough to
-    broadcast; with many distinct pairs it scores inline, which needs no
-    shuffle at all.  ``metric`` is ``indel`` (default), ``levenshtein`` or
+    ``dedupe=True`` scores each distinct (expected, actual) pair once, at any
+    size, and joins the scores back (see ``attach``).  ``metric`` is ``indel`` (default), ``levenshtein`` or
     ``token_set``.
 
     ``pass_only=True`` (indel only) is for checks that need the pass flag and
@@ -115,27 +114,58 @@ class FuzzyMatch:
         return df.where(cond).select(fe.alias("expected"), fa.alias("actual"))
 
     def attach(self, df, expected, actual, out, pairs, stats):
-        """Join the similarity of each distinct pair back (broadcast); when the
-        distinct pairs exceed the row or character bound, score inline instead
-        (no shuffle)."""
-        if stats.pairs > self.max_broadcast_rows or stats.chars > self.max_broadcast_chars:
-            return self.inline(df, expected, actual, out)
+        """Join the similarity of each distinct pair back.
+
+        Few short pairs: one broadcast join.  Otherwise a shuffle join on a
+        digest of the pair in which no key is hot: pairs that stand for more
+        than 1/(2P) of the rows (P = shuffle partitions, so at most 2P pairs)
+        come by a broadcast of digest and similarity, and their rows, like
+        rows with a missing side, take a key of their own into the shuffle."""
         e, a = F.col(expected), F.col(actual)
-        scored = pairs.select(F.col("expected").alias("_fa"), F.col("actual").alias("_fb"),
-                              self._ratio(F.col("expected"), F.col("actual")).alias("_ratio"))
-        joined = (df.withColumn("_fa", F.lower(e.cast("string")))
-                  .withColumn("_fb", F.lower(a.cast("string")))
-                  .join(F.broadcast(scored), ["_fa", "_fb"], "left"))
-        return (joined.withColumn(out, self._result(e, a, F.col("_ratio")))
-                .drop("_fa", "_fb", "_ratio"))
+        scored = pairs.withColumn("_ratio", self._ratio(F.col("expected"), F.col("actual")))
+        if stats.pairs <= self.max_broadcast_rows and stats.chars <= self.max_broadcast_chars:
+            scored = scored.select(F.col("expected").alias("_fa"), F.col("actual").alias("_fb"),
+                                   "_ratio")
+            joined = (df.withColumn("_fa", F.lower(e.cast("string")))
+                      .withColumn("_fb", F.lower(a.cast("string")))
+                      .join(F.broadcast(scored), ["_fa", "_fb"], "left"))
+            return (joined.withColumn(out, self._result(e, a, F.col("_ratio")))
+                    .drop("_fa", "_fb", "_ratio"))
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        hot_min = max(2, stats.rows // (2 * parts))
+        # scored once: the hot and the other pairs read the written similarities
+        scored = materialize(scored.select(
+            _pair_digest(F.col("expected"), F.col("actual")).alias("_pair"), "_ratio",
+            (F.col("n_rows") >= hot_min).alias("_hot")), "fuzzy_scored")
+        hot = scored.where("_hot").select("_pair", F.col("_ratio").alias("_hot_ratio"),
+                                          F.lit(True).alias("_is_hot"))
+        cold = scored.where("NOT _hot").drop("_hot")
+        fa, fb = F.lower(e.cast("string")), F.lower(a.cast("string"))
+        hashable = [F.col(c) for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]
+        own = F.concat(F.lit("#"), F.xxhash64(*hashable).cast("string"))
+        keyed = df.withColumn("_pair", F.when(e.isNull() | a.isNull(), own)
+                              .otherwise(_pair_digest(fa, fb)))
+        joined = keyed.join(F.broadcast(hot), "_pair", "left") \
+            .withColumn("_pair", F.when(F.col("_is_hot"), own).otherwise(F.col("_pair"))) \
+            .join(cold, "_pair", "left")
+        ratio = F.coalesce(F.col("_hot_ratio"), F.col("_ratio"))
+        return (joined.withColumn(out, self._result(e, a, ratio))
+                .drop("_pair", "_ratio", "_hot_ratio", "_is_hot"))
 
     def apply(self, df, expected, actual, out):
         if not self.batched:
             return self.inline(df, expected, actual, out)
-        pairs = materialize(self.pair_rows(df, expected, actual).distinct(), "fuzzy_pairs")
-        n = pairs.agg(F.count("*").alias("p"),
+        pairs = materialize(self.pair_rows(df, expected, actual).groupBy("expected", "actual")
+                            .agg(F.count("*").alias("n_rows")), "fuzzy_pairs")
+        n = pairs.agg(F.count("*").alias("p"), F.sum("n_rows").alias("r"),
                       F.sum(F.length("expected") + F.length("actual")).alias("c")).first()
-        return self.attach(df, expected, actual, out, pairs, PairStats(n["p"], 0, n["c"] or 0))
+        return self.attach(df, expected, actual, out, pairs,
+                           PairStats(n["p"], n["r"] or 0, n["c"] or 0))
+
+
+def _pair_digest(a, b):
+    """SHA-256 of a text pair; the first text's length keeps ('ab', 'c') and ('a', 'bc') apart."""
+    return F.sha2(F.concat(F.length(a).cast("string"), F.lit(":"), a, b), 256)
 
 
 @dataclass(frozen=True)

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from fieldmark.operators.aggregate import field_stats, run_summary
 from fieldmark.operators.judge import Judge, VerdictFn
 from fieldmark.operators.materialize import materialize
-from fieldmark.operators.pair import check_pairs, flatten_golden, pair
+from fieldmark.operators.pair import matched, pair, pair_all
+from fieldmark.operators.predict import flag_answers
 from fieldmark.operators.reshape import primary_scores
 from fieldmark.operators.score import (
     ExactMatch,
@@ -25,9 +26,11 @@ from fieldmark.operators.score import (
     add_overall,
     field_results_array,
     first_wins_columns,
+    result_columns,
     score_fields_with_calls,
     to_long,
 )
+from fieldmark.operators.validate import DEFAULT_DOMAINS
 from fieldmark.schemas import EXAMPLE_PASS, FUZZY_PASS, JUDGE_PASS
 
 # Rubrics of the two judged fields (our wording).
@@ -95,6 +98,16 @@ class Evaluation:
     def summary(self) -> DataFrame:
         return run_summary(self.examples)
 
+    def error_counts(self) -> DataFrame:
+        """Per run: bad model answers, and field results without a score because the
+        judge's verdict was invalid (means leave those out)."""
+        answer = (F.col("answer_error").isNotNull() if "answer_error" in self.scored.columns
+                  else F.lit(False))
+        unscored = [F.col(c)["score"].isNull().cast("bigint") for c in result_columns(self.specs)]
+        return self.scored.groupBy("run").agg(
+            F.count_if(answer).alias("bad_answers"),
+            F.sum(sum(unscored[1:], unscored[0])).alias("unscored_results"))
+
     def field_stats(self) -> DataFrame:
         return field_stats(self.primary)
 
@@ -109,20 +122,43 @@ class Evaluation:
 
 def evaluate(golden: DataFrame, predictions: DataFrame, specs: list[FieldSpec],
              missing: str = "error", pass_threshold: float = EXAMPLE_PASS,
-             weights: dict[str, float] | None = None, persist: bool = True) -> Evaluation:
+             weights: dict[str, float] | None = None, persist: bool = True,
+             bad_answers: str = "error", domains: dict[str, list[str]] | None = None
+             ) -> Evaluation:
     """Pair, score every field, add overall score and pass flag.
 
-    ``missing='error'`` (default) stops when a run lacks a prediction or has
-    duplicate ids, checked on the written paired rows; ``'drop'`` / ``'null'``
-    as in ``pair``.  ``persist`` writes paired and scored rows to the shared
+    ``missing='error'`` (default) stops when a run lacks a prediction, has
+    duplicate ids or ids unknown to the golden set, checked on the written
+    paired rows; ``'drop'`` / ``'null'`` as in ``pair``.  Answers with an
+    ``answer_error`` (see ``predict``; with ``domains`` also values outside
+    them) stop the evaluation, or with ``bad_answers='fail'`` score 0.0 in
+    every field.  ``persist`` writes paired and scored rows to the shared
     folder (see the module note); turn it off for a single cheap report."""
-    paired = pair(golden, predictions, missing="drop" if missing == "error" else missing)
-    frame_scorers = any(isinstance(s.scorer, (Judge, FuzzyMatch)) for s in specs)
-    if persist and frame_scorers:
-        paired = materialize(paired, "paired")
+    if bad_answers not in ("error", "fail"):
+        raise ValueError(f"bad_answers must be 'error' or 'fail', not {bad_answers!r}")
+    if domains:
+        predictions = flag_answers(predictions, domains)
     if missing == "error":
-        check_pairs(paired, flatten_golden(golden))
+        paired = materialize(pair_all(golden, predictions), "paired")
+        paired = matched(paired, golden)
+    else:
+        paired = pair(golden, predictions, missing=missing)
+        frame_scorers = any(isinstance(s.scorer, (Judge, FuzzyMatch)) for s in specs)
+        if persist and frame_scorers:
+            paired = materialize(paired, "paired")
+    flagged = "answer_error" in paired.columns
+    if flagged and bad_answers == "error":
+        r = paired.where("answer_error IS NOT NULL").agg(
+            F.count("*").alias("n"), F.min(F.struct("run", "example_id", "answer_error"))
+            .alias("one")).first()
+        if r["n"]:
+            raise ValueError(f"{r['n']} bad answers, one of them: {r['one'].asDict()}")
     scored, calls = score_fields_with_calls(paired, specs)
+    if flagged and bad_answers == "fail":
+        scored = scored.withColumns({c: F.when(F.col("answer_error").isNotNull(), F.struct(
+            F.lit(0.0).alias("score"), F.lit(False).alias("passed"),
+            F.concat(F.lit("bad answer: "), F.col("answer_error")).alias("reason")))
+            .otherwise(F.col(c)) for c in result_columns(specs)})
     scored = add_overall(scored, specs, pass_threshold, weights)
     if persist:
         scored = materialize(scored, "scored")
@@ -134,7 +170,8 @@ def evaluate(golden: DataFrame, predictions: DataFrame, specs: list[FieldSpec],
 
 def run_evaluation(spark, golden_path: str, model_fn, model: str, judge_fn, judge_model: str,
                    out_root: str | None = None, save: bool = True, concurrency: int | None = None,
-                   cache_path: str | None = None, domains=None) -> Evaluation:
+                   cache_path: str | None = None, domains=None,
+                   bad_answers: str = "error") -> Evaluation:
     """One evaluation run end to end: scan and validate the golden set, ask
     the model for every example (batch job, persisted), score every field,
     and store the run under ``out_root`` unless ``save`` is off."""
@@ -144,9 +181,10 @@ def run_evaluation(spark, golden_path: str, model_fn, model: str, judge_fn, judg
 
     golden = (read_golden(spark, golden_path) if domains is None
               else read_golden(spark, golden_path, domains=domains))
-    preds = predict(golden, model_fn, run=model, concurrency=concurrency)
+    preds = predict(golden, model_fn, run=model, concurrency=concurrency,
+                    domains=DEFAULT_DOMAINS if domains is None else domains)
     ev = evaluate(golden, preds, default_specs(judge_model, judge_fn, cache_path=cache_path,
-                                               concurrency=concurrency))
+                                               concurrency=concurrency), bad_answers=bad_answers)
     if save and out_root:
         write_run(ev, out_root, model=model, judge=judge_model)
     return ev

@@ -81,7 +81,7 @@ def q_pair_examples(spark, sf_dir):
 
 def q_sparse_filter(spark, sf_dir):
     golden, preds = _fixture(spark, sf_dir)
-    p = pair(golden.where(F.col("category") == SPARSE_CATEGORY), preds)
+    p = pair(golden.where(F.col("category") == SPARSE_CATEGORY), preds, missing="drop")
     return p.select("run", "example_id", "e_location", "a_location",
                     _skills_text("e_skills").alias("e_skills"),
                     _skills_text("a_skills").alias("a_skills"))
@@ -356,15 +356,16 @@ def q_artifact_roundtrip(spark, sf_dir):
     ev, _ = _evaluation(spark, sf_dir)
     root = scratch_path(spark, "artifacts")
     write_run(ev, root)
-    examples = read_run_examples(spark, root)
+    runs = read_run_summaries(spark, root)
+    examples = read_run_examples(spark, root).join(runs.select("run", "model"), "run") \
+        .drop("run").withColumnRenamed("model", "run")
     nested = examples.select("run", "example_id",
                              F.posexplode(rs.first_wins_nested(F.col("field_results")))
                              .alias("pos", "fr"))
     primary = nested.select("run", "example_id", F.col("fr.field").alias("field"),
                             F.col("fr.result.score").alias("score"))
     stats = agg.field_stats(primary).select("run", "field", "n", "mean_score", "pass_rate")
-    runs = read_run_summaries(spark, root)
-    overall = runs.select("run", F.lit("overall").alias("field"), F.col("n_examples").alias("n"),
+    overall = runs.select(F.col("model").alias("run"), F.lit("overall").alias("field"), F.col("n_examples").alias("n"),
                           "mean_score", "pass_rate")
     return _round_doubles(stats.unionByName(overall))
 
@@ -382,6 +383,56 @@ def q_artifact_compare(spark, sf_dir):
     return _round_doubles(compare_stored_runs(spark, root).rows)
 
 
+def q_artifact_versions(spark, sf_dir):
+    """Two saves of one model (each run's rows under the model name ``m``), stored
+    as two artifacts and compared by default as oldest against newest."""
+    from datetime import datetime, timezone
+
+    from fieldmark.plans.compare import compare_stored_runs
+    from fieldmark.sources.artifacts import write_run
+
+    golden, preds = _fixture(spark, sf_dir)
+    root = scratch_path(spark, "artifacts")
+    for run, day in (("baseline", 1), ("candidate", 2)):
+        ev = evaluate(golden, preds.where(F.col("run") == run),
+                      default_specs(JUDGE_MODEL, token_overlap_judge))
+        write_run(ev, root, model="m", created=datetime(2026, 1, day, tzinfo=timezone.utc))
+    return _round_doubles(compare_stored_runs(spark, root).rows)
+
+
+# -- J1, M1: incomplete runs and bad answers ----------------------------------------
+def q_pair_missing_null(spark, sf_dir):
+    """Every seventh prediction taken away: per run, examples, those without a
+    prediction, latency and tokens (absent: 0)."""
+    golden, preds = _fixture(spark, sf_dir)
+    k = F.regexp_extract("example_id", r"(\d+)$", 1).cast("bigint")
+    p = pair(golden, preds.where(k % 7 != 0), missing="null")
+    return _round_doubles(p.groupBy("run").agg(
+        F.count("*").alias("n"), F.count_if(F.col("a_skills").isNull()).alias("n_missing"),
+        F.avg("latency_ms").alias("mean_latency_ms"),
+        F.sum("total_tokens").cast("bigint").alias("total_tokens")))
+
+
+def q_predict_errors(spark, sf_dir):
+    """Bad answers planted at fixed key residues, flagged and counted by kind."""
+    from fieldmark.operators.predict import flag_answers
+
+    _, preds = _fixture(spark, sf_dir)
+    k = F.regexp_extract("example_id", r"(\d+)$", 1).cast("bigint")
+    info = F.col("job_info")
+    planted = preds.withColumn("job_info", F.when(k % 31 != 0, F.when(
+        k % 37 == 0, info.withField("seniority", F.lit("BOSS")).withField(
+            "work_mode", F.lit("Z"))).when(
+        k % 41 == 0, info.withField("work_mode", F.lit("Z"))).otherwise(info)))
+    return flag_answers(planted, FIXTURE_DOMAINS).where("answer_error IS NOT NULL") \
+        .groupBy("run", "answer_error").agg(F.count("*").alias("n"))
+
+
+def q_latency_p95(spark, sf_dir):
+    golden, preds = _fixture(spark, sf_dir)
+    return _round_doubles(gt.latency_p95(pair(golden, preds)))
+
+
 # -- S1 ----------------------------------------------------------------------------
 def q_golden_jsonl_roundtrip(spark, sf_dir):
     """Golden set written as JSON Lines, scanned back with validation; per
@@ -467,6 +518,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "artifact_roundtrip": q_artifact_roundtrip,
     "golden_jsonl_roundtrip": q_golden_jsonl_roundtrip,
     "artifact_compare": q_artifact_compare,
+    "artifact_versions": q_artifact_versions,
+    "pair_missing_null": q_pair_missing_null,
+    "predict_errors": q_predict_errors,
+    "latency_p95": q_latency_p95,
     "predict_stub": q_predict_stub,
     "label_eval": q_label_eval,
 }

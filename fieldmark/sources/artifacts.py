@@ -15,11 +15,15 @@ through one task); legacy single-document artifacts can still be read with
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldmark.operators.aggregate import run_summary
+from fieldmark.operators.materialize import materialize
 from fieldmark.schemas import EXAMPLE_REPORT, EXPERIMENT
 
 EXAMPLE_ROW = T.StructType([T.StructField("run", T.StringType())] + EXAMPLE_REPORT.fields)
@@ -40,31 +44,49 @@ RUN_ROW = T.StructType([
 
 
 def write_run(ev, root: str, model: str | None = None, judge: str | None = None,
-              save: bool = True, fmt: str = "json") -> str | None:
+              save: bool = True, fmt: str = "json", created: datetime | None = None) -> str | None:
     """Store the examples and the run summaries of an evaluation under ``root``.
 
-    ``save=False`` skips the sink.  Artifact names follow
-    ``<model>_<yyyyMMdd_HHmmss>`` in UTC."""
+    Every save is an artifact of its own, ``<model>_<yyyyMMdd_HHmmss>`` in UTC
+    (``created``, now by default; without ``model`` each run's name stands for
+    it).  An id that is stored already, or one ``model`` for several runs,
+    raises before anything is written.  Examples go first: the summary line is
+    what makes a run visible.  ``save=False`` skips the sink."""
     if not save:
         return None
-    examples = ev.scored.select("run", "example_id", "field_results", "overall_score", "passed",
-                                "latency_ms", "total_tokens")
+    spark = ev.scored.sparkSession
+    created = created or datetime.now(timezone.utc)
+    stamp = created.astimezone(timezone.utc).strftime("%Y%m%d_%H%M%S")
+    name = F.coalesce(F.lit(model).cast("string"), F.col("run"))
+    artifact = F.concat(name, F.lit(f"_{stamp}"))
+    runs = materialize(run_summary(ev.examples).select(
+        artifact.alias("run"), name.alias("model"), F.lit(judge).cast("string").alias("judge"),
+        F.timestamp_micros(F.lit(int(created.timestamp() * 1_000_000))).alias("created_at"),
+        artifact.alias("artifact"), "n_examples", "n_passed", "mean_score", "pass_rate",
+        "mean_latency_ms", "total_tokens"), "run_summary")
+    new = runs.groupBy("run").agg(F.count("*").alias("k"))
+    try:
+        stored = read_run_summaries(spark, root, fmt).select("run").distinct()
+        new = new.join(stored.withColumn("stored", F.lit(True)), "run", "left")
+    except AnalysisException as e:
+        if (e.getCondition() or "") != "PATH_NOT_FOUND":
+            raise
+        new = new.withColumn("stored", F.lit(None).cast("boolean"))
+    taken = new.where("k > 1 OR stored").agg(F.min("run").alias("run")).first()["run"]
+    if taken is not None:
+        raise FileExistsError(f"artifact {taken!r} is stored already, or stands for several runs")
+    examples = ev.scored.select(artifact.alias("run"), "example_id", "field_results",
+                                "overall_score", "passed", "latency_ms", "total_tokens")
     examples.write.mode("append").partitionBy("run").format(fmt).save(f"{root}/examples")
-    created = F.current_timestamp()
-    runs = run_summary(ev.examples).select(
-        "run",
-        F.coalesce(F.lit(model).cast("string"), F.col("run")).alias("model"),
-        F.lit(judge).cast("string").alias("judge"),
-        created.alias("created_at"),
-        F.concat(F.coalesce(F.lit(model).cast("string"), F.col("run")), F.lit("_"),
-                 F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"),
-                                                    F.localtimestamp()), "yyyyMMdd_HHmmss"))
-        .alias("artifact"),
-        "n_examples", "n_passed", "mean_score", "pass_rate", "mean_latency_ms", "total_tokens")
     runs.write.mode("append").partitionBy("run").format(fmt).save(f"{root}/runs")
     return root
 
 
+def list_runs(spark: SparkSession, root: str, fmt: str = "json") -> DataFrame:
+    """The stored runs, oldest first (runs written together by name)."""
+    return read_run_summaries(spark, root, fmt).orderBy("created_at", "run")
+
+
 def read_run_examples(spark: SparkSession, root: str, runs: list[str] | None = None,
                       fmt: str = "json") -> DataFrame:
     df = spark.read.schema(EXAMPLE_ROW).format(fmt).load(f"{root}/examples")

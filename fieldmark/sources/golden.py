@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldmark.functions.text import py_strip
 from fieldmark.operators.validate import DEFAULT_DOMAINS, golden_checks, validate
 from fieldmark.schemas import GOLDEN
 
@@ -25,22 +26,36 @@ def read_golden(spark: SparkSession, path: str, on_error: str | None = "raise",
     ``on_error``: ``'raise'`` (first bad record stops the load), ``'split'``
     (returns (good, bad)), or ``None`` (no checks).  A typed read cannot tell an
     absent ``skills`` key (defaults to ``[]``) from an explicit ``null`` (an
-    error), so the raw line is consulted for that one."""
+    error), nor text from numbers, so types are checked on the parsed line.  A
+    line that is no JSON is a bad record like any other."""
     lines = (spark.read.text(path)
-             .select(F.trim(F.col("value")).alias("line"))
+             .select(py_strip(F.col("value")).alias("line"))
              .where(F.length("line") > 0)
              .withColumn("line_order", F.monotonically_increasing_id()))
     rec = F.from_json("line", GOLDEN)
-    raw_skills_null = (F.get_json_object("line", "$.expected.skills").isNull()
-                       & F.col("line").rlike(r'"skills"\s*:\s*null'))
-    # The typed read turns a JSON number into a string; the variant keeps the
-    # JSON type of each value, so text fields can be required to be text.
-    v = F.expr("parse_json(line)")
-    kinds = {name: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-             for name, path in STRING_PATHS.items()}
-    wrong = F.filter(F.array(*[F.when(k.isNotNull() & ~k.isin("STRING", "VOID"),
-                                      F.lit(f"{name} is not a string"))
-                               for name, k in kinds.items()]), lambda m: m.isNotNull())
+    # The typed read turns a JSON number into a string and a wrong type into a null; the
+    # variant keeps the JSON type of each value.
+    v = F.expr("try_parse_json(line)")
+
+    def kind(path):
+        return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+    skills = kind("$.expected.skills")
+    raw_skills_null = F.coalesce(skills == "VOID", F.lit(False))
+    text = {name: kind(path) for name, path in STRING_PATHS.items()}
+    inputs = F.map_values(F.try_variant_get(v, "$.input", "map<string,variant>"))
+    wrong = F.filter(F.array(
+        F.when(v.isNull(), F.lit("malformed JSON")),
+        *[F.when(k.isNotNull() & ~k.isin("STRING", "VOID"), F.lit(f"{name} is not a string"))
+          for name, k in text.items()],
+        F.when(skills.isNotNull() & ~skills.isin("VOID", "ARRAY<STRING>", "ARRAY<VOID>"),
+               F.lit("skills is not a list of strings")),
+        F.when(skills.isin("ARRAY<STRING>", "ARRAY<VOID>")
+               & F.exists(F.try_variant_get(v, "$.expected.skills", "array<string>"),
+                          lambda x: x.isNull()), F.lit("skills is not a list of strings")),
+        F.when(F.exists(inputs, lambda x: ~F.schema_of_variant(x).isin("STRING", "VOID")),
+               F.lit("input has a value that is not a string"))),
+        lambda m: m.isNotNull())
     df = lines.select("line_order", rec.alias("r"), raw_skills_null.alias("_skills_null"),
                       wrong.alias("_type_errors"))
     expected = F.col("r.expected")

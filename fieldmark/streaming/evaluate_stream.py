@@ -11,9 +11,11 @@ folder, overwritten on replay, so a restarted query never double counts."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fieldmark.operators.aggregate import run_summary
+from fieldmark.operators.materialize import materialize
 from fieldmark.operators.pair import flatten_golden, flatten_predictions
 from fieldmark.operators.score import FieldSpec, add_overall, field_results_array, score_fields
 from fieldmark.plans.evaluate import evaluate
@@ -35,10 +37,19 @@ def evaluate_stream(predictions: DataFrame, golden: DataFrame, specs: list[Field
                     sink: str, checkpoint_location: str, available_now: bool = False,
                     processing_time: str | None = None) -> StreamingQuery:
     """Start a query that scores every micro-batch of ``predictions`` and
-    writes the per-example rows (artifact layout) under ``sink/examples``."""
+    writes the per-example rows (artifact layout) under ``sink/examples``.
+
+    A prediction whose id the golden set lacks goes to ``sink/unmatched``; one
+    sent twice inside a batch is scored once (as is one sent in two batches, in
+    ``stream_summary``)."""
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        ev = evaluate(golden, batch, specs, missing="drop")  # a batch holds some examples
+        # writes once what three jobs read; a batch holds some of the examples
+        once = materialize(batch.dropDuplicates(["run", "example_id"]), "stream_batch")
+        (once.join(golden.select(F.col("id").alias("example_id")), "example_id", "left_anti")
+         .select("run", "example_id").write.mode("overwrite")
+         .parquet(f"{sink}/unmatched/batch_id={batch_id}"))
+        ev = evaluate(golden, once, specs, missing="drop", bad_answers="fail")
         (ev.scored.select("run", "example_id", "category", "field_results", "overall_score",
                           "passed", "latency_ms", "total_tokens")
          .write.mode("overwrite").parquet(f"{sink}/examples/batch_id={batch_id}"))
@@ -53,5 +64,9 @@ def evaluate_stream(predictions: DataFrame, golden: DataFrame, specs: list[Field
 
 
 def stream_summary(spark: SparkSession, sink: str) -> DataFrame:
-    """Run summary over everything the stream has written so far."""
-    return run_summary(spark.read.parquet(f"{sink}/examples"))
+    """Run summary over everything the stream has written so far; of a prediction
+    sent in several batches the first one counts."""
+    rows = spark.read.parquet(f"{sink}/examples").groupBy("run", "example_id").agg(
+        F.min_by(F.struct("overall_score", "passed", "latency_ms", "total_tokens"), "batch_id")
+        .alias("first"))
+    return run_summary(rows.select("run", "example_id", "first.*"))

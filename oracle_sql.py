@@ -544,6 +544,31 @@ UNION ALL
 SELECT run, 'overall', CAST(count(*) AS BIGINT), {r6('avg(overall_score)')},
        {r6('avg(CAST(passed AS DOUBLE))')} FROM scored GROUP BY run"""
 
+Q["artifact_versions"] = Q["compare_runs"]
+
+Q["pair_missing_null"] = _ctes() + f"""
+SELECT run, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (k % 7 = 0) AS BIGINT) AS n_missing,
+       {r6('avg(CASE WHEN k % 7 = 0 THEN 0.0 ELSE latency_ms END)')} AS mean_latency_ms,
+       CAST(coalesce(sum(total_tokens) FILTER (k % 7 <> 0), 0) AS BIGINT) AS total_tokens
+FROM paired GROUP BY run"""
+
+Q["predict_errors"] = _ctes(
+    "planted AS (SELECT run, k, CASE WHEN k % 37 = 0 THEN 'BOSS' ELSE a_seniority END AS s, "
+    "CASE WHEN k % 37 = 0 OR k % 41 = 0 THEN 'Z' ELSE a_work_mode END AS w FROM paired), "
+    "flagged AS (SELECT run, CASE WHEN k % 31 = 0 THEN 'missing job_info' ELSE concat_ws('; ', "
+    "CASE WHEN s NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW') "
+    "THEN 'seniority not in domain' END, "
+    "CASE WHEN w NOT IN ('F', 'O', 'P') THEN 'work_mode not in domain' END) END AS answer_error "
+    "FROM planted)") + """
+SELECT run, answer_error, CAST(count(*) AS BIGINT) AS n FROM flagged
+WHERE answer_error <> '' GROUP BY run, answer_error"""
+
+Q["latency_p95"] = _ctes(
+    "ranked AS (SELECT run, latency_ms, row_number() OVER (PARTITION BY run ORDER BY latency_ms) AS r, "
+    "count(*) OVER (PARTITION BY run) AS n FROM paired)") + f"""
+SELECT run, CAST(n AS BIGINT) AS n, {r6('latency_ms')} AS p95_latency_ms FROM ranked
+WHERE r = (n * 95 + 99) // 100"""
+
 Q["golden_jsonl_roundtrip"] = _ctes() + """
 SELECT category, CAST(count(*) AS BIGINT) AS n, CAST(sum(len(e_skills)) AS BIGINT) AS n_skills,
        CAST(count(e_location) AS BIGINT) AS n_location FROM fx_golden GROUP BY category"""
