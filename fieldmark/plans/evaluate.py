@@ -8,7 +8,7 @@ pairs; the scored rows are written once because every report reads them.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +32,7 @@ from fieldmark.operators.score import (
 )
 from fieldmark.operators.validate import DEFAULT_DOMAINS
 from fieldmark.schemas import EXAMPLE_PASS, FUZZY_PASS, JUDGE_PASS
+from fieldmark.session import free_scratch, recorded_scratch
 
 # Rubrics of the two judged fields (our wording).
 TITLE_RUBRIC = (
@@ -74,6 +75,19 @@ class Evaluation:
     scored: DataFrame
     specs: list[FieldSpec]
     judge_calls: DataFrame | None = None   # verdicts judged by this evaluation
+    scratch: list[str] = field(default_factory=list)   # folders it wrote
+
+    def close(self) -> None:
+        """Delete the folders this evaluation wrote (stored artifacts and a named verdict
+        cache stay); its tables cannot be read afterwards."""
+        free_scratch(self.scored.sparkSession, self.scratch)
+        self.scratch = []
+
+    def __enter__(self) -> Evaluation:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     @property
     def firsts(self) -> dict[str, str]:
@@ -133,7 +147,17 @@ def evaluate(golden: DataFrame, predictions: DataFrame, specs: list[FieldSpec],
     ``answer_error`` (see ``predict``; with ``domains`` also values outside
     them) stop the evaluation, or with ``bad_answers='fail'`` score 0.0 in
     every field.  ``persist`` writes paired and scored rows to the shared
-    folder (see the module note); turn it off for a single cheap report."""
+    folder (see the module note); turn it off for a single cheap report.
+    ``Evaluation.close`` deletes what was written there."""
+    with recorded_scratch() as made:
+        ev = _evaluate(golden, predictions, specs, missing, pass_threshold, weights, persist,
+                       bad_answers, domains)
+    ev.scratch = made
+    return ev
+
+
+def _evaluate(golden, predictions, specs, missing, pass_threshold, weights, persist, bad_answers,
+              domains) -> Evaluation:
     if bad_answers not in ("error", "fail"):
         raise ValueError(f"bad_answers must be 'error' or 'fail', not {bad_answers!r}")
     if domains:

@@ -5,6 +5,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -129,8 +132,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return checkpoint_dir(spark)
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("scratch_folders", default=None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder."""
     import uuid
 
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def recorded_scratch() -> Iterator[list[str]]:
+    """The list of scratch folders asked for inside the block (the innermost block's)."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(token)
+
+
+def free_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch folders.  A Spark Connect client has no file system: there they stay."""
+    try:
+        sc = spark.sparkContext
+    except Exception:
+        return
+    for p in paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

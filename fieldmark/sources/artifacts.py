@@ -16,9 +16,10 @@ through one task); legacy single-document artifacts can still be read with
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,8 +90,20 @@ def list_runs(spark: SparkSession, root: str, fmt: str = "json") -> DataFrame:
 
 def read_run_examples(spark: SparkSession, root: str, runs: list[str] | None = None,
                       fmt: str = "json") -> DataFrame:
+    """The stored examples; a row that is malformed or lacks a required field fails the
+    read (checked in the scan itself).  A score may be absent: an invalid verdict has none."""
     df = spark.read.schema(EXAMPLE_ROW).format(fmt).load(f"{root}/examples")
-    return df.where(F.col("run").isin(*runs)) if runs else df
+    df = df.where(F.col("run").isin(*runs)) if runs else df
+    lacks = (F.col("example_id").isNull() | F.col("passed").isNull()
+             | F.col("field_results").isNull() | F.exists(
+                 "field_results", lambda r: r["field"].isNull() | r["scorer"].isNull()))
+    return _complete(df, lacks, F.concat_ws("/", "run", "example_id"))
+
+
+def _complete(df: DataFrame, lacks: Column, name: Column) -> DataFrame:
+    """``df``, failing with ``name`` when a row ``lacks`` something."""
+    problem = F.concat(F.lit("artifact with required fields missing or of a wrong type: "), name)
+    return df.where(F.when(lacks, F.raise_error(problem).cast("boolean")).otherwise(True))
 
 
 def read_run_summaries(spark: SparkSession, root: str, fmt: str = "json") -> DataFrame:
@@ -112,10 +125,22 @@ def read_experiment(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     """Legacy artifacts, one JSON document per run (``path`` may hold many).
 
     Returns (runs, examples); the run is named after the file stem.  Each
-    document is read by one task, which is what the format allows."""
+    document is read by one task, which is what the format allows.  A document
+    that lacks a required field, or has one of a wrong type, fails the read."""
     doc = (spark.read.schema(EXPERIMENT).option("multiLine", True).json(path)
            .withColumn("run", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""))
            .withColumn("mtime", F.col("_metadata.file_modification_time")))
+
+    def absent(record, *names: str) -> Column:
+        return reduce(Column.__or__, [record(n).isNull() for n in names])
+
+    bad_result = lambda r: absent(r.getField, "field", "scorer") | absent(
+        r["result"].getField, "score", "passed")
+    bad_example = lambda e: absent(
+        e.getField, "example_id", "field_results", "overall_score", "passed") | F.exists(
+        e["field_results"], bad_result)
+    doc = _complete(doc, absent(F.col, "model", "examples", "mean_score", "pass_rate")
+                    | F.exists("examples", bad_example), F.col("run"))
     runs = doc.select("run", "model", "mtime", "mean_score", "pass_rate",
                       F.coalesce("mean_latency_ms", F.lit(0.0)).alias("mean_latency_ms"),
                       F.coalesce("total_tokens", F.lit(0)).cast("bigint").alias("total_tokens"))

@@ -19,6 +19,7 @@ from fieldmark.operators.materialize import materialize
 from fieldmark.operators.pair import flatten_golden, flatten_predictions
 from fieldmark.operators.score import FieldSpec, add_overall, field_results_array, score_fields
 from fieldmark.plans.evaluate import evaluate
+from fieldmark.session import free_scratch, recorded_scratch
 
 
 def score_columns_stream(predictions: DataFrame, golden: DataFrame,
@@ -44,15 +45,17 @@ def evaluate_stream(predictions: DataFrame, golden: DataFrame, specs: list[Field
     ``stream_summary``)."""
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        # writes once what three jobs read; a batch holds some of the examples
-        once = materialize(batch.dropDuplicates(["run", "example_id"]), "stream_batch")
+        with recorded_scratch() as made:
+            # writes once what three jobs read; a batch holds some of the examples
+            once = materialize(batch.dropDuplicates(["run", "example_id"]), "stream_batch")
         (once.join(golden.select(F.col("id").alias("example_id")), "example_id", "left_anti")
          .select("run", "example_id").write.mode("overwrite")
          .parquet(f"{sink}/unmatched/batch_id={batch_id}"))
-        ev = evaluate(golden, once, specs, missing="drop", bad_answers="fail")
-        (ev.scored.select("run", "example_id", "category", "field_results", "overall_score",
-                          "passed", "latency_ms", "total_tokens")
-         .write.mode("overwrite").parquet(f"{sink}/examples/batch_id={batch_id}"))
+        with evaluate(golden, once, specs, missing="drop", bad_answers="fail") as ev:
+            (ev.scored.select("run", "example_id", "category", "field_results", "overall_score",
+                              "passed", "latency_ms", "total_tokens")
+             .write.mode("overwrite").parquet(f"{sink}/examples/batch_id={batch_id}"))
+        free_scratch(batch.sparkSession, made)
 
     writer = (predictions.writeStream.foreachBatch(per_batch)
               .option("checkpointLocation", checkpoint_location))

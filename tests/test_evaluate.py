@@ -152,6 +152,52 @@ def test_artifact_round_trip(spark, sf_small):
     assert write_run(ev, root, save=False) is None
 
 
+def test_close_deletes_scratch_and_keeps_artifacts(spark, sf_small):
+    import os
+
+    g, p = fixture(spark, sf_small)
+    root = scratch_path(spark, "kept_artifacts")
+    with evaluate(g, p, default_specs("stub", token_overlap_judge)) as ev:
+        write_run(ev, root)
+        folders = [f.replace("file:", "", 1) for f in ev.scratch]
+        assert {os.path.basename(f).rsplit("-", 1)[0] for f in folders} >= {
+            "paired", "pairs", "judge_verdicts", "scored"}
+        assert sum(map(os.path.isdir, folders)) >= 4
+    assert not any(map(os.path.exists, folders)) and ev.scratch == []
+    assert read_run_summaries(spark, root).count() == 2
+    ev.close()  # once more changes nothing
+
+
+def test_artifact_readers_check_required_fields(spark, tmp_path):
+    import json
+
+    from fieldmark.sources.artifacts import read_experiment
+
+    good = {"example_id": "e1", "overall_score": 1.0, "passed": True, "field_results": [
+        {"field": "title", "scorer": "s", "result": {"score": 1.0, "passed": True}}]}
+    doc = {"model": "m", "examples": [good], "mean_score": 1.0, "pass_rate": 1.0}
+    bad = {
+        "no_model": {**doc, "model": None}, "no_rate": {**doc, "pass_rate": "high"},
+        "no_id": {**doc, "examples": [{k: v for k, v in good.items() if k != "example_id"}]},
+        "no_score": {**doc, "examples": [{**good, "field_results": [
+            {"field": "title", "scorer": "s", "result": {"passed": True}}]}]}}
+    (tmp_path / "ok.json").write_text(json.dumps(doc))
+    assert read_experiment(spark, str(tmp_path / "ok.json"))[1].count() == 1
+    for name, value in bad.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(value))
+        with pytest.raises(Exception, match=f"wrong type: {name}"):
+            read_experiment(spark, str(tmp_path / f"{name}.json"))[0].collect()
+
+    rows = tmp_path / "own" / "examples" / "run=m_1"
+    rows.mkdir(parents=True)
+    unscored = {**good, "example_id": "e2", "overall_score": None}
+    (rows / "a.json").write_text("\n".join(map(json.dumps, [good, unscored])))
+    assert read_run_examples(spark, str(tmp_path / "own")).count() == 2
+    (rows / "b.json").write_text(json.dumps({"example_id": "e3"}))
+    with pytest.raises(Exception, match="wrong type: m_1/e3"):
+        read_run_examples(spark, str(tmp_path / "own")).collect()
+
+
 def test_validate_raise_and_split(spark, sf_small):
     from fieldmark.operators.validate import plant_violations
     from fieldmark.sources.fixtures import FIXTURE_DOMAINS
