@@ -89,3 +89,17 @@ def format_2f(c: Column | str) -> Column:
     """Python ``f"{x:.2f}"`` for values in [0, 1000): ``format_number`` rounds the
     exact binary value half-even, like Python (``format_string`` does not)."""
     return F.format_number(as_col(c), 2)
+
+
+def format_plain(c: Column | str, digits: int = 0, percent: bool = False,
+                 signed: bool = False, grouped: bool = False) -> Column:
+    """Python's ``f"{x:.<digits>f}"`` (``percent``: ``%``; ``signed``: ``+``;
+    ``grouped``: ``,``) of a nullable number."""
+    x = as_col(c).cast("double")
+    text = F.format_number(x * F.lit(100.0) if percent else x, digits)
+    if not grouped:
+        text = F.replace(text, F.lit(","), F.lit(""))
+    if percent:
+        text = F.concat(text, F.lit("%"))
+    return F.when(F.startswith(text, F.lit("-")), text).otherwise(
+        F.concat(F.lit("+"), text)) if signed else text

@@ -12,7 +12,17 @@ from fieldmark.functions.similarity import (
     levenshtein_similarity,
     token_set_similarity,
 )
-from fieldmark.functions.text import format_2f, norm, py_repr
+from fieldmark.functions.text import format_2f, format_plain, norm, py_repr
+
+
+def test_number_formats(spark):
+    values = [0.0, 0.125, 0.5, 0.005, 0.285, 1.0, -0.25, -0.0004, 0.0125, 1234567.0, -4321.5, None]
+    forms = {".0%": dict(percent=True), "+.3f": dict(digits=3, signed=True),
+             "+.0%": dict(percent=True, signed=True), ",.0f": dict(grouped=True), ".0f": {}}
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for spec, how in forms.items():
+        got = [r[0] for r in df.select(format_plain("x", **how)).collect()]
+        assert got == [None if v is None else format(v, spec) for v in values], spec
 
 
 def _score(spark, fn, rows, schema="e string, a string"):
