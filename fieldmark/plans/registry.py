@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,7 @@ from fieldmark.operators.judge import (
     repeat_judgements,
     token_overlap_judge,
 )
+from fieldmark.operators.materialize import materialize
 from fieldmark.operators.pair import attach_category, pair
 from fieldmark.operators.score import ExactMatch, FieldSpec, FuzzyMatch
 from fieldmark.plans.evaluate import SKILLS_RUBRIC, TITLE_RUBRIC, Evaluation, default_specs, evaluate
@@ -121,12 +122,29 @@ def q_score_token_set(spark, sf_dir):
     return _score_location(spark, sf_dir, FuzzyMatch(threshold=0.8, metric="token_set"))
 
 
+def _next_ids(docs: DataFrame) -> DataFrame:
+    """(doc_id, next_doc_id) of every id but the largest, whatever gaps lie between.
+
+    Ids are range-partitioned and written; ``lead`` runs inside a part, and a part's
+    last id is followed by the smallest of the next part (one row a part)."""
+    parts = materialize(docs.where("doc_id IS NOT NULL").select("doc_id").distinct()
+                        .repartitionByRange("doc_id")
+                        .withColumn("part", F.spark_partition_id()), "ids")
+    edges = parts.groupBy("part").agg(F.min("doc_id").alias("low")) \
+        .select("part", F.lead("low").over(Window.orderBy("part")).alias("after"))
+    inside = F.lead("doc_id").over(Window.partitionBy("part").orderBy("doc_id"))
+    return (parts.withColumn("inside", inside).join(F.broadcast(edges), "part")
+            .select("doc_id", F.coalesce("inside", "after").alias("next_doc_id"))
+            .where("next_doc_id IS NOT NULL"))
+
+
 def q_score_fuzzy_documents(spark, sf_dir):
-    """Indel similarity of each document's whole text with the next document's
-    whole text (equi-join on doc_id + 1: a shuffle join, no global ordering)."""
+    """Indel similarity of each document's whole text with the whole text of the
+    document of the next existing doc_id (shuffle joins, no global ordering)."""
+    ensure_checkpoint_dir(spark)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    nxt = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("next_doc_id"),
-                      F.col("text").alias("next_text"))
+    nxt = docs.withColumnsRenamed({"doc_id": "next_doc_id", "text": "next_text"}) \
+        .join(_next_ids(docs), "next_doc_id")
     # Sort-merge join: both sides are the whole table, and its hash partitioning
     # spreads the (CPU-heavy) similarity over the shuffle partitions instead of
     # the scan's few splits.

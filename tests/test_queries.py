@@ -64,6 +64,17 @@ def _lcs_np(a: str, b: str) -> int:
     return int(prev[-1])
 
 
+def test_documents_similarity_over_gaps(spark, tmp_path):
+    texts = {-4: "one", 3: "ONE two", 5: "", 90: "two three", 91: "two tree", 4000: "x" * 700}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string") \
+        .write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r["doc_id"]: r for r in QUERIES["score_fuzzy_documents"](spark, str(tmp_path)).collect()}
+    ids = sorted(texts)
+    assert {d: r["next_doc_id"] for d, r in out.items()} == dict(zip(ids, ids[1:]))
+    for d, n in zip(ids, ids[1:]):
+        assert out[d]["lcs"] == _lcs_np(texts[d].lower(), texts[n].lower())
+
+
 def test_documents_similarity_brute_force(spark, sf_small):
     out = {r["doc_id"]: r for r in QUERIES["score_fuzzy_documents"](spark, sf_small).collect()}
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_small}/documents.parquet")
