@@ -8,14 +8,49 @@ Doubles are rounded to 6 digits, as on the Spark side."""
 
 from __future__ import annotations
 
-from fieldmark.operators.gates import DEFAULT_TARGETS, LATENCY_BOUND_MS
-from fieldmark.operators.judge import STUB_REASONS
-from fieldmark.plans.evaluate import SKILLS_RUBRIC, TITLE_RUBRIC
-from fieldmark.operators.predict import STUB_SKILLS
-from fieldmark.sources.fixtures import FIXTURE_DOMAINS
-
 JUDGE_MODEL = "stub-token-overlap"
 
+# Fixed values, written out here so that a wrong one in the package shows as a mismatch.
+FIXTURE_DOMAINS = {
+    "seniority": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"],
+    "work_mode": ["F", "O", "P"],
+}
+STUB_REASONS = {2: "same tokens", 1: "some tokens shared", 0: "no token shared"}
+STUB_SKILLS = ["python", "sql", "spark", "java"]
+LATENCY_BOUND_MS = 10000.0
+# (gate, field, measure, op, bound)
+DEFAULT_TARGETS = [
+    ("run_gate", "*", "pass_rate", ">=", 0.7),
+    ("field_gate", "title", "mean_all", ">=", 0.5),
+    ("field_gate", "seniority", "mean_all", ">=", 0.5),
+    ("field_gate", "work_mode", "mean_all", ">=", 0.5),
+    ("field_gate", "location", "mean_all", ">=", 0.5),
+    ("field_gate", "skills", "mean_all", ">=", 0.5),
+    ("target", "title", "mean", ">=", 0.85),
+    ("target", "seniority", "mean", ">=", 0.8),
+    ("target", "work_mode", "mean", ">=", 0.95),
+    ("target", "location", "mean", ">=", 0.6),
+    ("target", "skills", "mean", ">=", 0.8),
+    ("target", "*", "mean_score", ">=", 0.8),
+    ("target", "*", "pass_rate", ">=", 0.85),
+    ("target", "*", "share_latency_below_bound", ">=", 0.95),
+    ("target", "*", "max_tokens", "<", 2000.0),
+]
+# The rubrics are part of the judge's key.
+TITLE_RUBRIC = """\
+Decide whether the predicted job title names the same role as the expected title.
+2: the same role, possibly reworded, reordered, abbreviated or translated.
+1: a related role that differs in substance.
+0: an unrelated role, or a clearly wrong title.
+Give the score (0, 1 or 2) and a one-sentence reason."""
+SKILLS_RUBRIC = """\
+Decide whether the predicted list of skills covers the expected list.
+Order does not matter; abbreviations and synonyms of one skill count as the same skill.
+2: the same skills.
+1: the core skills are there, but some are missing or some were added.
+0: little or no overlap.
+Give the score (0, 1 or 2) and a one-sentence reason."""
+
 
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
