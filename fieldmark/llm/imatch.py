@@ -6,7 +6,8 @@ Document frequencies of all slots over the whole corpus select the lexicon: slot
 band of inverse document frequency.  A fingerprint has one hash for each of several random
 subsets of the lexicon, over the sorted distinct slots of the text that lie in the subset.
 The subsets' shares fall by powers of two, so that short and long texts alike have some
-that hold few of their terms; those survive edits."""
+that hold few of their terms; those survive edits.  The same subsets of all slots stand in
+for texts that have little in the lexicon."""
 
 from __future__ import annotations
 
@@ -19,6 +20,8 @@ from fieldmark.llm.common import save, sha256_hex
 SLOTS = 1 << 20
 #: One subset in each family holds one slot of so many.
 FAMILIES, SHARES = 4, (4, 8, 16, 32, 64, 128, 256, 512)
+#: Texts with less than one slot in so many in the lexicon are compared over all slots.
+SPARSE = 4
 
 
 def slots(text: Column) -> Column:
@@ -48,44 +51,68 @@ def lexicon(texts: DataFrame, least_share: float = 0.0005, most_share: float = 0
     return rows.agg(F.array_sort(F.collect_list("w"))["bits"].alias("words"))
 
 
-def subset_hashes(kept: Column) -> Column:
-    """Of the sorted distinct slots in the lexicon: one hash a subset, empty where none of
-    them lies in it.  A family's subsets lie one inside the other."""
-    widest = F.transform(F.sequence(F.lit(1), F.lit(FAMILIES)), lambda j: F.struct(
-        j.alias("j"), F.filter(kept, lambda s: F.pmod(F.xxhash64(s, j), F.lit(SHARES[0])) == 0)
+def subset_bases(all_slots: Column) -> Column:
+    """Of sorted distinct slots, the widest subset of each family: array<struct<j, base>>."""
+    return F.transform(F.sequence(F.lit(1), F.lit(FAMILIES)), lambda j: F.struct(
+        j.alias("j"), F.filter(all_slots, lambda s: F.pmod(F.xxhash64(s, j), F.lit(SHARES[0])) == 0)
         .alias("base")))
-    inside = F.flatten(F.transform(widest, lambda f: F.transform(
-        F.array(*[F.lit(n) for n in SHARES]), lambda n: F.filter(
-            f["base"], lambda s: F.pmod(F.xxhash64(s, f["j"]), n) == 0))))
-    return F.transform(inside, lambda x: F.when(F.size(x) == 0, "").otherwise(
-        F.lpad(F.hex(F.pmod(F.xxhash64(x), F.lit(1 << 32))), 8, "0")))
+
+
+def subset_hashes(bases: Column, inside=None) -> Column:
+    """Of :func:`subset_bases`: one hash a subset, empty where it has none of the slots;
+    ``inside`` tells which slots count (all if not given).  A family's subsets lie one
+    inside the other, so each is taken from the one before."""
+    def nested(held: Column, j: Column, shares: tuple[int, ...]) -> Column:
+        own = F.array(F.when(F.size(held) == 0, "").otherwise(
+            F.lpad(F.hex(F.pmod(F.xxhash64(held), F.lit(1 << 32))), 8, "0")))
+        if not shares:
+            return own
+        less = F.filter(held, lambda s: F.pmod(F.xxhash64(s, j), F.lit(shares[0])) == 0)
+        return F.concat(own, F.flatten(F.transform(
+            F.array(less), lambda x: nested(x, j, shares[1:]))))
+
+    return F.flatten(F.transform(bases, lambda f: F.flatten(F.transform(
+        F.array(f["base"] if inside is None else F.filter(f["base"], inside)),
+        lambda held: nested(held, f["j"], SHARES[1:])))))
 
 
 def fingerprints(docs: DataFrame, words: DataFrame, columns: dict[str, str]) -> DataFrame:
     """``docs`` with a fingerprint column for each text column (``columns``: text column to
     fingerprint column); ``words`` is the written :func:`lexicon`.
 
-    A text without a term in any subset (a null counts as empty) has the digest of its
-    letters and digits instead."""
-    out = docs.withColumn("_lexicon", words.scalar()).withColumns({f"_slots_{f}": F.filter(
-        slots(F.coalesce(t, F.lit(""))), lambda s: F.getbit(
-            F.get("_lexicon", F.shiftright(s, 6)), s.bitwiseAND(F.lit(63))) == 1)
-        for t, f in columns.items()}).drop("_lexicon")
+    A fingerprint has the subsets' hashes over the slots in the lexicon and, behind ``|``,
+    those of the same subsets over all slots.  A ``~`` in place of ``|`` marks texts with
+    less than one slot in ``SPARSE`` in the lexicon: copies that are so many that their
+    terms lie outside the band.  A text without a term in any subset (a null counts as
+    empty) has the digest of its letters and digits instead."""
+    def known(s: Column) -> Column:
+        return F.getbit(F.get("_lexicon", F.shiftright(s, 6)), s.bitwiseAND(F.lit(63))) == 1
+
+    names = columns.values()
+    out = docs.withColumn("_lexicon", words.scalar()).withColumns(
+        {f"_slots_{f}": slots(F.coalesce(t, F.lit(""))) for t, f in columns.items()})
+    out = out.withColumns({f"_bases_{f}": subset_bases(F.col(f"_slots_{f}")) for f in names} | {
+        f"_sparse_{f}": F.size(F.filter(f"_slots_{f}", known)) * SPARSE < F.size(f"_slots_{f}")
+        for f in names})
+    out = out.withColumns({f"_band_{f}": F.array_join(
+        subset_hashes(F.col(f"_bases_{f}"), known), "-") for f in names} | {
+        f"_wide_{f}": F.array_join(subset_hashes(F.col(f"_bases_{f}")), "-") for f in names})
     plain = {f: F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), r"[^\p{L}\p{N}]+", " ")
              for t, f in columns.items()}
-    out = out.withColumns({f"_hashes_{f}": F.array_join(subset_hashes(F.col(f"_slots_{f}")), "-")
-                           for f in columns.values()})
     return out.withColumns({f: F.when(
-        F.length(f"_hashes_{f}") >= FAMILIES * len(SHARES), F.col(f"_hashes_{f}"))
-        .otherwise(F.concat(F.lit("text:"), sha256_hex(F.trim(plain[f]))))
-        for f in columns.values()}) \
-        .drop(*[f"_{kind}_{f}" for f in columns.values() for kind in ("slots", "hashes")])
+        F.length(f"_wide_{f}") >= FAMILIES * len(SHARES), F.concat(
+            f"_band_{f}", F.when(F.col(f"_sparse_{f}"), "~").otherwise("|"), f"_wide_{f}"))
+        .otherwise(F.concat(F.lit("text:"), sha256_hex(F.trim(plain[f])))) for f in names}) \
+        .drop("_lexicon", *[f"_{kind}_{f}" for f in names
+                            for kind in ("slots", "bases", "sparse", "band", "wide")])
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal hashes among the subsets in which at least one text has a term; 1
-    for equal fingerprints."""
-    x, y = F.split(a, "-"), F.split(b, "-")
+    for equal fingerprints.  Over the lexicon's slots, or over all where either text has
+    few in the lexicon."""
+    half = F.when(F.contains(a, F.lit("~")) | F.contains(b, F.lit("~")), 1).otherwise(0)
+    x, y = (F.split(F.coalesce(F.get(F.split(c, "[|~]"), half), c), "-") for c in (a, b))
     pairs = F.arrays_zip(x.alias("x"), y.alias("y"))
     some = F.filter(pairs, lambda p: (p["x"] != "") | (p["y"] != ""))
     same = F.filter(some, lambda p: p["x"] == p["y"])

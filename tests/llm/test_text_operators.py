@@ -210,6 +210,30 @@ def test_imatch_tells_edits_from_strangers(spark, sf_small):
     assert got[0] > 0.1 > 5 * got[1]
 
 
+def test_imatch_near_copies_of_a_third_of_the_rows(spark):
+    """Their own terms are too frequent for the lexicon, yet copies are told from strangers."""
+    import random
+
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    base = rng.choices(vocabulary, k=200)
+    texts = {}
+    for i in range(300):  # a stretch of near copies, then strangers
+        near = [rng.choice(vocabulary) if rng.random() < 0.02 else w for w in base]
+        texts[i] = " ".join(near if i < 100 else rng.choices(vocabulary, k=200))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {r.doc_id: r for r in imatch.imatch(docs).collect()}
+    copies, strangers = range(1, 100), range(101, 300)
+
+    def mean(column, ids):
+        return sum(rows[i][column] for i in ids) / len(ids)
+
+    assert not any(rows[i].fingerprint.startswith("text:") for i in rows)
+    # the edit takes a third of the terms, the next copy has about 4 % others
+    assert mean("near_edited", copies) > 0.2 and mean("near_next", copies) > 0.5
+    assert mean("near_edited", strangers) > 0.1 > 5 * mean("near_next", strangers)
+
+
 def test_language_id(spark, sf_small, odd, empty):
     docs = spark.read.parquet(f"{sf_small}/documents.parquet")
     got = queries.op5_language_id(spark, sf_small).join(docs.select("doc_id", "lang"), "doc_id")
