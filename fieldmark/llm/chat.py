@@ -86,11 +86,13 @@ def schema_fingerprint(shape: Column) -> Column:
 
 
 def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS,
-                    id_col: str = "conv_id") -> DataFrame:
+                    id_col: str = "conv_id", given_col: str | None = None) -> DataFrame:
     """(conv_id, turn, role, text) of ``records(conv_id, record)``.
 
-    Records of no known layout (their paths match none, or they are null or no JSON
-    object) give no turns; see :func:`unknown_layouts`.  A layout's lists are in order; a
+    Records of no known layout (their paths match none, or they are null, no JSON
+    object, or beyond the parser's limits: 20 million characters a text, 128 MiB a record)
+    give the turns in ``given_col`` (array<struct<role, text>>); without that column they
+    give none, see :func:`unknown_layouts`.  A layout's lists are in order; a
     null text becomes empty, roles are brought to system, user and assistant where
     ``ROLES`` knows them.  Records that repeat are formatted each."""
     turns = None
@@ -99,6 +101,9 @@ def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS,
         hit = known == schema_fingerprint(F.lit(f"OBJECT<{layout.shape}>"))
         turns = F.when(hit, layout.columns()) if turns is None else turns.when(
             hit, layout.columns())
+    if given_col:
+        turns = F.coalesce(turns, F.transform(given_col, lambda t: F.struct(
+            t["role"].alias("role"), F.coalesce(t["text"], F.lit("")).alias("text"))))
     role = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv]),
                                    F.col("t.role")), F.col("t.role"))
     return records.select(F.col(id_col).alias("conv_id"), F.posexplode(turns).alias("turn", "t")) \

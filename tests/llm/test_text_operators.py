@@ -299,6 +299,23 @@ def test_chat_layouts(spark):
     assert chat.unknown_layouts(records).agg(F.sum("n")).first()[0] == 4
 
 
+def test_chat_texts_beyond_the_json_parser(spark, tmp_path):
+    long = "ab </s> " * 2_600_000  # 20.8 million characters
+    turns = [(1, 0, "user", "q"), (1, 1, "assistant", long), (2, 0, "user", long),
+             (2, 1, "tool", None), (2, 2, "assistant", "r"), (3, 0, "user", "short")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string") \
+        .write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in queries.op3_chat_format(spark, str(tmp_path)).collect()}
+    assert set(got) == {-7, 1, 2, 3}
+    for i in (1, 2, 3):
+        own = [(role, text or "") for c, _, role, text in turns if c == i]
+        loss = "".join(text for role, text in own if role == "assistant")
+        assert got[i].n_turns == len(own) and got[i].loss_chars == len(loss)
+        assert got[i].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        assert got[i].turns_sha256 == hashlib.sha256(
+            "".join(f"{role}\n{text}\n" for role, text in own).encode()).hexdigest()
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_matches_sql(spark, sf_small, name):
     con = duckdb.connect()
