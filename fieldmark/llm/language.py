@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 ORDER = 5
 UNKNOWN = "und"
+#: The 70th and 90th percentile of the standard normal distribution.
+_Z70, _Z90 = 0.5244, 1.2816
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _FOLD: list[np.ndarray] = []
 
@@ -206,20 +208,28 @@ def _sorted(grams: list[str], values: np.ndarray, size: int) -> tuple[np.ndarray
 def train(labelled: DataFrame, max_docs: int = 400, deviations: float = 8.0) -> Model | None:
     """The model of ``labelled(doc_id, text, lang)``; null if it has no labelled letter.
 
-    At most about ``max_docs`` rows of each language are used (a row is in when the hash of
-    its doc_id is below the share that gives that number), whole texts each, so the model
-    is bounded however large the table.  A fifth of them calibrates: the limit of a
-    language is the mean of their cross-entropies plus ``deviations`` standard deviations."""
+    At most about ``max_docs`` distinct texts of each language are used (a text is in when
+    its hash is below the share that gives that number), whole texts each, so the model
+    is bounded however large the table.  Of texts that differ in case or in what is no
+    letter, one is used.  A fifth of them calibrates: the limit of a language lies as far
+    above the 90th percentile of their cross-entropies as ``deviations`` standard deviations
+    lie above the mean in a normal distribution.  The deviation comes from the 70th and
+    90th percentile: near copies of training texts score low, and neither they nor a few
+    odd texts move these."""
     rows = labelled.where("text is not null and lang is not null") \
-        .select(F.col("doc_id").cast("string").alias("id"), "text", F.col("lang").cast("string"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        .select("text", F.col("lang").cast("string"), F.xxhash64("text").alias("key"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(
+        F.countDistinct("key").alias("n")).collect()}
     if not sizes:
         return None
-    unit = (F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1 << 20)) / float(1 << 20))
+    unit = F.pmod(F.xxhash64("key", F.lit("s")), F.lit(1 << 20)) / float(1 << 20)
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items())
                                         for x in (lang, min(1.0, max_docs / n))]), F.col("lang"))
-    sample = rows.where(unit < share).withColumn(
-        "calibrates", F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit("c")), F.lit(5)) == 0)
+    letters = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " "))
+    # of equal texts the least, so that the sample is the same each time it is read
+    sample = rows.where(unit < share).groupBy("lang", F.xxhash64(letters).alias("key")) \
+        .agg(F.min("text").alias("text")).withColumn(
+            "calibrates", F.pmod(F.xxhash64("key", F.lit("c")), F.lit(5)) == 0)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -244,9 +254,9 @@ def train(labelled: DataFrame, max_docs: int = 400, deviations: float = 8.0) ->
     model = _interpolate(sorted(counts["lang"].unique()), counts)
     held = score(sample.where("calibrates"), model, keep=("lang",))
     for r in held.where("bits is not null and lang = lang_pred").groupBy("lang").agg(
-            F.avg("bits").alias("mean"), F.coalesce(F.stddev_pop("bits"), F.lit(0.0)).alias("sd"),
-            F.avg(F.col("n_letters")).alias("size")).collect():
-        model.limit[r["lang"]] = (r["mean"] + deviations * max(r["sd"], 0.05), deviations)
+            F.percentile("bits", F.array(F.lit(0.7), F.lit(0.9))).alias("q")).collect():
+        sd = max((r["q"][1] - r["q"][0]) / (_Z90 - _Z70), 0.05)
+        model.limit[r["lang"]] = (r["q"][1] + (deviations - _Z90) * sd, deviations)
     return model
 
 

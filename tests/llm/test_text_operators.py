@@ -248,6 +248,31 @@ def test_language_id(spark, sf_small, odd, empty):
         "string"))).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("edited", [False, True])
+def test_language_id_rejects_foreign_text_among_copies(spark, edited):
+    """Copies or near copies of one document hold half of a language's rows."""
+    import random
+
+    rng = random.Random(3)
+
+    def text(letters, n=150):
+        stems = ["".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(300)]
+        return lambda: " ".join(rng.choices(stems, k=n))
+
+    own, foreign = text("abcdefghij"), text("abcdefghij")  # the same letters, other words
+    base = own().split()
+    rows = []
+    for i in range(800):
+        near = [rng.choice(base) if edited and rng.random() < 0.02 else w for w in base]
+        rows.append((i, " ".join(near) if i % 2 else own(), "xx"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    asked = [(i, foreign()) for i in range(20)] + [(100 + i, own()) for i in range(200)]
+    got = language.score(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()
+    assert all(r.rejected for r in got if r.doc_id < 100)
+    assert not any(r.rejected for r in got if r.doc_id >= 100)
+
+
 def test_language_model_is_a_distribution(spark):
     """Interpolated probabilities of a context's seen and unseen characters sum to one."""
     import numpy as np
