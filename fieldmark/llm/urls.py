@@ -9,6 +9,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldmark.llm.common import save
+from fieldmark.operators.joins import fits_broadcast
+
 #: (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"),
          ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -16,8 +19,9 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"),
 BLOCKED_WORDS = ("adult", "ads", "bets", "casino", "pills", "spam")
 LEXICAL = ("n_chars", "host_chars", "depth", "digit_ratio", "entropy", "n_parameters",
            "host_labels", "host_hyphens", "fragment", "secure")
-#: Most labelled URLs the trees learn from, about (by a hash of the URL).
+#: Most labelled URLs the trees learn from, about (by a hash of page_id and URL).
 MAX_LABELLED = 20_000
+STATS = ("suffix", "ending", "section")
 
 
 def host_of(url: Column) -> Column:
@@ -56,6 +60,17 @@ def entropy(text: Column) -> Column:
                        lambda acc, c: acc + F.when(c == "", 0.0).otherwise(part(c)))
 
 
+def _keys() -> dict[str, Column]:
+    return {"suffix": F.substring_index("host", ".", -2),
+            "ending": F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1),
+            "section": F.regexp_extract("path", r"^/([^/]*)", 1)}
+
+
+def statistic_keys(pages: DataFrame) -> DataFrame:
+    """``pages(host, path)`` with the columns whose blocked shares are features."""
+    return pages.withColumns(_keys())
+
+
 def features(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url, host, path)`` with the lexical features and the suffixes whose
     statistics are joined later."""
@@ -75,10 +90,7 @@ def features(pages: DataFrame) -> DataFrame:
                                                                F.lit("")))).cast("double"),
         "fragment": F.contains(url, F.lit("#")).cast("double"),
         "secure": F.startswith(url, F.lit("https")).cast("double"),
-        "suffix": F.substring_index("host", ".", -2),
-        "ending": F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1),
-        "section": F.regexp_extract("path", r"^/([^/]*)", 1),
-    })
+    } | _keys())
 
 
 def labelled(pages: DataFrame, rules=RULES, words=BLOCKED_WORDS) -> DataFrame:
@@ -97,43 +109,59 @@ class UrlModel:
 
     def __init__(self, labelled_urls: DataFrame, max_labelled: int = MAX_LABELLED,
                  iterations: int = 10, depth: int = 4):
-        """``labelled_urls(url, host, path, label)``; about ``max_labelled`` of them are
-        learnt from, taken by a hash of the URL."""
-        counts = labelled_urls.agg(F.count("*").alias("n"), F.avg("label").alias("p")).first()
-        self.share = float(counts["p"] or 0.0)
-        self.trees, self.stats = None, {}
-        if counts["n"] == 0 or self.share in (0.0, 1.0):
+        """``labelled_urls(page_id, url, host, path, label)``: the statistics count all of
+        them; the trees learn from about ``max_labelled``, taken for each label by a hash of
+        page_id and URL.  A rarer label keeps its rows up to half of that number; weights
+        bring the labels back to their shares."""
+        counts = {r["label"]: r["n"] for r in labelled_urls.groupBy("label").agg(
+            F.count("*").alias("n")).collect()}
+        total = sum(counts.values())
+        self.share = counts.get(1.0, 0) / total if total else 0.0
+        self.trees, self.stats, self.frequent = None, {}, {}
+        if self.share in (0.0, 1.0):
             return  # nothing to tell apart
-        unit = F.pmod(F.xxhash64("url"), F.lit(1 << 20)) / float(1 << 20)
-        rows = features(labelled_urls.where(unit < max_labelled / counts["n"])).cache()
-        try:
-            for key in ("suffix", "ending", "section"):
-                # at most one row for each learnt URL
-                self.stats[key] = rows.groupBy(key).agg(
-                    ((F.sum("label") + 10 * self.share) / (F.count("*") + 10))
-                    .alias(f"{key}_blocked"))
-            kinds = rows.select(F.countDistinct("label")).first()[0]
-            if kinds == 2:
-                data = self._vectors(rows).select("features", "label")
-                self.trees = GBTClassifier(maxIter=iterations, maxDepth=depth, seed=7,
-                                           maxBins=32).fit(data)
-            stats = {k: s.collect() for k, s in self.stats.items()}
-        finally:
-            rows.unpersist()
-        spark = labelled_urls.sparkSession
-        self.stats = {k: spark.createDataFrame(
-            [tuple(r) for r in s] or [("", self.share)], f"{k} string, {k}_blocked double")
-            for k, s in stats.items()}
+        keys = statistic_keys(labelled_urls)
+        for key in STATS:
+            stat = save(keys.groupBy(key).agg(
+                F.count("*").alias("n"),
+                ((F.sum("label") + 10 * self.share) / (F.count("*") + 10))
+                .alias(f"{key}_blocked")), f"url_{key}")
+            self.stats[key] = stat.drop("n")
+            if not fits_broadcast(self.stats[key]):
+                # frequent keys, at most 1000, go by broadcast so that none is hot in the shuffle
+                self.frequent[key] = stat.where((F.col("n") > total / 1000)
+                                                & (F.length(key) <= 1000)).drop("n")
+        rarer = min(min(counts.values()), max_labelled // 2)
+        part = {label: min(1.0, (rarer if n == min(counts.values()) else max_labelled - rarer) / n)
+                for label, n in counts.items()}
+        taken = F.when(F.col("label") == 1.0, part[1.0]).otherwise(part[0.0])
+        unit = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 20)) / float(1 << 20)
+        rows = features(labelled_urls.where(unit < taken).withColumn("weight", 1.0 / taken))
+        data = save(self._vectors(rows).select("features", "label", "weight"), "url_sample")
+        self.trees = GBTClassifier(maxIter=iterations, maxDepth=depth, seed=7, maxBins=32,
+                                   weightCol="weight").fit(data)
 
     def _vectors(self, rows: DataFrame) -> DataFrame:
         for key, stat in self.stats.items():
-            rows = rows.join(F.broadcast(stat), key, "left").fillna(
-                {f"{key}_blocked": self.share})
+            if key in self.frequent:
+                top = self.frequent[key].withColumnRenamed(f"{key}_blocked", "_top")
+                rows = rows.join(F.broadcast(top), key, "left")
+                # settled rows look for no statistic and are spread in the shuffle
+                rows = rows.withColumn("_spread", F.when(F.col("_top").isNotNull(), F.xxhash64(
+                    "page_id", "url")).otherwise(F.lit(0))).withColumn("_key", F.when(
+                        F.col("_top").isNull(), F.col(key)).otherwise(F.lit("")))
+                rows = rows.join(stat.select(F.col(key).alias("_key"), F.lit(0).cast("long").alias(
+                    "_spread"), f"{key}_blocked"), ["_key", "_spread"], "left").withColumn(
+                        f"{key}_blocked", F.coalesce("_top", f"{key}_blocked")) \
+                    .drop("_top", "_spread", "_key")
+            else:
+                rows = rows.join(F.broadcast(stat), key, "left")
+            rows = rows.fillna({f"{key}_blocked": self.share})
         return VectorAssembler(inputCols=[*LEXICAL, *[f"{k}_blocked" for k in self.stats]],
                                outputCol="features").transform(rows)
 
     def score(self, rows: DataFrame) -> DataFrame:
-        """``rows(url, host, path)`` with ``blocked``, the probability of block."""
+        """``rows(page_id, url, host, path)`` with ``blocked``, the probability of block."""
         if self.trees is None:
             return rows.withColumn("blocked", F.lit(self.share))
         own = rows.columns

@@ -307,6 +307,29 @@ def test_urls(spark, empty):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_url_statistics_cover_all_labelled_rows(spark, monkeypatch):
+    """A rare block class and more labelled URLs than the trees learn from."""
+    given = [(i, f"http://h{i}.s{i % 50}.org/a/{i}") for i in range(1000)] + [
+        (2000 + i, f"http://casino.b{i}.net/x/{i}") for i in range(4)]
+    pages = spark.createDataFrame(given, "page_id long, url string")
+    rows = pages.select("*", urls.host_of(F.col("url")).alias("host"),
+                        urls.path_of(F.col("url")).alias("path"))
+    own = urls.labelled(rows, rules=(("allow", "org", "/"),))
+    model = urls.UrlModel(own, max_labelled=40)
+    got = {r.suffix: r.suffix_blocked for r in model.stats["suffix"].collect()}
+    share = 4 / 1004
+    assert set(got) == {f"s{i}.org" for i in range(50)} | {f"b{i}.net" for i in range(4)}
+    for suffix, blocked in got.items():
+        n, k = (20, 0) if suffix.endswith("org") else (1, 1)
+        assert abs(blocked - (k + 10 * share) / (n + 10)) < 1e-12
+    assert model.trees is not None
+    few = {r.page_id: r.blocked for r in model.score(rows).collect()}
+    monkeypatch.setattr(urls, "fits_broadcast", lambda df: False)
+    joined = urls.UrlModel(own, max_labelled=40)
+    assert joined.frequent
+    assert {r.page_id: r.blocked for r in joined.score(rows).collect()} == pytest.approx(few)
+
+
 def test_chat_layouts(spark):
     records = spark.createDataFrame([
         (1, '{"messages": [{"content": "a <s> b", "role": "user"}, {"content": null, "role": "tool"}]}'),
