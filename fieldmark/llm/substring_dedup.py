@@ -1,12 +1,13 @@
 """Removal of passages that occur before: windows of consecutive words with an equal one
 earlier in the corpus.
 
-Count-min prefilter.  Every window is represented by a cell: the least of the hashes of
+Prefilter by exact counts, in place of a count-min table.  Every window is represented by a cell: the least of the hashes of
 its short word runs.  Equal windows have equal cells at equal places, so the number of
 places a cell stands at is at least the count of each of its windows.  Every partition
-counts its cells, the partitions' sketches are merged by adding cells up, and cells seen
+counts its cells, the partitions' counts are added up by cell, and cells seen
 once rule all their windows out.  Neighbouring windows mostly share their cell, so the
-sketch has a seventh of the windows' size.
+counts have a seventh of the windows' size.  They are no sketch of fixed width: all
+distinct cells are shuffled, which grows with the corpus.
 
 Second pass: only windows of the other cells are grouped, exactly, by their 64-bit hash.
 A task first settles what it can alone: of equal windows it met, only the earliest goes
@@ -65,7 +66,7 @@ def _places(cells: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def repeated_cells(docs: DataFrame, size: int) -> DataFrame:
-    """(cell) that stand at two places or more, from the merged partition sketches."""
+    """(cell) that stand at two places or more, from the merged partition counts."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
