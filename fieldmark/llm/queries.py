@@ -7,8 +7,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import (chat, exact_dedup, imatch, jaccard_join, language, packing, pieces,
-                           substring_dedup, token_counts, urls)
+from fieldmark.llm import (centroids, chat, exact_dedup, filter_audit, imatch, jaccard_join,
+                           language, ngram_model, packing, pieces, substring_dedup, token_counts,
+                           urls)
 from fieldmark.llm.common import sha256_hex
 from fieldmark.sources.tables import read_table
 
@@ -110,9 +111,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        sha256_hex(F.col("text")).alias("kept_sha256"))
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_model.score_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"),
+                              read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_imatch, op2_exact_dedup, op3_chat_format, op4_token_counts, op5_language_id,
-    op6_url_verdicts, op7_packing, op8_sentencepiece, op9_jaccard_join, op10_substring_dedup)}
+    op6_url_verdicts, op7_packing, op8_sentencepiece, op9_jaccard_join, op10_substring_dedup,
+    op11_lm_score, op12_centroid_clustering, op13_filter_audit)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -120,7 +135,72 @@ _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _ESCAPE = (r"regexp_replace(t, '([\[<])(\\*)(/?(?:INST|TURN|SEP)\]|/?s>|</?SYS>>)', "
            r"'\1\\\2\3', 'g')")
 
+def _rounds(rounds: int = 10, k: int = 8, size: int = 64) -> str:
+    """The rounds of the clustering, written out one after the other."""
+    def assign(r: int) -> str:
+        return f"""
+a{r} AS MATERIALIZED (SELECT rid, vec_id, v, min(struct_pack(d := d, k := k)) AS best FROM (
+    SELECT rid, vec_id, p.v, c.k, CAST(list_sum(list_transform(range(1, {size + 1}),
+           lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i]))) AS BIGINT) AS d
+    FROM points p, c{r} c) GROUP BY rid, vec_id, v)"""
+
+    def move(r: int) -> str:
+        return f"""
+c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (
+    SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM (
+        SELECT best.k AS k, i, sum(v[i]) AS s, count(*) AS n
+        FROM a{r}, range(1, {size + 1}) t(i) GROUP BY ALL) GROUP BY k) m ON m.k = c.k)"""
+
+    return f"""
+WITH points AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding,
+    lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = {size}
+      AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k, v
+    FROM points QUALIFY k < {k}),""" + ",".join(
+        assign(r) + "," + move(r) for r in range(rounds)) + "," + assign(rounds) + f"""
+SELECT vec_id, CAST(best.k AS INTEGER) AS cluster, best.d AS distance,
+       CAST(sum(best.d) OVER (PARTITION BY best.k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c ON c.k = best.k"""
+
+
 ORACLE = {
+    "op12_centroid_clustering": _rounds(),
+    "op13_filter_audit": f"""
+WITH words AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+flags AS (SELECT doc_id, part, len(w) < 50 AS A, 100 * len(list_distinct(w)) < 65 * len(w) AS B,
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS C,
+    regexp_matches(t, '[#$%&*|]') AS D, doc_id > min(doc_id) OVER (PARTITION BY t) AS E FROM words),
+goods AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+    max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+docs AS MATERIALIZED (SELECT part, [A, B, C, D, E] AS f, coalesce(good, 0) AS good,
+    coalesce(toxic, 0) AS toxic, count(*) AS n
+    FROM flags LEFT JOIN goods USING (doc_id) GROUP BY ALL),
+letter(x) AS (SELECT unnest(generate_series(1, 5))),
+orders AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM letter a JOIN letter b ON b.x <> a.x
+    JOIN letter c ON c.x NOT IN (a.x, b.x) JOIN letter d ON d.x NOT IN (a.x, b.x, c.x)
+    JOIN letter e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+steps AS (SELECT o, s AS step, o[s] AS x, o[1:s - 1] AS prior FROM orders, generate_series(1, 5) t(s)),
+each AS (SELECT part, n, good, toxic, o, step, x, f[x] AS fails,
+    len(list_filter(prior, lambda p: f[p])) > 0 AS gone,
+    len(list_filter(f, lambda v: v)) = 1 AS single FROM docs, steps),
+counts AS (SELECT part, o, step, x, sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails AND gone THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails AND single THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN fails AND NOT gone THEN n * good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN fails AND NOT gone THEN n * toxic ELSE 0 END) AS toxic_lost
+    FROM each GROUP BY ALL)
+SELECT part, array_to_string(list_transform(o, lambda i: substr('ABCDE', CAST(i AS INTEGER), 1)), '')
+       AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept,
+       CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM counts""",
     "op2_exact_dedup": f"""
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, text_sha256
