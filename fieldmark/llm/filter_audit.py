@@ -23,7 +23,7 @@ from fieldmark.llm.runs import pack, slices_for, unpack
 from fieldmark.llm.words import Block, blocks
 
 #: Bytes of text in a shard; a longer text is one by itself.
-SHARD = 1 << 22
+SHARD = 1 << 21
 SPECIAL = "#$%&*|"
 LETTERS = "ABCDE"
 
