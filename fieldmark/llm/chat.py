@@ -86,7 +86,8 @@ def schema_fingerprint(shape: Column) -> Column:
 
 
 def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS,
-                    id_col: str = "conv_id", given_col: str | None = None) -> DataFrame:
+                    id_col: str = "conv_id", given_col: str | None = None,
+                    roles: dict[str, str] = ROLES) -> DataFrame:
     """(conv_id, turn, role, text) of ``records(conv_id, record)``.
 
     Records of no known layout (their paths match none, or they are null, no JSON
@@ -94,7 +95,8 @@ def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS,
     give the turns in ``given_col`` (array<struct<role, text>>); without that column they
     give none, see :func:`unknown_layouts`.  A layout's lists are in order; a
     null text becomes empty, roles are brought to system, user and assistant where
-    ``ROLES`` knows them.  Records that repeat are formatted each."""
+    ``roles`` knows them (give none to keep those of the records).  Records that repeat are
+    formatted each, an empty table gives an empty result."""
     turns = None
     known = schema_fingerprint(shape_of(F.col("record")))
     for layout in layouts:
@@ -104,8 +106,10 @@ def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS,
     if given_col:
         turns = F.coalesce(turns, F.transform(given_col, lambda t: F.struct(
             t["role"].alias("role"), F.coalesce(t["text"], F.lit("")).alias("text"))))
-    role = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv]),
-                                   F.col("t.role")), F.col("t.role"))
+    role = F.col("t.role")
+    if roles:
+        known_as = F.create_map(*[F.lit(x) for kv in roles.items() for x in kv])
+        role = F.coalesce(F.element_at(known_as, role), role)
     return records.select(F.col(id_col).alias("conv_id"), F.posexplode(turns).alias("turn", "t")) \
         .select("conv_id", F.col("turn").cast("long"), role.alias("role"),
                 F.col("t.text").alias("text"))
@@ -124,8 +128,9 @@ def format_turns(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, formatted, mask) of ``turns(conv_id, turn, role, text)``.
 
     ``mask`` lists (start, length), in code points of ``formatted``, of the assistants'
-    texts.  Turns are ordered by turn (then role and text, so ties are no accident); a
-    null text is empty, a null role is written as an empty one."""
+    texts.  Turns are ordered by turn (then role and text, so ties are no accident; repeated
+    rows are turns each); a null text is empty, a null role is written as an empty one.  An
+    empty table gives an empty result."""
     role = F.coalesce(F.col("role"), F.lit(""))
     body = escape(F.coalesce("text", F.lit("")))
     head = F.concat(F.lit(OTHER[0]), escape(role), F.lit(OTHER[1]))

@@ -1,9 +1,10 @@
 """Exact deduplication with two-pass Bloom filtering.
 
-Pass 1: every partition puts its rows' hashes into a partitioned Bloom filter; merging the
-partitions' filters slice by slice marks the bits that were set twice.  Pass 2: a row is
-possibly repeated if all its bits are marked; only those rows are shuffled and grouped,
-all others pass straight through as their own group.  Texts never move: both passes run
+Pass 1: every partition puts its rows' hashes into a partitioned counting Bloom filter;
+merging the partitions' filters slice by slice marks the bits that were set twice.  Pass 2:
+a row is possibly repeated if all its bits are marked; only those rows are shuffled and
+grouped, all others pass straight through as their own group.  The slices are files that
+workers map, so both passes are the same at every size.  Texts never move: both passes run
 on a written table of ids and digests."""
 
 from __future__ import annotations
@@ -11,120 +12,64 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.llm.common import lower_az, save, sha256_hex, texts
+from fieldmark.llm.sketch import RUN, WIDTH, Sketch
+from fieldmark.session import checkpoint_dir, scratch_path
 
-#: Bits of one slice of the filter; all bits of one hash lie in one slice.
-SLICE_BITS = 1 << 20
-PROBES = 3
-#: Largest filter (bytes) that is sent to the executors; with a larger one, all rows
-#: (ids and digests) take the shuffle.
-MAX_FILTER = 64 << 20
+#: Bits of the filter for each row; hashes that a task holds before it sends its filter.
+BITS_PER_ROW, FLUSH = 16, 1 << 20
 
 
-def slices_for(rows: int, bits_per_row: int = 16) -> int:
-    return max(1, -(-rows * bits_per_row // SLICE_BITS))
-
-
-def probes(h: np.ndarray, n_slices: int) -> tuple[np.ndarray, np.ndarray]:
-    """(slice, bits of shape rows x PROBES) of 64-bit hashes."""
-    h = h.astype(np.uint64)
-    where = ((h >> np.uint64(32)) % np.uint64(n_slices)).astype(np.int64)
-    mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    step = (mixed >> np.uint64(40)) | np.uint64(1)
-    bits = (mixed[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)) \
-        % np.uint64(SLICE_BITS)
-    return where, bits.astype(np.int64)
-
+def possibly_repeated(rows: DataFrame, slices: int | None = None) -> DataFrame:
+    """``rows`` (a written table with a 64-bit hash ``h``) with the column ``maybe``: false
+    only where no other row has the same hash."""
+    checkpoint_dir(rows.sparkSession)  # raises when no shared folder is configured
+    slices = slices or max(1, -(-rows.count() * BITS_PER_ROW // WIDTH))
+    bloom = Sketch(scratch_path(rows.sparkSession, "bloom"), slices, apart=False)
+    names = rows.columns
 
-def repeated_bits(rows: DataFrame, n_slices: int) -> DataFrame:
-    """(slice, bits): per slice the packed bits that at least two rows of ``rows(h)`` set.
+    def hashes(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
 
-    A partition marks a bit "again" when one of its own rows finds all its bits set
-    already; merging marks those which two partitions' filters share."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once: dict[int, np.ndarray] = {}
-        again: dict[int, np.ndarray] = {}
+        held, n = [], 0
         for batch in batches:
-            where, bits = probes(batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64),
-                                 n_slices)
-            order = np.argsort(where, kind="stable")
-            where, bits = where[order], bits[order]
-            for s in np.unique(where):
-                own = bits[np.searchsorted(where, s):np.searchsorted(where, s, "right")]
-                seen = once.setdefault(int(s), np.zeros(SLICE_BITS, bool))
-                twice = again.setdefault(int(s), np.zeros(SLICE_BITS, bool))
-                first, counts = np.unique(own, return_counts=True)
-                twice[first[seen[first] | (counts > 1)]] = True
-                seen[first] = True
-        for s in once:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([s], pa.int64()), pa.array([_pack(once[s])], pa.binary()),
-                 pa.array([_pack(again[s])], pa.binary())], ["slice", "once", "again"])
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen, twice = np.zeros(SLICE_BITS, bool), np.zeros(SLICE_BITS, bool)
-        for one, two in zip(pdf["once"], pdf["again"]):
-            one = _unpack(one)
-            twice |= _unpack(two) | (seen & one)
-            seen |= one
-        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "bits": [_pack(twice)]})
-
-    return rows.select("h").mapInArrow(build, "slice long, once binary, again binary") \
-        .groupBy("slice").applyInPandas(merge, "slice long, bits binary")
-
-
-def _pack(bits: np.ndarray) -> bytes:
-    return pa.compress(np.packbits(bits).tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpack(packed: bytes) -> np.ndarray:
-    raw = pa.decompress(packed, SLICE_BITS // 8, codec="zstd", asbytes=True)
-    return np.unpackbits(np.frombuffer(raw, np.uint8)).astype(bool)
-
-
-def possibly_repeated(rows: DataFrame, max_filter: int = MAX_FILTER) -> DataFrame:
-    """``rows`` (a written table with a 64-bit hash ``h``) with the column ``maybe``: false
-    only where no other row has the same hash."""
-    n_slices = slices_for(rows.count())
-    if n_slices * SLICE_BITS // 8 > max_filter:
-        return rows.withColumn("maybe", F.lit(True))
-    marked = repeated_bits(rows, n_slices).collect()  # at most max_filter bytes
-    held = rows.sparkSession.sparkContext.broadcast({r["slice"]: bytes(r["bits"]) for r in marked})
-    names = rows.columns
+            held.append(hashes(batch))
+            n += len(batch)
+            if n >= FLUSH:
+                yield bloom.run(np.concatenate(held))
+                held, n = [], 0
+        if n:
+            yield bloom.run(np.concatenate(held))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = {s: _unpack(b) for s, b in held.value.items()}
         for batch in batches:
-            where, own = probes(batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64),
-                                n_slices)
-            maybe = np.zeros(len(where), bool)
-            for s in np.unique(where):
-                at = np.flatnonzero(where == s)
-                maybe[at] = bits[int(s)][own[at]].all(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe)], [*names, "maybe"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(bloom.repeated(hashes(batch)))], [*names, "maybe"])
 
+    bloom.merge(rows.select("h").mapInArrow(build, RUN))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(test, f"{schema}, maybe boolean")
 
 
-def exact_dedup(docs: DataFrame, max_filter: int = MAX_FILTER) -> DataFrame:
+def exact_dedup(docs: DataFrame, slices: int | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per document.
 
     Texts are equal when identical after lower-casing A-Z only; null counts as empty, so
     empty and null texts form one group.  The largest doc_id of a group stays.  Rows that
     repeat a doc_id with an equal text are one document; with different texts, a document
     in each group.  A null doc_id stays only if its group has no other id.  An empty
-    table gives an empty result."""
+    table gives an empty result.  ``slices`` of the filter are as many as the rows need by
+    default; they steer the work, not the result."""
     rows = texts(docs)
     digest = sha256_hex(lower_az(F.col("text")))
     rows = save(rows.select("doc_id", digest.alias("text_sha256"))
                 .withColumn("h", F.xxhash64("text_sha256")), "digests")
-    rows = possibly_repeated(rows, max_filter).drop("h")
+    rows = possibly_repeated(rows, slices).drop("h")
     alone = rows.where("not maybe").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256")

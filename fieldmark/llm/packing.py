@@ -2,8 +2,8 @@
 
 A piece of length s belongs to reciprocal class k = capacity // s, and a bin of class k
 takes exactly k pieces.  Each worker fills the bins of every class by itself; the pieces
-of bins it could not fill (fewer than k per class) are filled across workers, class by
-class; what is then left (under one bin per class, a number bounded by the capacity alone)
+of bins it could not fill (fewer than k per class) are filled across groups of workers, then
+of groups, class by class; what is then left (under one bin per class, a number bounded by the capacity alone)
 goes together by decreasing length.
 
 Documents may be cut: full sequences first, then the rest at halves of the capacity down
@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 
 from fieldmark.llm.common import save, texts
 from fieldmark.llm.units import UnitTable, cuts_of, tokenizer
-from fieldmark.llm.words import blocks
+from fieldmark.llm.words import Block, blocks
 
 #: Ids of the sequences that the three steps make do not meet.
 ACROSS, LAST = 1 << 60, 1 << 62
+#: Tasks, or groups of tasks, whose open bins are filled together.
+GROUP = 64
 
 
 _TABLES: dict[str, UnitTable] = {}
@@ -61,12 +63,27 @@ def _table(path: str) -> UnitTable:
     return _TABLES[path]
 
 
-def _ids(column: pa.Array, table: UnitTable, cuts: str) -> Iterator[tuple[int, np.ndarray]]:
+def _holding(block: Block, special: list[bytes]) -> np.ndarray:
+    """The words that hold one of these strings in any case."""
+    data, found = block.data.tobytes().lower(), []
+    for s in special:
+        at = data.find(s)
+        while at >= 0:
+            found.append(at)
+            at = data.find(s, at + 1)
+    return np.unique(np.searchsorted(block.start, np.array(found, np.int64), "right") - 1)
+
+
+def _ids(column: pa.Array, table: UnitTable, cuts: str,
+         special: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
     """(row, ids) of each text; white space has no ids and ASCII letters no case, so lower-
-    case words alone are looked up."""
+    case words alone are looked up.  Special strings do have a case: words that hold one in
+    any case are looked up as they are."""
     for block in blocks(column, cuts):
-        at = table.find(block, block.start, block.end,
-                        block.folded_hashes(block.start, block.end))
+        h = block.folded_hashes(block.start, block.end)
+        at = _holding(block, special)
+        h[at] = block.hashes(block.start[at], block.end[at])
+        at = table.find(block, block.start, block.end, h)
         ids, before = table.ids(at)
         for i, (a, n) in enumerate(zip(block.heads, block.counts)):
             yield block.first + i, ids[before[a]:before[a + n]]
@@ -101,7 +118,9 @@ def pack(docs: DataFrame, vocab_path: str, capacity: int = 4096, end_id: int | N
               f"k long, seq long, offset long, task long, nth long{extra}")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, cuts = _table(vocab_path), cuts_of(tokenizer(vocab_path))
+        table, tok = _table(vocab_path), tokenizer(vocab_path)
+        cuts = cuts_of(tok)
+        special = [t.content.lower().encode() for t in tok.get_added_tokens_decoder().values()]
         task, made, nth = TaskContext.get().partitionId(), 0, 0
         bins: dict[int, list] = defaultdict(list)  # class -> pieces of its open bin
         names = [f.split()[0] for f in schema.split(", ")]
@@ -116,7 +135,7 @@ def pack(docs: DataFrame, vocab_path: str, capacity: int = 4096, end_id: int | N
         for batch in batches:
             doc_type, out = batch.column("doc_id").type, []
             names_of = batch.column("doc_id").to_pylist()
-            for doc, ids in _ids(batch.column("text"), table, cuts):
+            for doc, ids in _ids(batch.column("text"), table, cuts, special):
                 doc, at = names_of[doc], 0
                 if end_id is not None:
                     ids = np.append(ids, np.int32(end_id))
@@ -145,16 +164,27 @@ def pack(docs: DataFrame, vocab_path: str, capacity: int = 4096, end_id: int | N
     cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *ids]
     full = placed.where("seq is not null").withColumn("sequence_id", F.col("seq")).select(cols)
 
-    # the workers' open bins, class by class
-    order = W.partitionBy("k").orderBy("task", "nth")
-    left = placed.where("seq is null").withColumn("at", F.row_number().over(order) - 1) \
-        .withColumn("bin", F.expr("at div k"))
-    sizes = placed.where("seq is null").groupBy("k").agg(F.count("*").alias("n"))
-    left = save(left.join(sizes, "k").withColumn("whole", F.expr("(bin + 1) * k <= n")), "left")
-    in_bin = W.partitionBy("k", "bin").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
-    across = left.where("whole").withColumn(
-        "sequence_id", F.lit(ACROSS) + F.col("k") * F.lit(1 << 40) + F.col("bin")) \
-        .withColumn("offset", F.coalesce(F.sum("length").over(in_bin), F.lit(0))).select(cols)
+    # the workers' open bins, class by class: first those of GROUP tasks, what these leave
+    # (under one bin a class and group) with that of GROUP groups, and so on
+    tasks = (placed.agg(F.max("task").alias("t")).first()["t"] or 0) + 1
+    left, across, level, width = placed.where("seq is null").drop("seq", "offset"), [], 0, 1
+    while True:
+        level, width = level + 1, width * GROUP
+        g = F.expr(f"task div {width}L")
+        order = W.partitionBy("k", "g").orderBy("task", "nth")
+        rows = left.withColumn("g", g).withColumns({
+            "at": F.row_number().over(order) - 1,
+            "n": F.count("*").over(W.partitionBy("k", "g"))}).withColumn("bin", F.expr("at div k"))
+        rows = save(rows.withColumn("whole", F.expr("(bin + 1) * k <= n")), "left")
+        in_bin = W.partitionBy("k", "g", "bin").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+        place = F.shiftleft(F.lit(level).cast("long"), 57) + F.shiftleft(F.col("k"), 37) \
+            + F.shiftleft(F.col("g"), 7) + F.col("bin")
+        across.append(rows.where("whole").withColumns({
+            "sequence_id": F.lit(ACROSS) + place,
+            "offset": F.coalesce(F.sum("length").over(in_bin), F.lit(0))}).select(cols))
+        left = rows.where("not whole").drop("g", "at", "n", "bin", "whole")
+        if width >= tasks:
+            break
 
     # under one bin of each class: at most capacity pieces for each of the few classes
     types = {f.name: f.dataType.simpleString() for f in full.schema}
@@ -173,9 +203,11 @@ def pack(docs: DataFrame, vocab_path: str, capacity: int = 4096, end_id: int | N
             room[at] -= n
         return pdf.assign(sequence_id=seq, offset=off)[cols]
 
-    last = left.where("not whole").withColumn("one", F.lit(0)) \
+    last = left.withColumn("one", F.lit(0)) \
         .groupBy("one").applyInPandas(decreasing, last_schema)
-    return full.unionByName(across).unionByName(last)
+    for some in across:
+        full = full.unionByName(some)
+    return full.unionByName(last)
 
 
 def sequences(pieces: DataFrame, capacity: int = 4096, pad_id: int = 0) -> DataFrame:

@@ -58,7 +58,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame(PLANTED, "conv_id long, turn long, role string, text string")
     records = conversation_records(turns.unionByName(planted))
-    out = chat.format_turns(chat.canonical_turns(records, given_col="t"))
+    # the table's own role names stand, whatever they are
+    out = chat.format_turns(chat.canonical_turns(records, given_col="t", roles={}))
     read = out.withColumns({"turns": chat.read_turns(F.col("formatted")),
                             "loss": chat.masked_text(F.col("formatted"), F.col("mask"))})
     joined = F.array_join(F.transform("turns", lambda t: F.concat(

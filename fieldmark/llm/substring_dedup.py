@@ -1,18 +1,19 @@
 """Removal of passages that occur before: windows of consecutive words with an equal one
 earlier in the corpus.
 
-Prefilter by exact counts, in place of a count-min table.  Every window is represented by a cell: the least of the hashes of
-its short word runs.  Equal windows have equal cells at equal places, so the number of
-places a cell stands at is at least the count of each of its windows.  Every partition
-counts its cells, the partitions' counts are added up by cell, and cells seen
-once rule all their windows out.  Neighbouring windows mostly share their cell, so the
-counts have a seventh of the windows' size.  They are no sketch of fixed width: all
-distinct cells are shuffled, which grows with the corpus.
+Prefilter by a count-min sketch.  Every window is represented by a cell: the least of the
+hashes of its short word runs.  Equal windows have equal cells at equal places, so the number
+of places a cell stands at is at least the count of each of its windows.  Every partition
+counts its cells in a sketch, the sketches are added up by slice, and cells whose least
+counter is 1 rule all their windows out.  Neighbouring windows mostly share their cell, so
+a seventh of the windows is counted.  Collisions overestimate counts, so no repeated window
+is lost.
 
 Second pass: only windows of the other cells are grouped, exactly, by their 64-bit hash.
 A task first settles what it can alone: of equal windows it met, only the earliest goes
 on, so a passage that a third of the corpus shares is one row a task.  All but the
-earliest of a group are marked, and the marks meet their texts in one join."""
+earliest of a group are marked, and the marks meet their texts in one join, by id and
+hash of the text."""
 
 from __future__ import annotations
 
@@ -26,13 +27,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldmark.llm.common import save
+from fieldmark.llm.runs import slices_for
+from fieldmark.llm.sketch import RUN as RUN_OF_SKETCH
+from fieldmark.llm.sketch import Sketch
 from fieldmark.llm.words import Block, blocks, mix
+from fieldmark.session import checkpoint_dir, scratch_path
 
 #: Words in the short runs whose least hash is a window's cell.
 RUN = 8
-#: Most repeated cells that are sent to the executors (8 bytes each); with more, the cells
-#: of each document are matched by a join.
-MAX_SENT = 8_000_000
 #: Values a task holds before it counts or settles them.
 FLUSH = 1 << 20
 
@@ -65,102 +67,73 @@ def _places(cells: np.ndarray, place: np.ndarray) -> np.ndarray:
     return cells[np.flatnonzero(np.diff(place, prepend=-1))] if len(place) else cells
 
 
-def repeated_cells(docs: DataFrame, size: int) -> DataFrame:
-    """(cell) that stand at two places or more, from the merged partition counts."""
+def repeated_cells(docs: DataFrame, size: int, slices: int) -> Sketch:
+    """The merged count-min sketch of all cells of ``docs(text)``."""
+    checkpoint_dir(docs.sparkSession)  # raises when no shared folder is configured
+    counts = Sketch(scratch_path(docs.sparkSession, "counts"), slices)
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-
-        def counted() -> pa.RecordBatch:
-            cells, times = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(cells.view(np.int64)), pa.array(np.minimum(times, 2).astype(np.int32))],
-                ["cell", "n"])
-
         for batch in batches:
             for block in blocks(batch.column("text")):
                 _, _, cells, place = _windows(block, size)
                 held.append(_places(cells, place))
                 n += len(held[-1])
                 if n >= FLUSH:
-                    yield counted()
+                    yield counts.run(np.concatenate(held))
                     held, n = [], 0
         if n:
-            yield counted()
+            yield counts.run(np.concatenate(held))
 
-    return docs.select("text").mapInArrow(sketch, "cell long, n int").groupBy("cell") \
-        .agg(F.sum("n").alias("n")).where("n >= 2").select("cell")
+    counts.merge(docs.select("text").mapInArrow(sketch, RUN_OF_SKETCH))
+    return counts
 
 
-def _cells_of_documents(docs: DataFrame, size: int) -> DataFrame:
-    """Distinct (doc_id, cell)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for block in blocks(batch.column("text")):
-                own, _, cells, place = _windows(block, size)
-                at = np.flatnonzero(np.diff(place, prepend=-1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[block.first + block.doc[own[at]]]),
-                     pa.array(cells[at].view(np.int64))], ["doc_id", "cell"])
-
-    return docs.mapInArrow(run, "doc_id long, cell long").distinct()
-
-
-def _marked_starts(docs: DataFrame, size: int, max_sent: int) -> DataFrame:
-    """(doc_id, starts): first words of all windows with an equal one earlier."""
-    hot = save(repeated_cells(docs, size), "cells")
-    held = None
-    if hot.count() <= max_sent:
-        cells = np.sort(hot.toArrow()["cell"].to_numpy().view(np.uint64))
-        held = docs.sparkSession.sparkContext.broadcast(cells)
-        rows = docs.select("doc_id", "text")
-    else:
-        own = _cells_of_documents(docs, size).join(hot, "cell", "left_semi") \
-            .groupBy("doc_id").agg(F.collect_list("cell").alias("cells"))
-        rows = docs.join(own, "doc_id").select("doc_id", "text", "cells")
+def _marked_starts(docs: DataFrame, size: int, slices: int | None) -> DataFrame:
+    """(doc_id, text_hash, starts): first words of all windows with an equal one earlier."""
+    counts = repeated_cells(docs, size, slices or slices_for(docs))
+    names = ["h", "doc_id", "text_hash", "start", "starts"]
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
 
         def settled() -> Iterator[pa.RecordBatch]:
-            h, doc, start = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((start, doc, h))
-            h, doc, start = h[order], doc[order], start[order]
+            h, doc, text, start = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((text, start, doc, h))
+            h, doc, text, start = h[order], doc[order], text[order], start[order]
             first = np.concatenate(([True], h[1:] != h[:-1]))
-            # repeated rows of a document are the same window
             head = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+            # as early as the first: it goes on, once for each text of that id
             same = (doc == doc[head]) & (start == start[head])
+            on = same & (first | np.concatenate(([True], text[1:] != text[:-1])))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[first].view(np.int64)), pa.array(doc[first]),
-                 pa.array(start[first].astype(np.int32)),
-                 pa.nulls(int(first.sum()), pa.list_(pa.int32()))],
-                ["h", "doc_id", "start", "starts"])
-            doc, start = doc[~same], start[~same]
+                [pa.array(h[on].view(np.int64)), pa.array(doc[on]), pa.array(text[on]),
+                 pa.array(start[on].astype(np.int32)),
+                 pa.nulls(int(on.sum()), pa.list_(pa.int32()))], names)
+            doc, text, start = doc[~same], text[~same], start[~same]
             if len(doc):
-                order = np.lexsort((start, doc))
-                doc, start = doc[order], start[order]
-                heads = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+                order = np.lexsort((start, text, doc))
+                doc, text, start = doc[order], text[order], start[order]
+                heads = np.flatnonzero(np.concatenate(
+                    ([True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]))))
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.append(heads, len(doc)).astype(np.int32)),
                     pa.array(start.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(heads), pa.int64()), pa.array(doc[heads]),
-                     pa.nulls(len(heads), pa.int32()), lists],
-                    ["h", "doc_id", "start", "starts"])
+                    [pa.nulls(len(heads), pa.int64()), pa.array(doc[heads]), pa.array(text[heads]),
+                     pa.nulls(len(heads), pa.int32()), lists], names)
 
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
+                           for c in ("doc_id", "text_hash"))
             for block in blocks(batch.column("text")):
                 own, h, cells, place = _windows(block, size)
-                if held is not None:
-                    keep = _among(held.value, cells)
-                else:
-                    lists = batch.column("cells").slice(block.first, block.texts)
-                    keep = _among(np.unique(lists.flatten().to_numpy(zero_copy_only=False)
-                                            .astype(np.int64).view(np.uint64)), cells)
+                at = np.flatnonzero(np.diff(place, prepend=-1))
+                keep = np.repeat(counts.repeated(cells[at]), np.diff(at, append=len(own)))
                 own = own[keep]
                 doc = block.doc[own]
-                parts.append((h[keep], ids[block.first + doc], own - block.heads[doc]))
+                parts.append((h[keep], ids[block.first + doc], hashes[block.first + doc],
+                              own - block.heads[doc]))
                 n += len(own)
                 if n >= FLUSH:
                     yield from settled()
@@ -168,20 +141,15 @@ def _marked_starts(docs: DataFrame, size: int, max_sent: int) -> DataFrame:
         if n:
             yield from settled()
 
-    found = save(rows.mapInArrow(settle, "h long, doc_id long, start int, starts array<int>"),
-                 "windows")
+    found = save(docs.select("doc_id", "text_hash", "text").mapInArrow(
+        settle, "h long, doc_id long, text_hash long, start int, starts array<int>"), "windows")
     earlier = W.partitionBy("h").orderBy("doc_id", "start")
+    by = ("doc_id", "text_hash")
     across = found.where("h is not null").select(
-        "doc_id", "start", F.rank().over(earlier).alias("at")).where("at > 1") \
-        .groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    return across.unionByName(found.where("h is null").select("doc_id", "starts")) \
-        .groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-
-
-def _among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.zeros(len(wanted), bool)
-    return keys[np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)] == wanted
+        *by, "start", F.rank().over(earlier).alias("at")).where("at > 1") \
+        .groupBy(*by).agg(F.collect_list("start").alias("starts"))
+    return across.unionByName(found.where("h is null").select(*by, "starts")) \
+        .groupBy(*by).agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def _without(block: Block, covered: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -202,7 +170,7 @@ def _without(block: Block, covered: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return text.cast(pa.string()), left
 
 
-def remove_repeats(docs: DataFrame, size: int = 20, max_sent: int = MAX_SENT,
+def remove_repeats(docs: DataFrame, size: int = 20, slices: int | None = None,
                    keep: tuple[str, ...] = (), keep_untouched: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, text, *keep), one row per row of ``docs``.
 
@@ -211,17 +179,20 @@ def remove_repeats(docs: DataFrame, size: int = 20, max_sent: int = MAX_SENT,
     document, earlier start); windows are judged on the input.  ``text`` is the kept words
     joined by one space.  A null text has no words; a text with fewer words than a window
     keeps them all.  Rows that repeat a doc_id and its text are one document and come out
-    alike; a row without doc_id keeps all words and counts nowhere.  An empty table gives
+    alike; with different texts, windows of theirs that start at the same place are neither
+    earlier.  A row without doc_id keeps all words and counts nowhere.  An empty table gives
     an empty result.  ``keep`` names further columns to hand through; ``keep_untouched``
-    leaves a text from which nothing goes as it is (null as empty)."""
+    leaves a text from which nothing goes as it is (null as empty).  ``slices`` of the sketch
+    are as many as the texts need by default; they steer the work, not the result."""
     if size < RUN:
         raise ValueError(f"a window needs at least {RUN} words")
     rows = docs.select(F.col("doc_id").cast("long"),
                        F.coalesce("text", F.lit("")).alias("text"),
+                       F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
                        *[F.col(c).alias(f"kept_{c}") for c in keep])
-    marks = _marked_starts(rows.where("doc_id is not null").select("doc_id", "text"), size,
-                           max_sent)
-    joined = rows.join(marks, "doc_id", "left")
+    marks = _marked_starts(rows.where("doc_id is not null").select("doc_id", "text_hash", "text"),
+                           size, slices)
+    joined = rows.join(marks, ["doc_id", "text_hash"], "left")
     others = [f for f in joined.schema.fields if f.name.startswith("kept_")]
     schema = ", ".join(["doc_id long", "n_words long", "n_removed long", "text string"] + [
         f"`{f.name[5:]}` {f.dataType.simpleString()}" for f in others])

@@ -109,8 +109,8 @@ def test_pieces_round_trip_and_best_score(spark, odd, empty):
 
 
 def test_exact_dedup(spark, odd, empty):
-    for bound in (exact_dedup.MAX_FILTER, 0):  # with and without the filter
-        got = {r.doc_id: r for r in exact_dedup.exact_dedup(odd, bound).collect()}
+    for slices in (None, 7):
+        got = {r.doc_id: r for r in exact_dedup.exact_dedup(odd, slices).collect()}
         groups = defaultdict(list)
         for i, t in enumerate(TEXTS):
             groups[(t or "").translate(LOWER)].append(i)
@@ -138,8 +138,8 @@ def removed(texts, size=20):
 
 def test_substring_dedup(spark, odd, empty):
     want = removed(TEXTS)
-    for bound in (substring_dedup.MAX_SENT, 0):  # cells sent, cells joined
-        got = substring_dedup.remove_repeats(odd, max_sent=bound).collect()
+    for slices in (None, 7):
+        got = substring_dedup.remove_repeats(odd, slices=slices).collect()
         assert len(got) == len(TEXTS) + 1
         for r in got:
             assert r.text == " ".join(want[r.doc_id])
@@ -402,3 +402,138 @@ def test_pipeline_stages(spark, sf_small, tmp_path):
             kept = removed([before[i] for i in ids])
             assert {i: words(after[i]) for i in ids} == dict(zip(ids, kept))
         before = after
+
+
+def test_packing_special_strings_in_every_case_and_order(spark):
+    """They keep their case, whichever spelling a worker meets first."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    marks = [t.content for t in tok.get_added_tokens_decoder().values()]
+    texts = [form.replace("M", f(m)) for m in marks for f in (str, str.upper, str.title, str.lower)
+             for form in ("x M y", "M", "xM", "Mx", "X M M Y", "\u00e9M\u00c9", "a.M,b")]
+    for order in (texts, texts[::-1]):
+        packing._TABLES.clear()
+        docs = spark.createDataFrame(list(enumerate(order)), "doc_id long, text string").coalesce(1)
+        got = {r.doc_id: r.ids for r in packing.pack(docs, path, keep_ids=True).collect()}
+        for i, t in enumerate(order):
+            assert got[i] == [*tok.encode(t, add_special_tokens=False).ids, 2], t
+
+
+def test_packing_fills_open_bins_over_many_tasks(spark):
+    """More tasks than one group takes: every piece once, bins gapless, few sequences."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(
+        " ", F.array_repeat(F.lit("word"), (F.col("id") % 7 + 1).cast("int") * 37)).alias("text"))
+    rows = packing.pack(docs.repartition(150, "doc_id"), path).collect()
+    total, seqs = sum(r.length for r in rows), defaultdict(list)
+    assert sorted(r.doc_id for r in rows) == list(range(300))
+    for r in rows:
+        seqs[r.sequence_id].append((r.offset, r.length))
+    for parts in seqs.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(seqs) <= total / 4096 + 8
+
+
+def test_substring_dedup_of_one_id_with_two_texts(spark):
+    """Marks of a text stay with that text: neither the other one nor a neighbour loses words."""
+    w = [f"a{i}" for i in range(70)]
+    own = [f"b{i}" for i in range(40)]
+    rows = [(1, " ".join(w)), (5, " ".join(w)), (5, "three short words"), (6, " ".join(own)),
+            (None, " ".join(own)), (7, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed)
+                 for r in substring_dedup.remove_repeats(docs).collect())
+    assert got == [(0, 40, 0), (1, 70, 0), (5, 3, 0), (5, 70, 70), (6, 40, 0), (7, 0, 0), (7, 0, 0)]
+
+
+def test_sketches_miss_no_repeat(spark):
+    import numpy as np
+
+    from fieldmark.llm import sketch
+    from fieldmark.session import scratch_path
+
+    rng = np.random.default_rng(3)
+    h = rng.integers(1, 1 << 63, 200_000, dtype=np.uint64)
+    h[:5000] = h[5000:10000]  # in one part, and over parts
+    h[-3000:] = h[20000:23000]
+    _, back, n = np.unique(h, return_inverse=True, return_counts=True)
+    repeated = n[back] > 1
+    for apart in (True, False):
+        made = sketch.Sketch(scratch_path(spark, "t"), 2, apart=apart)
+        frame = spark.createDataFrame([(i,) for i in range(4)], "i int").repartition(4, "i")
+
+        def runs(batches):
+            for batch in batches:
+                for i in batch.column("i").to_pylist():
+                    yield made.run(h[i * 50_000:(i + 1) * 50_000])
+
+        made.merge(frame.mapInArrow(runs, sketch.RUN))
+        maybe = made.repeated(h)
+        assert maybe[repeated].all() and maybe[~repeated].mean() < 0.15
+    assert not sketch.Sketch(scratch_path(spark, "t"), 2).repeated(h).any()  # nothing counted
+
+
+def test_chat_roles_of_the_table_stand(spark):
+    turns = spark.createDataFrame(
+        [(1, 0, "gpt", "z"), (2, 0, "human", "q"), (2, 1, "assistant", None), (3, 0, None, "n"),
+         (3, 0, None, "n")], "conv_id long, turn long, role string, text string") \
+        .withColumns({"record": F.lit("clash"), "mask": F.lit("clash")})
+    records = queries.conversation_records(turns)
+    out = chat.format_turns(chat.canonical_turns(records, given_col="t", roles={}))
+    read = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in
+            out.select("conv_id", chat.read_turns(F.col("formatted")).alias("turns")).collect()}
+    assert read == {1: [("gpt", "z")], 2: [("human", "q"), ("assistant", "")],
+                    3: [("", "n"), ("", "n")]}
+    # records of foreign layouts are brought to the known names
+    out = chat.canonical_turns(records, given_col="t").where("conv_id = 1").first()
+    assert out.role == "assistant"
+    assert chat.format_turns(chat.canonical_turns(records.limit(0), given_col="t")).count() == 0
+
+
+STAGE = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_exact_copies_on_odd_rows(spark):
+    rows = [(8, "copied Text", "en", "s", 11), (9, "COPIED text", "en", "s", 11),
+            (8, "another text", "en", "s", 12), (None, "copied text", None, None, None),
+            (None, "no id", "en", None, 5), (None, "no id", "en", None, 5), (3, None, None, "s", 0),
+            (2, "", None, "s", 0), (4, "same row", "en", "s", 8), (4, "same row", "en", "s", 8),
+            (4, "same row", "de", "s", 8)]
+    docs = spark.createDataFrame(rows, STAGE)
+    got = corpus_pipeline.exact_copies(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [
+        (0, "no id"), (3, ""), (4, "same row"), (8, "another text"), (9, "COPIED text")]
+    assert [r.lang for r in got if r.doc_id == 4] == ["de"]
+    assert got[0].__fields__ == list(corpus_pipeline.COLUMNS)
+
+
+def test_pipeline_near_copies_on_odd_rows(spark):
+    w = [f"w{i}" for i in range(60)]
+
+    def text(*at):
+        return " ".join("x" if i in at else x for i, x in enumerate(w))
+
+    other = " ".join(f"o{i}" for i in range(60))
+    rows = [(4, text(59)), (4, other), (2, text(0)), (None, text(1)), (None, other + " more"),
+            (None, "id less words of their own here"), (None, "id less words of their own here too now"),
+            (7, None), (8, ""), (9, " ")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], STAGE)
+    got = corpus_pipeline.near_copies(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([
+        (2, text(0)), (4, other), (0, "id less words of their own here"),
+        (0, "id less words of their own here too now"), (7, ""), (8, ""), (9, " ")])
+
+
+def test_pipeline_on_an_empty_table(spark):
+    docs = spark.createDataFrame([], STAGE)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        assert out.count() == 0
+        if name != "packing":
+            assert out.columns == list(corpus_pipeline.COLUMNS)
