@@ -10,6 +10,7 @@ than how many documents of a part fail which set of filters."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import permutations
 
 import numpy as np
@@ -104,14 +105,8 @@ def _ranks(runs: DataFrame) -> DataFrame:
         rank, "shard long, slice long, n long, ranks binary, words long")
 
 
-def csr_shards(docs: DataFrame) -> DataFrame:
-    """The document-term matrix of ``docs(doc_id, part, text_sha256, text)`` in shards of
-    rows: (shard, doc_id, part, text_sha256, capital, special, indptr, indices, counts), the
-    first columns as arrays with an entry for each row of the shard.
-
-    ``indptr``, ``indices`` (global word numbers, from 0 without gaps) and ``counts`` are
-    little-endian 64-bit integers in bytes.  Words are runs of anything but ASCII white
-    space, told apart by a 64-bit hash; every row of ``docs`` is a row of the matrix."""
+def _numbered(docs: DataFrame) -> tuple[DataFrame, Numbering]:
+    """The written shards, each with the ranks of its words, and what numbers them."""
     slices = slices_for(docs)
     local = save(_local_shards(docs, slices), "shards")
     ranks = save(_ranks(local.select("shard", F.explode("runs").alias("r"))
@@ -119,50 +114,68 @@ def csr_shards(docs: DataFrame) -> DataFrame:
     sizes = np.zeros(slices, np.int64)  # one number a slice
     for r in ranks.groupBy("slice").agg(F.max("words").alias("words")).collect():
         sizes[r["slice"]] = r["words"]
-    before = np.cumsum(sizes) - sizes
     back = ranks.groupBy("shard").agg(F.array_sort(F.collect_list(
         F.struct("slice", "n", "ranks"))).alias("parts"))
+    return local.drop("runs", "n").join(back, "shard", "left"), Numbering(
+        np.cumsum(sizes) - sizes)
+
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@dataclass
+class Numbering:
+    before: np.ndarray  # words in the slices before each slice
+
+    def shards(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(row, indptr, indices, counts) of each shard, its columns numbered globally."""
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.slice(i, 1)
                 ids = [np.zeros(0, np.int64)]
                 for p in row.column("parts")[0].as_py() or []:
                     ids.append(unpack(p["ranks"], p["n"], ascending=True).astype(np.int64)
-                               + before[p["slice"]])
-                ids = np.concatenate(ids)
+                               + self.before[p["slice"]])
                 indptr = np.frombuffer(row.column("indptr")[0].as_buffer(), "<i8")
                 index, counts = (unpack(row.column(c)[0].as_buffer(), int(indptr[-1]))
                                  for c in ("indices", "counts"))
-                yield pa.RecordBatch.from_arrays(
-                    [*[row.column(c) for c in names[:-2]],
-                     pa.array([ids[index.astype(np.int64)].astype("<i8").tobytes()]),
-                     pa.array([counts.astype("<i8").tobytes()])], names)
+                yield row, indptr, np.concatenate(ids)[index.astype(np.int64)], \
+                    counts.astype(np.int64)
+
 
+def csr_shards(docs: DataFrame) -> DataFrame:
+    """The document-term matrix of ``docs(doc_id, part, text_sha256, text)`` in shards of
+    rows: (shard, doc_id, part, text_sha256, capital, special, indptr, indices, counts), the
+    first columns as arrays with an entry for each row of the shard.
+
+    ``indptr``, ``indices`` (global word numbers, from 0 without gaps) and ``counts`` are
+    little-endian 64-bit integers in bytes.  Words are runs of anything but ASCII white
+    space, told apart by a 64-bit hash; every row of ``docs`` is a row of the matrix."""
+    local, numbering = _numbered(docs)
     names = ["shard", "doc_id", "part", "text_sha256", "capital", "special", "indptr", "indices",
              "counts"]
-    return local.drop("runs", "n").join(back, "shard", "left").mapInArrow(
-        number, f"shard long, {_ROWS}, {_MATRIX}")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, _, indices, counts in numbering.shards(batches):
+            yield pa.RecordBatch.from_arrays(
+                [*[row.column(c) for c in names[:-2]],
+                 *[pa.array([x.astype("<i8").tobytes()]) for x in (indices, counts)]], names)
+
+    return local.mapInArrow(run, f"shard long, {_ROWS}, {_MATRIX}")
 
-def row_statistics(shards: DataFrame) -> DataFrame:
+
+def row_statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, part, text_sha256, capital, special, n_words, n_distinct): row sums and
-    nonzero counts of the matrix, one row per matrix row."""
+    nonzero counts of the matrix of :func:`csr_shards`, one row per matrix row."""
+    local, numbering = _numbered(docs)
+    names = ["doc_id", "part", "text_sha256", "capital", "special", "n_words", "n_distinct"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                indptr, counts = (np.frombuffer(batch.column(c)[i].as_buffer(), "<i8")
-                                  for c in ("indptr", "counts"))
-                sums = np.concatenate(([0], np.cumsum(counts)))
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c)[i].values for c in names[:-2]],
-                     pa.array(sums[indptr[1:]] - sums[indptr[:-1]]), pa.array(np.diff(indptr))],
-                    names)
+        for row, indptr, indices, counts in numbering.shards(batches):
+            sums = np.concatenate(([0], np.cumsum(counts)))
+            yield pa.RecordBatch.from_arrays(
+                [*[row.column(c)[0].values for c in names[:-2]],
+                 pa.array(sums[indptr[1:]] - sums[indptr[:-1]]), pa.array(np.diff(indptr))], names)
 
-    names = ["doc_id", "part", "text_sha256", "capital", "special", "n_words", "n_distinct"]
-    return shards.mapInArrow(run, "doc_id long, part string, text_sha256 string, "
-                             "capital boolean, special boolean, n_words long, n_distinct long")
+    return local.mapInArrow(run, "doc_id long, part string, text_sha256 string, "
+                            "capital boolean, special boolean, n_words long, n_distinct long")
 
 
 def filter_flags(docs: DataFrame, min_words: int = 50, min_distinct: int = 65) -> DataFrame:
@@ -176,11 +189,11 @@ def filter_flags(docs: DataFrame, min_words: int = 50, min_distinct: int = 65) -
     other; a row without doc_id neither fails E nor makes others fail it.  An empty table
     gives an empty result."""
     text = F.coalesce("text", F.lit(""))
-    shards = csr_shards(docs.select(
+    matrix = row_statistics(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"),
         sha256_hex(text).alias("text_sha256"), text.alias("text")))
-    rows = save(row_statistics(shards).select(
+    rows = save(matrix.select(
         "doc_id", "part", "text_sha256", (F.col("n_words") < min_words).alias("A"),
         (100 * F.col("n_distinct") < min_distinct * F.col("n_words")).alias("B"),
         F.col("capital").alias("C"), F.col("special").alias("D")), "flags")
