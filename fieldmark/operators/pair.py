@@ -93,7 +93,7 @@ def check_pairs(joined: DataFrame, golden: DataFrame) -> None:
 
     One aggregation over (run, example_id), then a tiny one per run.  Duplicate
     golden ids are caught too (a run can then never reach the golden row count).
-    Predictions without any row name no run, so there is nothing to miss."""
+    Predictions without any row raise as well: there is no run to evaluate."""
     n_golden = golden.count()
     per_id = joined.groupBy("run", "example_id").agg(F.count("*").alias("k"),
                                                      F.min("known").alias("known"))
@@ -101,8 +101,11 @@ def check_pairs(joined: DataFrame, golden: DataFrame) -> None:
         F.count_if("known").alias("ids"), F.count_if(~F.col("known")).alias("strangers"),
         F.max("k").alias("most"))
     bad = ((F.col("ids") != n_golden) | (F.col("strangers") > 0) | (F.col("most") > 1))
-    b = per_run.agg(F.min(F.when(bad, F.struct("run", "ids", "strangers", "most"))).alias("bad")
-                    ).first()["bad"]
+    seen = per_run.agg(F.count("*").alias("runs"), F.min(F.when(bad, F.struct(
+        "run", "ids", "strangers", "most"))).alias("bad")).first()
+    if not seen["runs"]:
+        raise ValueError("no predictions: there is no run to evaluate")
+    b = seen["bad"]
     if b:
         raise ValueError(
             f"run {b['run']!r}: {b['ids']} distinct examples paired (an id at most {b['most']} "

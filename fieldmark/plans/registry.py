@@ -418,6 +418,43 @@ def q_artifact_versions(spark, sf_dir):
     return _round_doubles(compare_stored_runs(spark, root).rows)
 
 
+def q_artifact_retry(spark, sf_dir):
+    """A save that breaks after its examples, repeated with the same time: per run, the rows that
+    readers see, those its line counts, and the attempts left behind."""
+    from datetime import datetime, timezone
+
+    from fieldmark.sources.artifacts import (
+        read_run_examples, read_run_summaries, stage_run, unpublished_attempts, write_run)
+
+    ev, _ = _evaluation(spark, sf_dir)
+    root = scratch_path(spark, "artifacts")
+    created = datetime(2026, 1, 1, tzinfo=timezone.utc)
+    stage_run(ev, root, created=created)  # its line is never written
+    write_run(ev, root, created=created)
+    left = len(unpublished_attempts(spark, root))
+    seen = read_run_examples(spark, root).groupBy("run").agg(F.count("*").alias("n_rows"))
+    return read_run_summaries(spark, root).join(seen, "run").select(
+        F.col("model").alias("run"), "n_examples", "n_rows", F.lit(left).cast("bigint").alias("n_left"))
+
+
+def q_artifact_bad_types(spark, sf_dir):
+    """Faults planted in the stored lines at fixed key residues, found and counted by run."""
+    from fieldmark.sources.artifacts import example_faults, write_run
+
+    ev, _ = _evaluation(spark, sf_dir)
+    root, broken = scratch_path(spark, "artifacts"), scratch_path(spark, "broken_artifacts")
+    write_run(ev, root, model=None)
+    lines = spark.read.schema("value string, attempt string, run string").text(f"{root}/attempts")
+    k = F.regexp_extract("value", r'"example_id":"[^"]*?(\d+)"', 1).cast("bigint")
+    value = F.when(k % 50 == 0, F.regexp_replace("value", r'"overall_score":[^,}]+', '"overall_score":"x"')) \
+        .when(k % 50 == 1, F.regexp_replace("value", r'"passed":(true|false),"latency', '"passed":"yes","latency')) \
+        .when(k % 50 == 2, F.regexp_replace("value", r'"result":', '"outcome":')) \
+        .when(k % 50 == 3, F.substring("value", 1, 40)).otherwise(F.col("value"))
+    lines.select(value.alias("value"), F.regexp_extract("run", r"^(.*)_\d{8}_\d{6}$", 1).alias("run")) \
+        .write.partitionBy("run").text(f"{broken}/examples")
+    return example_faults(spark, broken).groupBy("run", "fault").agg(F.count("*").alias("n"))
+
+
 # -- J1, M1: incomplete runs and bad answers ----------------------------------------
 def q_pair_missing_null(spark, sf_dir):
     """Every seventh prediction taken away: per run, examples, those without a
@@ -537,6 +574,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "golden_jsonl_roundtrip": q_golden_jsonl_roundtrip,
     "artifact_compare": q_artifact_compare,
     "artifact_versions": q_artifact_versions,
+    "artifact_retry": q_artifact_retry,
+    "artifact_bad_types": q_artifact_bad_types,
     "pair_missing_null": q_pair_missing_null,
     "predict_errors": q_predict_errors,
     "latency_p95": q_latency_p95,

@@ -47,7 +47,11 @@ def evaluate_stream(predictions: DataFrame, golden: DataFrame, specs: list[Field
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         with recorded_scratch() as made:
             # writes once what three jobs read; a batch holds some of the examples
-            once = materialize(batch.dropDuplicates(["run", "example_id"]), "stream_batch")
+            # of predictions that differ the first in the order of their JSON, so that a
+            # replay writes the same rows
+            row = F.struct(*batch.columns)
+            once = materialize(batch.groupBy("run", "example_id").agg(
+                F.min_by(row, F.to_json(row)).alias("row")).select("row.*"), "stream_batch")
         (once.join(golden.select(F.col("id").alias("example_id")), "example_id", "left_anti")
          .select("run", "example_id").write.mode("overwrite")
          .parquet(f"{sink}/unmatched/batch_id={batch_id}"))

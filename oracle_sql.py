@@ -581,6 +581,16 @@ SELECT run, 'overall', CAST(count(*) AS BIGINT), {r6('avg(overall_score)')},
 
 Q["artifact_versions"] = Q["compare_runs"]
 
+Q["artifact_retry"] = _ctes() + """
+SELECT run, CAST(count(*) AS BIGINT) AS n_examples, CAST(count(*) AS BIGINT) AS n_rows,
+       CAST(1 AS BIGINT) AS n_left FROM paired GROUP BY run"""
+
+Q["artifact_bad_types"] = _ctes() + """
+SELECT run, CASE k % 50 WHEN 0 THEN 'overall_score is absent or of a wrong type'
+       WHEN 1 THEN 'passed is absent or of a wrong type'
+       WHEN 2 THEN 'field_results lack a required field' ELSE 'malformed JSON' END AS fault,
+       CAST(count(*) AS BIGINT) AS n FROM paired WHERE k % 50 < 4 GROUP BY ALL"""
+
 Q["pair_missing_null"] = _ctes() + f"""
 SELECT run, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (k % 7 = 0) AS BIGINT) AS n_missing,
        {r6('avg(CASE WHEN k % 7 = 0 THEN 0.0 ELSE latency_ms END)')} AS mean_latency_ms,

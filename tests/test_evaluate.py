@@ -551,3 +551,78 @@ def test_latency_p95_is_nearest_rank(spark):
     got = {r["run"]: r["p95_latency_ms"] for r in latency_p95(
         spark.createDataFrame(rows, "run string, latency_ms double")).collect()}
     assert got == {run: sorted(vs)[-(-95 * len(vs) // 100) - 1] for run, vs in values.items()}
+
+
+def test_a_broken_save_is_not_seen_and_can_be_repeated(spark):
+    from datetime import datetime, timezone
+
+    from fieldmark.sources.artifacts import stage_run, unpublished_attempts
+
+    root = scratch_path(spark, "broken_save")
+    g, p, specs = _one_field_runs(spark, ["1", "2"], [("r", "1", "lead"), ("r", "2", "lead")])
+    ev, when = evaluate(g, p, specs), datetime(2026, 5, 1, tzinfo=timezone.utc)
+    broken = stage_run(ev, root, model="m", created=when)
+    assert unpublished_attempts(spark, root) == [broken.attempt]
+    write_run(ev, root, model="m", created=when)
+    assert read_run_examples(spark, root).count() == 2
+    assert read_run_examples(spark, root, runs=["m_20260501_000000"]).count() == 2
+    assert read_run_summaries(spark, root).first()["n_examples"] == 2
+    assert unpublished_attempts(spark, root) == [broken.attempt]
+    with pytest.raises(FileExistsError):
+        write_run(ev, root, model="m", created=when)
+    # two saves at once under one id: the one that was created first, or has the smaller attempt
+    broken.publish()
+    assert read_run_examples(spark, root).count() == 2
+
+
+def test_stored_lines_of_wrong_types_name_their_run(spark, tmp_path):
+    import json
+
+    good = {"example_id": "e", "overall_score": 1.0, "passed": True, "field_results": [
+        {"field": "title", "scorer": "s", "result": {"score": 1, "passed": True, "reason": None}}]}
+    result = good["field_results"][0]
+    bad = {
+        "score": {**good, "field_results": [{**result, "result": {"score": "high", "passed": True}}]},
+        "overall": {**good, "overall_score": "x"}, "id": {**good, "example_id": 3},
+        "lacks": {**good, "field_results": [result, {"field": "title", "scorer": "s"}]},
+        "list": {**good, "field_results": {"a": 1}}, "passed": {**good, "passed": "yes"}}
+    for name, row in bad.items():
+        folder = tmp_path / name / "examples" / f"run=run_{name}"
+        folder.mkdir(parents=True)
+        (folder / "a.json").write_text(json.dumps(good) + "\n\n" + json.dumps({**good, "field_results": []}))
+        assert read_run_examples(spark, str(tmp_path / name)).count() == 2
+        (folder / "b.json").write_text(json.dumps(row))
+        with pytest.raises(Exception, match=f"wrong type: run_{name}/"):
+            read_run_examples(spark, str(tmp_path / name)).collect()
+    (tmp_path / "line" / "runs" / "run=m_7").mkdir(parents=True)
+    (tmp_path / "line" / "runs" / "run=m_7" / "a.json").write_text("not json")
+    with pytest.raises(Exception, match="wrong type: m_7: malformed"):
+        read_run_summaries(spark, str(tmp_path / "line")).collect()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read_run_summaries(spark, str(tmp_path / "nothing"))
+
+
+def test_documents_of_wrong_types_name_their_run(spark, tmp_path):
+    import json
+
+    from fieldmark.sources.artifacts import read_experiment
+
+    ex = {"example_id": "e1", "overall_score": 1.0, "passed": True, "field_results": [
+        {"field": "title", "scorer": "s", "result": {"score": 1.0, "passed": True}}]}
+    doc = {"model": "m", "examples": [ex], "mean_score": 1, "pass_rate": 1.0}
+    for name, value in {
+            "text_score": {**doc, "examples": [ex, {**ex, "overall_score": "x"}]},
+            "text_flag": {**doc, "examples": [{**ex, "passed": "true"}]},
+            "number_model": {**doc, "model": 5}, "text_rate": {**doc, "pass_rate": "0.5"}}.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(value))
+        with pytest.raises(Exception, match=f"wrong type: {name}"):
+            read_experiment(spark, str(tmp_path / f"{name}.json"))[0].collect()
+    (tmp_path / "broken.json").write_text('{"model": "m", "examples": [')
+    with pytest.raises(Exception, match="wrong type: broken"):
+        read_experiment(spark, str(tmp_path / "broken.json"))[0].collect()
+
+
+def test_an_evaluation_without_predictions_raises(spark):
+    g, p, specs = _one_field_runs(spark, ["1"], [("r", "1", "lead")])
+    with pytest.raises(ValueError, match="no predictions"):
+        evaluate(g, p.limit(0), specs)
