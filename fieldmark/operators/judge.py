@@ -136,6 +136,7 @@ class Judge:
     concurrency: int | None = None
     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS
     max_broadcast_chars: int = DEFAULT_BROADCAST_CHARS
+    resolves_verdicts = True  # no field: declared for all judges
 
     # -- pieces -------------------------------------------------------------
     def pair_columns(self, df: DataFrame, expected: str, actual: str):
@@ -192,7 +193,8 @@ class Judge:
         Few pairs: one broadcast hash join, no shuffle of ``df``.  Many pairs: a
         shuffle join in which no key can be hot: pairs standing for more than
         1/(2P) of the rows (P = shuffle partitions; so at most 2P of them, a
-        proven bound) are joined through a broadcast first, and those rows, like
+        proven bound) are joined first, through a broadcast if their reasons are short
+        enough, else by shares of their rows, and those rows, like
         rows the null/empty rules settled, carry a per-row spread key into
         the shuffle join with the remaining verdicts."""
         spark = df.sparkSession
@@ -220,9 +222,17 @@ class Judge:
                     F.col("key").alias("_jkey"))
                 hot = verdicts.join(hot_keys, "_jkey", "left_semi")
                 cold = verdicts.join(hot_keys, "_jkey", "left_anti")
-                first = keyed.join(F.broadcast(hot.select(
-                    "_jkey", *[F.col(c).alias(c + "_h") for c in hot.columns if c != "_jkey"])),
-                    "_jkey", "left")
+                hot = hot.select("_jkey", *[F.col(c).alias(c + "_h") for c in hot.columns
+                                            if c != "_jkey"])
+                if verdict_chars(hot.select(F.col("_reasoning_h").alias("reasoning"),
+                                            F.col(f"{out}_judge_error_h").alias("judge_error"))
+                                 ) <= self.max_broadcast_chars:
+                    first = keyed.join(F.broadcast(hot), "_jkey", "left")
+                else:  # long reasons: each hot verdict goes to all shares of its rows
+                    share = F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int")
+                    hot = hot.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+                    first = keyed.withColumn("_share", share).join(hot, ["_jkey", "_share"], "left") \
+                        .drop("_share")
                 is_hot = F.col("_verdict_h").isNotNull() | F.col(f"{out}_judge_error_h").isNotNull()
                 second = first.withColumn("_jkey", F.when(is_hot, spread).otherwise(F.col("_jkey")))
                 joined = second.join(cold, "_jkey", "left")

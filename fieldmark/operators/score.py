@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,11 +30,39 @@ from fieldmark.schemas import EXAMPLE_PASS
 
 
 class Scorer(Protocol):
+    """Adds a result column ``STRUCT<score, passed, reason>`` to the paired rows."""
+
     name: str
 
     def apply(self, df: DataFrame, expected: str, actual: str, out: str) -> DataFrame: ...
 
 
+class BatchScorer(Scorer, Protocol):
+    """A scorer of distinct (expected, actual) texts, however often they occur.
+
+    Any class with these members takes part: one pass over the written pairs collects the
+    texts of all batch scorers, counts them, and hands each scorer its own.  ``batched`` may
+    be left out (true) or be false for a configuration that scores row by row."""
+
+    batched: bool
+    #: Whether its term comes after the others in the sum of the overall score (doubles with
+    #: many digits last, so that sums do not depend on the order of fields).
+    added_last: bool
+    #: Whether verdicts of several fields are resolved together (see ``operators/judge``).
+    resolves_verdicts: bool
+
+    def pair_columns(self, df: DataFrame, expected: str, actual: str) -> tuple[Column, Column, Column]:
+        """(condition, expected text, actual text): which rows need a score, and of what."""
+
+    def attach(self, df: DataFrame, expected: str, actual: str, out: str, pairs: DataFrame,
+               stats: PairStats) -> DataFrame:
+        """``df`` with the result column, given ``pairs(expected, actual, n_rows)`` and counts."""
+
+
+def declares(scorer, capability: str, default: bool = False) -> bool:
+    return bool(getattr(scorer, capability, default))
+
+
 @dataclass(frozen=True)
 class ExactMatch:
     name: str = "exact_match"
@@ -68,6 +96,7 @@ class FuzzyMatch:
     pass_only: bool = False
     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS
     max_broadcast_chars: int = DEFAULT_BROADCAST_CHARS
+    added_last = True  # no field: declared for all similarities
 
     @property
     def batched(self) -> bool:
@@ -212,12 +241,12 @@ def _judge_verdicts(batch, pairs: DataFrame, counts: dict) -> tuple[dict[str, tu
     (same model, callable and cache) are resolved together: one cache probe,
     one call job, and one size measurement of the group's verdicts (an upper
     bound for every slot's share)."""
-    from fieldmark.operators.judge import Judge, call_group, resolve_verdicts, verdict_chars
+    from fieldmark.operators.judge import call_group, resolve_verdicts, verdict_chars
     from fieldmark.session import scratch_path
 
     groups: dict[tuple, list] = {}
     for n, s in batch:
-        if isinstance(s.scorer, Judge):
+        if declares(s.scorer, "resolves_verdicts"):
             groups.setdefault(call_group(s.scorer), []).append((n, s.scorer))
     out = {}
     calls = None
@@ -242,8 +271,14 @@ def _judge_verdicts(batch, pairs: DataFrame, counts: dict) -> tuple[dict[str, tu
     return out, calls
 
 
+def takes_pairs(scorer) -> bool:
+    """Whether a scorer has the members of :class:`BatchScorer`; the paired rows are then read
+    more than once."""
+    return hasattr(scorer, "attach") and hasattr(scorer, "pair_columns")
+
+
 def _batched(scorer) -> bool:
-    return hasattr(scorer, "attach") and getattr(scorer, "batched", True)
+    return takes_pairs(scorer) and declares(scorer, "batched", True)
 
 
 def score_fields(paired: DataFrame, specs: list[FieldSpec]) -> DataFrame:
@@ -308,7 +343,7 @@ def overall_score(specs: list[FieldSpec]):
     double result never depends on partitioning."""
     firsts = first_wins_columns(specs)
     scorer_of = {s.field: s.scorer for s in reversed(specs)}
-    order = sorted(firsts, key=lambda f: isinstance(scorer_of[f], FuzzyMatch))
+    order = sorted(firsts, key=lambda f: declares(scorer_of[f], "added_last"))
     total = None
     for f in order:
         term = F.col(firsts[f])["score"]

@@ -28,6 +28,7 @@ from fieldmark.operators.score import (
     first_wins_columns,
     result_columns,
     score_fields_with_calls,
+    takes_pairs,
     to_long,
 )
 from fieldmark.operators.validate import DEFAULT_DOMAINS
@@ -167,7 +168,7 @@ def _evaluate(golden, predictions, specs, missing, pass_threshold, weights, pers
         paired = matched(paired, golden)
     else:
         paired = pair(golden, predictions, missing=missing)
-        frame_scorers = any(isinstance(s.scorer, (Judge, FuzzyMatch)) for s in specs)
+        frame_scorers = any(takes_pairs(s.scorer) for s in specs)
         if persist and frame_scorers:
             paired = materialize(paired, "paired")
     flagged = "answer_error" in paired.columns

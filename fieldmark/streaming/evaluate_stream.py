@@ -17,7 +17,8 @@ from pyspark.sql.streaming import StreamingQuery
 from fieldmark.operators.aggregate import run_summary
 from fieldmark.operators.materialize import materialize
 from fieldmark.operators.pair import flatten_golden, flatten_predictions
-from fieldmark.operators.score import FieldSpec, add_overall, field_results_array, score_fields
+from fieldmark.operators.score import (
+    FieldSpec, add_overall, declares, field_results_array, score_fields, takes_pairs)
 from fieldmark.plans.evaluate import evaluate
 from fieldmark.session import free_scratch, recorded_scratch
 
@@ -27,7 +28,7 @@ def score_columns_stream(predictions: DataFrame, golden: DataFrame,
     """Streaming pairs scored by column scorers only (stream-static join on
     example_id; no state is kept)."""
     for s in specs:
-        if hasattr(s.scorer, "attach") and getattr(s.scorer, "batched", True):
+        if takes_pairs(s.scorer) and declares(s.scorer, "batched", True):
             raise ValueError(f"{s.field}: {s.scorer.name} needs evaluate_stream (foreachBatch)")
     paired = flatten_predictions(predictions).join(flatten_golden(golden), "example_id")
     scored = add_overall(score_fields(paired, specs), specs)
