@@ -5,12 +5,16 @@ empty): insert/delete distance normalised by total length.  Spark has no LCS
 built-in, so it runs as an Arrow-batched pandas UDF whose per-pair body is the
 bit-parallel LCS of Allison & Dix / Crochemore et al. (2001) / Hyyrö (2004):
 one pass over the shorter string with a few big-integer operations per
-character, O(len(a) * len(b) / 64) word operations in all.  Everything else
-here (Levenshtein variant, token-set variant) is native Column code around it.
+character, O(len(a) * len(b) / 64) word operations in all.  Near copies do not get
+that far: common ends are taken off, and strings few edits apart are measured by
+their edits.  Everything else here (Levenshtein variant, token-set variant, the bag
+bound) is native Column code.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -20,6 +24,14 @@ from pyspark.sql import types as T
 from fieldmark.functions.text import PY_WHITESPACE_CLASS, as_col
 
 
+#: Edits are counted up to this share of the strings' (geometric mean) length; beyond it the
+#: kernel costs less.
+EDITS_SHARE = 256
+
+#: Characters that the bag bound counts one by one (lower-cased text); all others count as one.
+BAG_CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
 def _match_masks(a: str) -> dict[str, int]:
     """Bit i of masks[ch] is set where a[i] == ch."""
     if len(a) <= 256:
@@ -35,8 +47,54 @@ def _match_masks(a: str) -> dict[str, int]:
     return masks
 
 
+def _equal_run(a: str, b: str, x: int, y: int) -> int:
+    """How many characters of ``a`` from ``x`` equal those of ``b`` from ``y``: slices of doubling,
+    then halving length are compared, so a run costs few steps however long it is."""
+    most = min(len(a) - x, len(b) - y)
+    got, step, growing = 0, 1, True
+    while step:
+        same = got + step <= most and a[x + got:x + got + step] == b[y + got:y + got + step]
+        if same:
+            got += step
+        growing = growing and same
+        step = step * 2 if growing else step // 2
+    return got
+
+
+def edit_distance_within(a: str, b: str, most: int) -> int | None:
+    """Insertions and deletions between two strings, or None if there are more than ``most``.
+
+    For each number of edits, the farthest place reached on every diagonal (Myers 1986); work
+    grows with the square of the edits, hardly with the lengths."""
+    if abs(len(a) - len(b)) > most:
+        return None
+    reached = {1: 0}
+    for edits in range(most + 1):
+        for diagonal in range(-edits, edits + 1, 2):
+            x = max(reached.get(diagonal + 1, -1), reached.get(diagonal - 1, -1) + 1)
+            x += _equal_run(a, b, x, x - diagonal)
+            reached[diagonal] = x
+            if x >= len(a) and x - diagonal >= len(b):
+                return edits
+    return None
+
+
 def lcs_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence of two strings (code points)."""
+    """Length of the longest common subsequence of two strings (code points).
+
+    Common ends count as they are.  Of what is left, strings a few edits apart are measured by
+    their edits; only the others go through the bit-parallel kernel."""
+    head = _equal_run(a, b, 0, 0)
+    a, b = a[head:], b[head:]
+    tail = _equal_run(a[::-1], b[::-1], 0, 0)
+    a, b = a[:len(a) - tail], b[:len(b) - tail]
+    edits = edit_distance_within(a, b, math.isqrt(len(a) * len(b)) // EDITS_SHARE)
+    if edits is None:
+        return head + tail + _lcs_kernel(a, b)
+    return head + tail + (len(a) + len(b) - edits) // 2
+
+
+def _lcs_kernel(a: str, b: str) -> int:
     if len(a) < len(b):
         a, b = b, a
     if not b:
@@ -71,6 +129,20 @@ def lcs(a: Column | str, b: Column | str) -> Column:
     return lcs_udf(as_col(a), as_col(b))
 
 
+def bag_bound(a: Column | str, b: Column | str) -> Column:
+    """An upper bound of the LCS length: what two strings share as bags of characters (those
+    outside BAG_CHARACTERS as one).  All JVM."""
+    def counts(s: Column) -> list[Column]:
+        return [F.length(s) - F.length(F.translate(s, c, "")) for c in BAG_CHARACTERS] + [
+            F.length(F.translate(s, BAG_CHARACTERS, ""))]
+
+    shared = [F.least(x, y) for x, y in zip(counts(as_col(a)), counts(as_col(b)))]
+    total = shared[0]
+    for n in shared[1:]:
+        total = total + n
+    return total
+
+
 def indel_similarity(a: Column | str, b: Column | str) -> Column:
     """2*LCS/(|a|+|b|) in one division; 1.0 for two empty strings, null for nulls."""
     a, b = as_col(a), as_col(b)

@@ -23,6 +23,7 @@ from fieldmark.functions.scorers import (
     list_overlap,
     similarity_of,
 )
+from fieldmark.functions.similarity import bag_bound
 from fieldmark.functions.text import norm
 from fieldmark.operators.joins import DEFAULT_BROADCAST_CHARS, DEFAULT_BROADCAST_ROWS
 from fieldmark.operators.materialize import materialize
@@ -86,8 +87,9 @@ class FuzzyMatch:
     ``pass_only=True`` (indel only) is for checks that need the pass flag and
     not the score: since LCS <= min(|a|, |b|), a pair whose bound
     2*min/(|a|+|b|) is below the threshold fails without any LCS (score
-    null, reason ``ratio<=<bound>``); such pairs reach the UDF as nulls, which
-    it skips (``when`` does not keep a Python UDF from running)."""
+    null, reason ``ratio<=<bound>``), and so does one whose characters, counted as
+    bags, leave no room for it (reason ``ratio<<threshold>``); such pairs reach the
+    UDF as nulls, which it skips (``when`` does not keep a Python UDF from running)."""
 
     name: str = "fuzzy_match"
     threshold: float = 0.8
@@ -105,14 +107,21 @@ class FuzzyMatch:
 
     def _bound_ok(self, fa, fb):
         la, lb = F.length(fa), F.length(fb)
-        return (la + lb == 0) | (F.lit(2.0) * F.least(la, lb) / (la + lb) >= F.lit(self.threshold))
+        bound = F.try_divide(F.lit(2.0) * F.least(la, lb), la + lb)  # may run for empty pairs too
+        return (la + lb == 0) | (bound >= F.lit(self.threshold))
+
+    def _open(self, fa, fb):
+        """Whether neither lengths nor characters settle that a pair fails."""
+        total = F.length(fa) + F.length(fb)
+        bound = F.try_divide(F.lit(2.0) * bag_bound(fa, fb), total)
+        return self._bound_ok(fa, fb) & ((total == 0) | (bound >= F.lit(self.threshold)))
 
     def _ratio(self, fa, fb):
         """Similarity of lower-cased values; with ``pass_only`` only where the
-        length bound leaves the outcome open."""
+        bounds leave the outcome open, else null."""
         if not (self.pass_only and self.metric == "indel"):
             return SIMILARITY[self.metric](fa, fb)
-        ok = self._bound_ok(fa, fb)
+        ok = self._open(fa, fb)
         return SIMILARITY[self.metric](F.when(ok, fa), F.when(ok, fb))
 
     def _result(self, e, a, ratio):
@@ -121,11 +130,13 @@ class FuzzyMatch:
             return res
         fa, fb = F.lower(e.cast("string")), F.lower(a.cast("string"))
         la, lb = F.length(fa), F.length(fb)
-        decided = e.isNotNull() & a.isNotNull() & ~self._bound_ok(fa, fb)
-        bound = F.lit(2.0) * F.least(la, lb) / (la + lb)
+        decided = e.isNotNull() & a.isNotNull() & (ratio.isNull() | ~self._bound_ok(fa, fb))
+        bound = F.try_divide(F.lit(2.0) * F.least(la, lb), la + lb)
+        reason = F.when(self._bound_ok(fa, fb), F.lit(f"ratio<{self.threshold:g}")) \
+            .otherwise(F.concat(F.lit("ratio<="), F.format_number(bound, 2)))
         return F.when(decided, F.struct(
             F.lit(None).cast("double").alias("score"), F.lit(False).alias("passed"),
-            F.concat(F.lit("ratio<="), F.format_number(bound, 2)).alias("reason"))).otherwise(res)
+            reason.alias("reason"))).otherwise(res)
 
     def inline(self, df, expected, actual, out):
         e, a = F.col(expected), F.col(actual)

@@ -196,10 +196,11 @@ def _evaluate(golden, predictions, specs, missing, pass_threshold, weights, pers
 def run_evaluation(spark, golden_path: str, model_fn, model: str, judge_fn, judge_model: str,
                    out_root: str | None = None, save: bool = True, concurrency: int | None = None,
                    cache_path: str | None = None, domains=None,
-                   bad_answers: str = "error") -> Evaluation:
+                   bad_answers: str = "error", answers_path: str | None = None) -> Evaluation:
     """One evaluation run end to end: scan and validate the golden set, ask
     the model for every example (batch job, persisted), score every field,
-    and store the run under ``out_root`` unless ``save`` is off."""
+    and store the run under ``out_root`` unless ``save`` is off.  With
+    ``answers_path`` a run that broke asks only what no finished task answered."""
     from fieldmark.operators.predict import predict
     from fieldmark.sources.artifacts import write_run
     from fieldmark.sources.golden import read_golden
@@ -207,7 +208,7 @@ def run_evaluation(spark, golden_path: str, model_fn, model: str, judge_fn, judg
     golden = (read_golden(spark, golden_path) if domains is None
               else read_golden(spark, golden_path, domains=domains))
     preds = predict(golden, model_fn, run=model, concurrency=concurrency,
-                    domains=DEFAULT_DOMAINS if domains is None else domains)
+                    domains=DEFAULT_DOMAINS if domains is None else domains, store=answers_path)
     ev = evaluate(golden, preds, default_specs(judge_model, judge_fn, cache_path=cache_path,
                                                concurrency=concurrency), bad_answers=bad_answers)
     if save and out_root:

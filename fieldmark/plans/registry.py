@@ -519,6 +519,28 @@ def q_predict_stub(spark, sf_dir):
         "latency_ms", "total_tokens"))
 
 
+def q_predict_resume(spark, sf_dir):
+    """Batch inference over all documents with a store of answers that holds some of them already
+    (stand-in for a broken run: those with even ids): answers in the store before and added by
+    the call, and what the predictions add up to."""
+    from fieldmark.operators.predict import (
+        documents_as_golden, predict, read_answers, stub_extractor)
+
+    ensure_checkpoint_dir(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    store = scratch_path(spark, "answers")
+    predict(documents_as_golden(docs.where("doc_id % 2 = 0")), stub_extractor, run="stub",
+            store=store, persist=False)
+    before = read_answers(spark, store, "stub").count()
+    preds = predict(documents_as_golden(docs), stub_extractor, run="stub", store=store)
+    asked = read_answers(spark, store, "stub").count() - before
+    return preds.groupBy("run").agg(
+        F.count("job_info").alias("n"), F.sum("total_tokens").cast("bigint").alias("total_tokens"),
+        F.sum(F.size("job_info.skills")).cast("bigint").alias("n_skills")).select(
+        "*", F.lit(before).cast("bigint").alias("n_before"),
+        F.lit(asked).cast("bigint").alias("n_asked"))
+
+
 def q_label_eval(spark, sf_dir):
     """Exact-match scoring of two label columns against simple rules, by source:
     quality predicted as 1 when a document has at least 500 characters,
@@ -580,5 +602,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "predict_errors": q_predict_errors,
     "latency_p95": q_latency_p95,
     "predict_stub": q_predict_stub,
+    "predict_resume": q_predict_resume,
     "label_eval": q_label_eval,
 }

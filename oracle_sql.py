@@ -632,6 +632,14 @@ SELECT 'stub' AS run, 'doc_' || CAST(doc_id AS VARCHAR) AS example_id,
        CAST(ceil(length({_PROMPT}) / 4.0) AS BIGINT) AS total_tokens
 FROM documents"""
 
+Q["predict_resume"] = f"""
+SELECT 'stub' AS run, count(*) AS n,
+       CAST(sum(CAST(ceil(length({_PROMPT}) / 4.0) AS BIGINT)) AS BIGINT) AS total_tokens,
+       CAST(sum(len(list_filter({_SKILL_LIST}, lambda s: contains(lower(text), s)))) AS BIGINT) AS n_skills,
+       count(DISTINCT doc_id) FILTER (doc_id % 2 = 0) AS n_before,
+       count(DISTINCT doc_id) FILTER (doc_id % 2 <> 0) AS n_asked
+FROM documents"""
+
 Q["label_eval"] = f"""
 WITH s AS (
   SELECT d.source, CASE WHEN lower(CAST(l.quality AS VARCHAR)) = (CASE WHEN d.n_chars >= 500 THEN '1' ELSE '0' END)
