@@ -28,6 +28,9 @@ from fieldmark.functions.text import PY_WHITESPACE_CLASS, as_col
 #: kernel costs less.
 EDITS_SHARE = 256
 
+#: Strings with fewer characters together go to the kernel as they are.
+SHORT = 64
+
 #: Characters that the bag bound counts one by one (lower-cased text); all others count as one.
 BAG_CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
@@ -83,7 +86,9 @@ def lcs_length(a: str, b: str) -> int:
     """Length of the longest common subsequence of two strings (code points).
 
     Common ends count as they are.  Of what is left, strings a few edits apart are measured by
-    their edits; only the others go through the bit-parallel kernel."""
+    their edits; only the others, and short ones, go through the bit-parallel kernel."""
+    if len(a) + len(b) < SHORT:
+        return _lcs_kernel(a, b)
     head = _equal_run(a, b, 0, 0)
     a, b = a[head:], b[head:]
     tail = _equal_run(a[::-1], b[::-1], 0, 0)
