@@ -437,6 +437,23 @@ def q_artifact_retry(spark, sf_dir):
         F.col("model").alias("run"), "n_examples", "n_rows", F.lit(left).cast("bigint").alias("n_left"))
 
 
+def q_stored_quantiles(spark, sf_dir):
+    """Both runs stored, their stored sketches merged over the runs: count, least and greatest
+    value of each measure, and how many of four quantiles lie within twice the stated rank
+    error of their exact ranks among all stored values."""
+    from fieldmark.operators import sketches as sk
+    from fieldmark.sources.artifacts import read_run_examples, read_sketches, write_run
+
+    ev, _ = _evaluation(spark, sf_dir)
+    root = scratch_path(spark, "artifacts")
+    write_run(ev, root)
+    keys = ("field", "measure")
+    merged = sk.merge(read_sketches(spark, root), keys)
+    gaps = sk.rank_gaps(sk.measure_values(read_run_examples(spark, root)), sk.quantiles(merged), keys)
+    near = gaps.groupBy(*keys).agg(F.count_if(F.col("gap") <= 2 * sk.rank_error()).alias("n_near"))
+    return _round_doubles(merged.drop("sketch").join(near, list(keys)))
+
+
 def q_artifact_bad_types(spark, sf_dir):
     """Faults planted in the stored lines at fixed key residues, found and counted by run."""
     from fieldmark.sources.artifacts import example_faults, write_run
@@ -597,6 +614,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "artifact_compare": q_artifact_compare,
     "artifact_versions": q_artifact_versions,
     "artifact_retry": q_artifact_retry,
+    "stored_quantiles": q_stored_quantiles,
     "artifact_bad_types": q_artifact_bad_types,
     "pair_missing_null": q_pair_missing_null,
     "predict_errors": q_predict_errors,

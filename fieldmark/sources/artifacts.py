@@ -1,9 +1,10 @@
 """Versioned run artifacts.
 
-A save writes two datasets under one root:
+A save writes three datasets under one root:
 
 * ``attempts/attempt=<id>/run=<run>/``: one JSON line per example with its nested field
   results, overall score, pass flag, latency and tokens;
+* ``sketches/attempt=<id>/``: per run and measure a quantile sketch (``read_sketches``);
 * ``saves/``: one line per run with the run-level scalars, the model, the judge model, the UTC
   creation time and the attempt that holds the examples.
 
@@ -32,6 +33,7 @@ from pyspark.sql import types as T
 
 from fieldmark.operators.aggregate import run_summary
 from fieldmark.operators.materialize import materialize
+from fieldmark.operators.sketches import measure_values, sketch
 from fieldmark.schemas import EXAMPLE_REPORT, EXPERIMENT
 
 EXAMPLE_ROW = T.StructType([T.StructField("run", T.StringType())] + EXAMPLE_REPORT.fields)
@@ -115,6 +117,7 @@ def stage_run(ev, root: str, model: str | None = None, judge: str | None = None,
     examples = ev.scored.select(artifact.alias("run"), "example_id", "field_results",
                                 "overall_score", "passed", "latency_ms", "total_tokens")
     examples.write.partitionBy("run").format(fmt).save(f"{root}/attempts/attempt={attempt}")
+    sketch(measure_values(examples)).write.parquet(f"{root}/sketches/attempt={attempt}")
     return Staged(root, attempt, runs, fmt)
 
 
@@ -160,15 +163,7 @@ def example_faults(spark: SparkSession, root: str, runs: list[str] | None = None
 
 
 def _published(spark: SparkSession, root: str, runs: list[str] | None, fmt: str) -> DataFrame | None:
-    stored = _stored_runs(spark, root, fmt)
-    if stored is None:
-        return None
-    stored = stored.where("attempt is not null")
-    if runs:
-        stored = stored.where(F.col("run").isin(*runs))
-    # one line a run: of two saves at once under one id the earlier one stands
-    named = stored.groupBy("run").agg(F.min(F.struct("created_at", "attempt"))["attempt"]
-                                      .alias("attempt")).collect()
+    named = _named_attempts(spark, root, runs, fmt)
     if not named:
         return None
     rows = _example_rows(spark, f"{root}/attempts", "attempt string, run string", fmt)
@@ -178,6 +173,47 @@ def _published(spark: SparkSession, root: str, runs: list[str] | None, fmt: str)
     return rows.join(F.broadcast(pairs), ["run", "attempt"], "left_semi").drop("attempt")
 
 
+def _named_attempts(spark: SparkSession, root: str, runs: list[str] | None, fmt: str) -> list:
+    """(run, attempt) of the stored lines, a few rows."""
+    stored = _stored_runs(spark, root, fmt)
+    if stored is None:
+        return []
+    stored = stored.where("attempt is not null")
+    if runs:
+        stored = stored.where(F.col("run").isin(*runs))
+    # one line a run: of two saves at once under one id the earlier one stands
+    return stored.groupBy("run").agg(F.min(F.struct("created_at", "attempt"))["attempt"]
+                                     .alias("attempt")).collect()
+
+
+def read_sketches(spark: SparkSession, root: str, runs: list[str] | None = None,
+                  fmt: str = "json") -> DataFrame:
+    """(run, field, measure, n, min_value, max_value, sketch) of the stored ``runs`` (of all by
+    default), from their attempts' folders alone.  A run that was stored without sketches (before
+    they were, or without attempts) gets them from its examples; a root without runs has none."""
+    named = _named_attempts(spark, root, runs, fmt)
+    pairs = spark.createDataFrame([(r["run"], r["attempt"]) for r in named], "run string, attempt string")
+    schema = "run string, field string, measure string, n bigint, min_value double, " \
+        "max_value double, sketch binary"
+    try:
+        rows = spark.read.schema(schema + ", attempt string").parquet(f"{root}/sketches") \
+            .where(F.col("attempt").isin(*{r["attempt"] for r in named}))  # prunes partitions
+        kept = rows.join(F.broadcast(pairs), ["run", "attempt"], "left_semi").drop("attempt")
+    except AnalysisException as e:
+        if (e.getCondition() or "") != "PATH_NOT_FOUND":
+            raise
+        kept = spark.createDataFrame([], schema)
+    have = {r["run"] for r in kept.select("run").distinct().collect()}
+    wanted = read_run_summaries(spark, root, fmt).where("n_examples > 0").select("run")
+    if runs:
+        wanted = wanted.where(F.col("run").isin(*runs))
+    lacking = [r["run"] for r in wanted.distinct().collect() if r["run"] not in have]
+    if not lacking:
+        return kept
+    again = sketch(measure_values(read_run_examples(spark, root, lacking, fmt)))
+    return kept.unionByName(again)
+
+
 def _flat_examples(spark: SparkSession, root: str, runs: list[str] | None, fmt: str) -> DataFrame | None:
     rows = _example_rows(spark, f"{root}/examples", "run string", fmt)
     return rows.where(F.col("run").isin(*runs)) if runs and rows is not None else rows

@@ -20,18 +20,21 @@ STRING_PATHS = {
 def read_golden(spark: SparkSession, path: str, on_error: str | None = "raise",
                 domains: dict[str, list[str]] = DEFAULT_DOMAINS):
     """Read a golden set: whitespace around a line is ignored and blank lines
-    are skipped; ``line_order`` keeps file order (it increases with the file's
-    position, which Spark has no other notion of).
+    are skipped; ``line_order`` sorts as the lines stand in the files: by file path, by the
+    byte offset of the block a task read (a file is split among tasks, and tasks get blocks
+    of several files by size, not in order), then by place in the block.
 
     ``on_error``: ``'raise'`` (first bad record stops the load), ``'split'``
     (returns (good, bad)), or ``None`` (no checks).  A typed read cannot tell an
     absent ``skills`` key (defaults to ``[]``) from an explicit ``null`` (an
     error), nor text from numbers, so types are checked on the parsed line.  A
     line that is no JSON is a bad record like any other."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"),
+                     F.col("_metadata.file_block_start").alias("block_start"),
+                     F.monotonically_increasing_id().alias("line"))
     lines = (spark.read.text(path)
-             .select(py_strip(F.col("value")).alias("line"))
-             .where(F.length("line") > 0)
-             .withColumn("line_order", F.monotonically_increasing_id()))
+             .select(py_strip(F.col("value")).alias("line"), place.alias("line_order"))
+             .where(F.length("line") > 0))
     rec = F.from_json("line", GOLDEN)
     # The typed read turns a JSON number into a string and a wrong type into a null; the
     # variant keeps the JSON type of each value.

@@ -585,6 +585,15 @@ Q["artifact_retry"] = _ctes() + """
 SELECT run, CAST(count(*) AS BIGINT) AS n_examples, CAST(count(*) AS BIGINT) AS n_rows,
        CAST(1 AS BIGINT) AS n_left FROM paired GROUP BY run"""
 
+Q["stored_quantiles"] = _with_scored(
+    "vals AS (SELECT field, 'score' AS measure, score AS value FROM long UNION ALL "
+    "SELECT '*', 'overall_score', overall_score FROM scored UNION ALL "
+    "SELECT '*', 'latency_ms', latency_ms FROM scored UNION ALL "
+    "SELECT '*', 'total_tokens', CAST(total_tokens AS DOUBLE) FROM scored)") + f"""
+SELECT field, measure, CAST(count(*) AS BIGINT) AS n, {r6('min(value)')} AS min_value,
+       {r6('max(value)')} AS max_value, CAST(4 AS BIGINT) AS n_near
+FROM vals WHERE value IS NOT NULL GROUP BY field, measure"""
+
 Q["artifact_bad_types"] = _ctes() + """
 SELECT run, CASE k % 50 WHEN 0 THEN 'overall_score is absent or of a wrong type'
        WHEN 1 THEN 'passed is absent or of a wrong type'
