@@ -437,6 +437,34 @@ def q_artifact_retry(spark, sf_dir):
         F.col("model").alias("run"), "n_examples", "n_rows", F.lit(left).cast("bigint").alias("n_left"))
 
 
+def q_artifact_documents(spark, sf_dir):
+    """All scored examples as run documents (stand-in: about 1,000 examples each), read back
+    through the data source: examples and tokens per model, results and score sums per field."""
+    from fieldmark.sources.documents import read_run_documents
+
+    ev, _ = _evaluation(spark, sf_dir)
+    scored = ev.scored.select("run", "example_id", "field_results", "overall_score", "passed",
+                              "latency_ms", "total_tokens")
+    parts = scored.count() // 1000 + 1
+    example = F.struct(*[c for c in scored.columns if c != "run"])
+    docs = scored.withColumn("part", F.pmod(F.xxhash64("example_id"), F.lit(parts))) \
+        .groupBy("run", "part").agg(
+            F.collect_list(example).alias("examples"), F.avg("overall_score").alias("mean_score"),
+            F.avg(F.col("passed").cast("double")).alias("pass_rate"),
+            F.sum("total_tokens").alias("total_tokens"))
+    path = scratch_path(spark, "run_documents")
+    docs.select(F.concat_ws("_", "run", "part").alias("doc"), F.to_json(F.struct(
+        F.col("run").alias("model"), "examples", "mean_score", "pass_rate", "total_tokens"))) \
+        .write.partitionBy("doc").text(path)
+    runs, examples = read_run_documents(spark, path)
+    models = runs.groupBy(F.lit("model").alias("kind"), F.col("model").alias("name")).agg(
+        F.sum("n_examples").alias("n"), F.sum("total_tokens").cast("double").alias("total"))
+    fields = examples.select(F.inline("field_results")) \
+        .groupBy(F.lit("field").alias("kind"), F.col("field").alias("name")).agg(
+        F.count("*").alias("n"), F.sum("result.score").alias("total"))
+    return _round_doubles(models.unionByName(fields))
+
+
 def q_stored_quantiles(spark, sf_dir):
     """Both runs stored, their stored sketches merged over the runs: count, least and greatest
     value of each measure, and how many of four quantiles lie within twice the stated rank
@@ -614,6 +642,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "artifact_compare": q_artifact_compare,
     "artifact_versions": q_artifact_versions,
     "artifact_retry": q_artifact_retry,
+    "artifact_documents": q_artifact_documents,
     "stored_quantiles": q_stored_quantiles,
     "artifact_bad_types": q_artifact_bad_types,
     "pair_missing_null": q_pair_missing_null,

@@ -585,6 +585,12 @@ Q["artifact_retry"] = _ctes() + """
 SELECT run, CAST(count(*) AS BIGINT) AS n_examples, CAST(count(*) AS BIGINT) AS n_rows,
        CAST(1 AS BIGINT) AS n_left FROM paired GROUP BY run"""
 
+Q["artifact_documents"] = _with_scored() + f"""
+SELECT 'model' AS kind, run AS name, CAST(count(*) AS BIGINT) AS n,
+       {r6('CAST(sum(total_tokens) AS DOUBLE)')} AS total FROM scored GROUP BY run
+UNION ALL
+SELECT 'field', field, CAST(count(*) AS BIGINT), {r6('sum(score)')} FROM long GROUP BY field"""
+
 Q["stored_quantiles"] = _with_scored(
     "vals AS (SELECT field, 'score' AS measure, score AS value FROM long UNION ALL "
     "SELECT '*', 'overall_score', overall_score FROM scored UNION ALL "
