@@ -455,7 +455,7 @@ def q_artifact_documents(spark, sf_dir):
     path = scratch_path(spark, "run_documents")
     docs.select(F.concat_ws("_", "run", "part").alias("doc"), F.to_json(F.struct(
         F.col("run").alias("model"), "examples", "mean_score", "pass_rate", "total_tokens"))) \
-        .write.partitionBy("doc").text(path)
+        .write.partitionBy("doc").option("compression", "gzip").text(path)
     runs, examples = read_run_documents(spark, path)
     models = runs.groupBy(F.lit("model").alias("kind"), F.col("model").alias("name")).agg(
         F.sum("n_examples").alias("n"), F.sum("total_tokens").cast("double").alias("total"))

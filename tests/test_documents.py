@@ -63,3 +63,25 @@ def test_faulty_documents_name_their_run(spark, tmp_path):
         (tmp_path / f"{name}.json").write_text(text)
         with pytest.raises(Exception, match=f"wrong type: {name}:"):
             read_run_documents(spark, str(tmp_path / f"{name}.json"))[0].collect()
+
+
+def test_tasks_share_many_documents_and_know_their_own_files_only(spark, tmp_path):
+    import pickle
+
+    from fieldmark.sources.documents import EXAMPLES, TASKS_A_PARTITION, RunDocumentReader, RunDocuments
+
+    bound = TASKS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = bound + 5
+    for i in range(n):
+        (tmp_path / f"m_{i}.json").write_text(json.dumps(_doc(i % 3)))
+    runs, examples = read_run_documents(spark, str(tmp_path))
+    assert examples.rdd.getNumPartitions() == bound
+    assert {r["run"]: r["n_examples"] for r in runs.collect()} == {f"m_{i}": i % 3 for i in range(n)}
+    assert examples.count() == sum(i % 3 for i in range(n))
+    paths = [f"/folder/{i}.json" for i in range(10_000)]
+    source = RunDocuments({"paths": json.dumps(paths), "tasks": "7"})
+    reader = source.reader(EXAMPLES)
+    parts = reader.partitions()
+    assert isinstance(reader, RunDocumentReader) and len(parts) == 7
+    assert sorted(p for part in parts for p in part.paths) == sorted(paths)
+    assert len(pickle.dumps(reader)) < 10_000 and len(pickle.dumps(source)) < 10_000
