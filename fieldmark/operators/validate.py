@@ -65,9 +65,10 @@ def validate(df: DataFrame, on_error: str = "raise", checks: list[Column] | None
     v = violations(df, checks, domains)
     bad = v.where(F.size("violations") > 0)
     if on_error == "raise":
-        first = bad.limit(1).collect()
+        # an aggregate reads all parts at once; a limit would try them a few at a time
+        first = bad.agg(F.first(F.struct(*bad.columns)).alias("row")).first()["row"]
         if first:
-            raise ValueError(f"invalid record: {first[0].asDict(recursive=True)}")
+            raise ValueError(f"invalid record: {first.asDict(recursive=True)}")
         return df
     if on_error == "split":
         return v.where(F.size("violations") == 0).drop("violations"), bad
