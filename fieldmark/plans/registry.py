@@ -484,19 +484,20 @@ def q_stored_quantiles(spark, sf_dir):
 
 def q_artifact_bad_types(spark, sf_dir):
     """Faults planted in the stored lines at fixed key residues, found and counted by run."""
-    from fieldmark.sources.artifacts import example_faults, write_run
+    from fieldmark.sources.artifacts import example_faults, write_by_run, write_run
 
     ev, _ = _evaluation(spark, sf_dir)
     root, broken = scratch_path(spark, "artifacts"), scratch_path(spark, "broken_artifacts")
     write_run(ev, root, model=None)
     lines = spark.read.schema("value string, attempt string, run string").text(f"{root}/attempts")
-    k = F.regexp_extract("value", r'"example_id":"[^"]*?(\d+)"', 1).cast("bigint")
+    lines = lines.withColumn("k", F.regexp_extract("value", r'"example_id":"[^"]*?(\d+)"', 1).cast("bigint"))
+    k = F.col("k")
     value = F.when(k % 50 == 0, F.regexp_replace("value", r'"overall_score":[^,}]+', '"overall_score":"x"')) \
         .when(k % 50 == 1, F.regexp_replace("value", r'"passed":(true|false),"latency', '"passed":"yes","latency')) \
         .when(k % 50 == 2, F.regexp_replace("value", r'"result":', '"outcome":')) \
         .when(k % 50 == 3, F.substring("value", 1, 40)).otherwise(F.col("value"))
-    lines.select(value.alias("value"), F.regexp_extract("run", r"^(.*)_\d{8}_\d{6}$", 1).alias("run")) \
-        .write.partitionBy("run").text(f"{broken}/examples")
+    planted = lines.select(value.alias("value"), F.regexp_extract("run", r"^(.*)_\d{8}_\d{6}$", 1).alias("run"))
+    write_by_run(planted, f"{broken}/examples", "text")
     return example_faults(spark, broken).groupBy("run", "fault").agg(F.count("*").alias("n"))
 
 

@@ -28,3 +28,20 @@ def test_golden_lines_are_parsed_once(spark, sf_small):
         assert len(re.findall("parseJson", _plan(df))) == 1
         assert len(re.findall("from_json", _plan(df))) == 1
     assert good.count() == golden.count() and bad.count() == 0
+
+
+def test_stored_lines_are_parsed_once_and_packed(spark, sf_small, monkeypatch):
+    monkeypatch.setattr(artifacts, "FILE_ROWS", 40)
+    golden, preds = fixture(spark, sf_small)
+    root = scratch_path(spark, "growth").replace("file:", "", 1)
+    with evaluate(golden, preds, default_specs("stub", token_overlap_judge)) as ev:
+        write_run(ev, root)
+        want = {tuple(r) for r in ev.scored.select("example_id", "overall_score", "passed").collect()}
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    files = glob.glob(f"{root}/attempts/*/*/part-*")
+    assert files and all(f.endswith(".gz") for f in files)
+    assert max(spark.read.text(f).count() for f in files) <= 40
+    back = read_run_examples(spark, root)
+    plan = _plan(back)
+    assert len(re.findall("parseJson", plan)) == 1 and len(re.findall("from_json", plan)) == 1
+    assert {tuple(r) for r in back.select("example_id", "overall_score", "passed").collect()} == want
