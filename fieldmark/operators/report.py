@@ -16,8 +16,10 @@ def example_table(long: DataFrame, examples: DataFrame, fields: list[str] = FIEL
 
     ``long``: field results (run, example_id, pos, field, ...); ``examples``:
     (run, example_id, category, overall_score, passed).  The pivot is a
-    ``groupBy`` on (run, example_id) with an explicit field list."""
-    wide = pivot_fields(first_wins(long), ["run", "example_id"], fields)
+    ``groupBy`` on (run, example_id) with an explicit field list; the results are dealt by
+    these keys first, which serves first-wins, pivot and join with one shuffle of them."""
+    dealt = long.select("run", "example_id", "pos", "field", "score").repartition("run", "example_id")
+    wide = pivot_fields(first_wins(dealt, score_only=True), ["run", "example_id"], fields)
     out = examples.select("run", "example_id", "category", "overall_score", "passed").join(
         wide, ["run", "example_id"], "left")
     return out.select(

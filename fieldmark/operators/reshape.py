@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from fieldmark.schemas import FIELDS
 
 
-def first_wins(long: DataFrame, keys: tuple[str, ...] = ("run", "example_id")) -> DataFrame:
+def first_wins(long: DataFrame, keys: tuple[str, ...] = ("run", "example_id"),
+               score_only: bool = False) -> DataFrame:
     """Keep the first result (smallest ``pos``) of each field of each example.
 
     ``min_by`` is an ordinary aggregate, so Spark reduces duplicates inside
-    each map task before the shuffle on (keys, field)."""
+    each map task before the shuffle on (keys, field).  With ``score_only`` the other
+    columns of a result are left out, and numbers alone need no sort."""
+    if score_only:
+        return long.groupBy(*keys, "field").agg(F.min("pos").alias("pos"),
+                                                F.min_by("score", "pos").alias("score"))
     res = F.min_by(F.struct("scorer", "score", "passed", "reason"), F.col("pos"))
     return (long.groupBy(*keys, "field")
             .agg(F.min("pos").alias("pos"), res.alias("_r"))

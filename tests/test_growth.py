@@ -19,17 +19,6 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_golden_lines_are_parsed_once(spark, sf_small):
-    golden, _ = fixture(spark, sf_small)
-    path = scratch_path(spark, "growth_golden")
-    write_golden(golden, path)
-    good, bad = read_golden(spark, path, on_error="split", domains=FIXTURE_DOMAINS)
-    for df in (good, bad):
-        assert len(re.findall("parseJson", _plan(df))) == 1
-        assert len(re.findall("from_json", _plan(df))) == 1
-    assert good.count() == golden.count() and bad.count() == 0
-
-
 def test_stored_lines_are_parsed_once_and_packed(spark, sf_small, monkeypatch):
     monkeypatch.setattr(artifacts, "FILE_ROWS", 40)
     golden, preds = fixture(spark, sf_small)
@@ -47,6 +36,17 @@ def test_stored_lines_are_parsed_once_and_packed(spark, sf_small, monkeypatch):
     assert {tuple(r) for r in back.select("example_id", "overall_score", "passed").collect()} == want
 
 
+def test_golden_lines_are_parsed_once(spark, sf_small):
+    golden, _ = fixture(spark, sf_small)
+    path = scratch_path(spark, "growth_golden")
+    write_golden(golden, path)
+    good, bad = read_golden(spark, path, on_error="split", domains=FIXTURE_DOMAINS)
+    for df in (good, bad):
+        assert len(re.findall("parseJson", _plan(df))) == 1
+        assert len(re.findall("from_json", _plan(df))) == 1
+    assert good.count() == golden.count() and bad.count() == 0
+
+
 def test_verdicts_are_written_once_and_shuffled_by_short_keys(spark, sf_small):
     golden, preds = fixture(spark, sf_small)
     specs = default_specs("stub", token_overlap_judge)
@@ -76,3 +76,11 @@ def test_texts_with_the_separator_are_judged_once_a_key(spark):
     preds = spark.createDataFrame([("r", "e1", info("c"), 1.0, 1), ("r", "e2", info("b||c"), 1.0, 1)], PREDICTIONS)
     ev = evaluate(golden, preds, default_specs("stub", token_overlap_judge))
     assert ev.scored.count() == 2  # one key for both pairs: a repeated verdict would double rows
+
+
+def test_table_of_long_results_is_shuffled_once(spark, sf_small):
+    golden, preds = fixture(spark, sf_small)
+    ev = evaluate(golden, preds, default_specs("stub", token_overlap_judge))
+    plan = _plan(example_table(ev.long, ev.examples))
+    assert len(re.findall("Exchange hashpartitioning", plan)) <= 2
+    assert "SortAggregate" not in plan
