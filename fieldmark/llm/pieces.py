@@ -29,15 +29,20 @@ MARK = "▁"
 #: A character outside all pieces scores this much less than the lowest piece.
 UNKNOWN_PENALTY = 10.0
 
+#: Most units a worker remembers; beyond it its table starts anew (this changes the work,
+#: not the results).
+MAX_UNITS = 1_000_000
+#: Rows decoded at once.
+PART_ROWS = 500
 _MODELS: dict[str, "Pieces"] = {}
+_VOCABULARIES: dict[str, "Vocabulary"] = {}
 
 
-class Pieces:
-    """The automaton and both mappings of one model file."""
+class Vocabulary:
+    """The texts of a model file's pieces, which is all that decoding needs."""
 
     def __init__(self, path: str):
         import sentencepiece
-        from ahocorasick import Automaton
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.vocab_size()
@@ -47,11 +52,26 @@ class Pieces:
         self.bytes = [bytes([byte_of[i]]) if i in byte_of else
                       b"" if model.is_control(i) or model.is_unknown(i) else
                       model.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]
+
+    def decode(self, ids: list[int]) -> str:
+        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")[1:]
+
+
+class Pieces(Vocabulary):
+    """The automaton and both mappings of one model file."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+        from ahocorasick import Automaton
+
+        super().__init__(path)
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        byte_pieces = set(self.byte_ids.values())
         self.automaton = Automaton()
         scores, white, joined = [], set(), set()
-        for i in range(n):
+        for i in range(model.vocab_size()):
             piece = model.id_to_piece(i)
-            if i in byte_of or model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
+            if i in byte_pieces or model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 continue
             inner = piece.replace(MARK, " ").lstrip(" ")
             if " " in inner:
@@ -66,7 +86,7 @@ class Pieces:
         self.white = re.compile(f"[{''.join(sorted(white))}]".encode()) if white else None
         #: Punctuation that no piece holds behind a letter or digit.
         self.cuts = "".join(c for c in PUNCTUATION if c not in joined)
-        self.table = UnitTable(self.encode_units)
+        self.table = UnitTable(self.encode_units, MAX_UNITS)
 
     def best(self, unit: str) -> tuple[list[int], float]:
         """Ids and score of the best segmentation; of equal ones, the first met (longer
@@ -98,9 +118,6 @@ class Pieces:
     def encode_units(self, units: list[str]) -> Iterator[list[int]]:
         return (self.best(u)[0] for u in units)
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")[1:]
-
 
 def model(path: str) -> Pieces:
     if path not in _MODELS:
@@ -108,6 +125,12 @@ def model(path: str) -> Pieces:
     return _MODELS[path]
 
 
+def vocabulary(path: str) -> Vocabulary:
+    if path not in _VOCABULARIES:
+        _VOCABULARIES[path] = Vocabulary(path)
+    return _VOCABULARIES[path]
+
+
 def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``ids array<int>`` in place of ``text_col``, other columns kept.  A null
     or empty text has no ids; rows are encoded each for itself."""
@@ -118,7 +141,6 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_path)
         for batch in batches:
-            ids, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
             for block in blocks(batch.column(text_col), m.cuts):
                 start, end, doc = block.units()
                 at = m.table.find(block, start, end, block.hashes(start, end))
@@ -132,14 +154,11 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFram
                             each[i] = np.array(m.best(text.decode())[0], np.int32)
                             size[i] = len(each[i])
                     own = np.concatenate(each)
-                ids.append(own)
-                sizes.append(size)
-            ends = np.cumsum(np.concatenate(sizes)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(
-                pa.array(ends), pa.array(np.concatenate(ids)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(f.name) for f in keep] + [lists],
-                [f.name for f in keep] + ["ids"])
+                ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(own))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(f.name).slice(block.first, block.texts) for f in keep] + [lists],
+                    [f.name for f in keep] + ["ids"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     marked = F.when(text != "", F.concat(F.lit(" "), text)).otherwise("")
@@ -153,8 +172,8 @@ def decode(encoded: DataFrame, model_path: str, text_col: str = "text") -> DataF
                        [f"`{text_col}` string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(model_path)
-        for batch in batches:
+        m = vocabulary(model_path)
+        for batch in (b.slice(i, PART_ROWS) for b in batches for i in range(0, b.num_rows, PART_ROWS)):
             text = [m.decode(x.values.to_pylist()) if x.is_valid else "" for x in
                     batch.column("ids")]
             yield pa.RecordBatch.from_arrays(

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 
-from fieldmark.llm import jaccard_join, words
+from fieldmark.llm import jaccard_join, pieces, words
 from fieldmark.llm.words import CODES_LOWER, blocks, mix, parts, shingles
 
 
@@ -41,3 +42,12 @@ def test_blocks_and_parts_are_small():
     for p in got:
         assert p.num_rows == 1 or sum(len(t or "") for t in p["text"].to_pylist()) <= words.BLOCK
     assert not list(parts(batch.slice(0, 0), "text"))
+
+
+def test_decoding_builds_no_automaton():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    held, encoder = pieces.vocabulary(path), pieces.model(path)
+    assert not hasattr(held, "automaton") and not hasattr(held, "table")
+    for text in ("a plain text", "x\ty  ▁ z\n", "ünï 漢字 \U0001F600"):
+        assert held.decode(encoder.best(" " + text)[0]) == text
+    assert encoder.table.max_units <= 1_000_000
