@@ -20,7 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldmark.llm.words import parts
+
 ORDER = 5
+#: Characters whose n-grams are looked up at once; a longer text is a block of its own.
+BLOCK_CHARS = 1 << 18
 UNKNOWN = "und"
 #: The 70th and 90th percentile of the standard normal distribution.
 _Z70, _Z90 = 0.5244, 1.2816
@@ -106,7 +110,7 @@ class Model:
         for j, i in enumerate(full):
             block.append(i)
             chars += len(texts[i])
-            if chars > 2_000_000 or j == len(full) - 1:
+            if chars > BLOCK_CHARS or j == len(full) - 1:
                 self._block(texts, block, out)
                 block, chars = [], 0
         for i, t in enumerate(texts):
@@ -276,7 +280,7 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model | None = held.value
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, text_col)):
             cps = [normalise(x.as_py() or "") for x in batch.column(text_col)]
             letters = [int((c != 32).sum()) for c in cps]
             lang, prob, bits, out = [], [], [], []

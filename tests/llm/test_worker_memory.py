@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
-from fieldmark.llm import jaccard_join, pieces, words
+from fieldmark.llm import jaccard_join, language, pieces, words
 from fieldmark.llm.words import CODES_LOWER, blocks, mix, parts, shingles
 
 
@@ -44,6 +44,20 @@ def test_blocks_and_parts_are_small():
     assert not list(parts(batch.slice(0, 0), "text"))
 
 
+def test_language_scores_few_characters_at_once(monkeypatch):
+    sizes = []
+
+    def log2(self, windows):
+        sizes.append(len(windows))
+        return np.full((len(windows), 1), -1.0, np.float32)
+
+    monkeypatch.setattr(language.Model, "log2", log2)
+    texts = [language.normalise("word " * 20_000)] * 30  # 100,000 characters each
+    got = language.Model(["en"]).cross_entropies(texts)
+    assert got.shape == (30, 1) and np.allclose(got, 1.0)
+    assert max(sizes) <= language.BLOCK_CHARS + 100_001
+
+
 def test_decoding_builds_no_automaton():
     path = public_tokenizers.path("piece_bpe_32k.model")
     held, encoder = pieces.vocabulary(path), pieces.model(path)
