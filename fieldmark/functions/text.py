@@ -57,16 +57,14 @@ def list_text(c: Column | str, dtype: T.DataType | None = None) -> Column:
 def _repr_str(c: Column) -> Column:
     """Python ``repr`` of a non-null str, for text without unprintable characters
     other than tab, newline and carriage return (those are escaped)."""
-    esc = F.regexp_replace(c, r"\\", r"\\\\")
-    esc = F.regexp_replace(esc, "\n", r"\\n")
-    esc = F.regexp_replace(esc, "\r", r"\\r")
-    esc = F.regexp_replace(esc, "\t", r"\\t")
-    has_single = F.instr(c, "'") > 0
+    single, double = F.lit("'"), F.lit('"')
     has_double = F.instr(c, '"') > 0
-    return (
-        F.when(has_single & ~has_double, F.concat(F.lit('"'), esc, F.lit('"')))
-        .otherwise(F.concat(F.lit("'"), F.regexp_replace(esc, "'", r"\\'"), F.lit("'")))
-    )
+    esc = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    esc = F.replace(esc, single, F.when(has_double, F.lit("\\'")).otherwise(single))
+    for char, code in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        esc = F.replace(esc, F.lit(char), F.lit(code))
+    quote = F.when((F.instr(c, "'") > 0) & ~has_double, double).otherwise(single)
+    return F.concat(quote, esc, quote)
 
 
 def py_repr(c: Column | str, dtype: T.DataType | None = None) -> Column:
@@ -81,8 +79,16 @@ def py_repr(c: Column | str, dtype: T.DataType | None = None) -> Column:
 
 
 def mismatch_reason(e: Column | str, a: Column | str, dtype: T.DataType | None = None) -> Column:
-    """``expected=<repr>, actual=<repr>``, the reason of a null/empty mismatch."""
-    return F.concat(F.lit("expected="), py_repr(e, dtype), F.lit(", actual="), py_repr(a, dtype))
+    """``expected=<repr>, actual=<repr>``, the reason of a null/empty mismatch.
+
+    Written as a ``transform`` of both values: Spark puts no such expression into the one method
+    that it generates for a stage, which with the long ``repr`` of several fields would exceed
+    the 8,000 bytes up to which the JVM compiles a method (a row then costs some ten times)."""
+    e, a = as_col(e), as_col(a)
+    if not isinstance(dtype, T.ArrayType):
+        e, a = e.cast("string"), a.cast("string")
+    both = F.transform(F.array(e, a), lambda x: py_repr(x, dtype))
+    return F.concat(F.lit("expected="), F.array_join(both, ", actual="))
 
 
 def format_2f(c: Column | str) -> Column:

@@ -320,7 +320,7 @@ def score_fields_with_calls(paired: DataFrame, specs: list[FieldSpec]
             entries.append(F.when(cond, F.struct(F.lit(n).alias("slot"), e_text.alias("expected"),
                                                  a_text.alias("actual"))))
         # one scan: each row contributes the pairs of every batch scorer it needs
-        rows = paired.select(F.inline(F.filter(F.array(*entries), lambda x: x.isNotNull())))
+        rows = paired.select(F.inline(F.array(*entries))).where("slot IS NOT NULL")
         pairs = materialize(rows.groupBy("slot", "expected", "actual")
                             .agg(F.count("*").alias("n_rows")), "pairs")
         seen = pairs.groupBy("slot").agg(

@@ -66,6 +66,29 @@ def test_verdicts_are_written_once_and_shuffled_by_short_keys(spark, sf_small):
     assert not joins
 
 
+def test_scoring_stages_are_compiled_by_the_jvm(spark, sf_small, monkeypatch):
+    """HotSpot leaves methods of over 8,000 bytes to its interpreter."""
+    from fieldmark.plans import evaluate as plan
+
+    sizes = {}
+    kept = plan.materialize
+
+    def measured(df, name):
+        seq = df._jdf.queryExecution().debug().codegenToSeq()
+        sizes[name] = max(seq.apply(i)._3().maxMethodCodeSize() for i in range(seq.size()))
+        return kept(df, name)
+
+    monkeypatch.setattr(plan, "materialize", measured)
+    golden, preds = fixture(spark, sf_small)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # its stages are not planned before they run
+    try:
+        evaluate(golden, preds, default_specs("stub", token_overlap_judge)).close()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sizes["paired"] <= 8000 and sizes["scored"] <= 8000
+
+
 def test_texts_with_the_separator_are_judged_once_a_key(spark):
     from fieldmark.schemas import GOLDEN, PREDICTIONS
 
