@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.words import parts
+from fieldmark.llm.words import freeing, parts
 
 ORDER = 5
 #: Characters whose n-grams are looked up at once; a longer text is a block of its own.
@@ -303,7 +303,7 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id
                     pa.array(out, pa.bool_())],
                 [f.name for f in fields] + ["lang_pred", "score", "bits", "n_letters", "rejected"])
 
-    return docs.select(*dict.fromkeys((*keep, text_col))).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys((*keep, text_col))).mapInArrow(freeing(run), schema)
 
 
 def fold(doc_id: Column) -> Column:
